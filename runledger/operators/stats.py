@@ -137,9 +137,10 @@ def fdr_bh(tests: DataFrame, p: str, ids: list[str], alpha: float = 0.05) -> Dat
     """Benjamini-Hochberg over all rows at once: adjusted p-value and decision.
 
     The m tests are ranked and the running minimum from the largest p down is taken in buckets of p, so the table
-    of tests may itself be large. `ids` makes the order unique.
+    of tests may itself be large. `ids` makes the order unique. The tests are written once before they are ranked:
+    they are the end of a long plan that would otherwise run again for every pass.
     """
-    known = tests.where(F.col(p).isNotNull())
+    known = stage(tests.where(F.col(p).isNotNull()), "tests")
     m = known.agg(F.count("*")).scalar()
     bucket = value_bucket(F.col(p), 1e-2)
     ranked = ordered_scan(known, [], bucket, [p, *ids], {"bh_rank": ("sum", F.lit(1).cast("long"))})

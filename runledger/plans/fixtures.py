@@ -103,6 +103,9 @@ SCORED_SQL = RUNS_SQL + ",\nscored AS (SELECT *, abs(actual_final - target_final
     for t in (1, 2, 3, 5, 10)) + f", {PATTERN_SQL} AS scenario_type, {bin_sql('target_final')} AS power_bin FROM runs)"
 
 
+MAIN_PATTERNS_SQL = "scenario_type IN ('single_b1', 'single_b2', 'simultaneous', 'sequential')"
+
+
 def with_runs(body: str) -> str:
     return f"WITH {RUNS_SQL}\n{body}"
 

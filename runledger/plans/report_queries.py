@@ -9,7 +9,7 @@ from runledger.operators import joins as J
 from runledger.operators import report as R
 from runledger.operators import windows as W
 from runledger.plans.fixtures import (
-    CALIB_SQL, COMMAND, GAINS_SQL, TRACE_SQL, WINDOWED_SQL, bin_sql, calib, query, r, regime_sql, rounded, runs, scored,
+    CALIB_SQL, COMMAND, GAINS_SQL, MAIN_PATTERNS_SQL, TRACE_SQL, WINDOWED_SQL, bin_sql, calib, query, r, regime_sql, rounded, runs, scored,
     table, trace, windowed, with_runs, with_scored,
 )
 
@@ -111,7 +111,7 @@ def pred_vs_truth(spark, sf):
     return rounded(out.select("case_id", *[F.col(f"{c}_error").cast("double") for c in COMMAND]))
 
 
-MAIN_SQL = "scenario_type IN ('single_b1', 'single_b2', 'simultaneous', 'sequential')"
+MAIN_SQL = MAIN_PATTERNS_SQL
 
 
 @query("jon_08_keep_classes", with_scored(f"SELECT case_id, scenario_type FROM scored WHERE {MAIN_SQL}"))
