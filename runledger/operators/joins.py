@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.functions.classify import REGIMES
+from runledger.functions.classify import REGIMES, regime
 from runledger.functions.derive import COMMAND, gain_command, param_errors
-from runledger.functions.classify import regime
+from runledger.operators.scale import salted_join, stage
 
 # ---- fixed values ---------------------------------------------------------------------------
 SCHEDULED_GAINS = {
@@ -47,17 +47,18 @@ def scheduled_command(cases: DataFrame, gains: dict[str, float] | DataFrame = SC
     return with_gain.withColumns(gain_command(F.col(init), F.col(target), F.col("Kp_used")))
 
 
-def assign_range(samples: DataFrame, value: str, ranges: DataFrame, width: float) -> DataFrame:
+def assign_range(samples: DataFrame, value: str, ranges: DataFrame, width: float, ids: list[str]) -> DataFrame:
     """Range join lo <= value < hi without comparing every pair.
 
     Both sides are cut into cells of `width`: a range is listed once per cell it touches, a value has one cell,
-    and the cells are joined by equality. Exact for any width; choose it near the typical range size.
+    and the cells are joined by equality. Exact for any width; choose it near the typical range size. The listed
+    ranges are broadcast when they are few; otherwise a cell that many samples share is salted by `ids`.
     """
     cells = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
-    listed = ranges.select("*", F.explode(cells).alias("_cell"))
+    listed = stage(ranges.select("*", F.explode(cells).alias("_cell")), "ranges")
     placed = samples.withColumn("_cell", F.floor(F.col(value) / width))
     inside = (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))
-    return placed.join(listed, "_cell").where(inside).drop("_cell")
+    return salted_join(placed, listed, ["_cell"], ids).where(inside).drop("_cell")
 
 
 def assign_regime(samples: DataFrame, value: str, regimes: list[tuple[str, float, float]] = REGIMES,

@@ -6,9 +6,12 @@
                    only the distinct values of those buckets are sorted.
 * `label_by_hash_rank`  exact stratified split / sampling: whole hash buckets are labelled without moving their
                    rows, only rows of buckets that straddle a cut are ranked.
-* `stage`          writes a small intermediate result to the cluster's checkpoint folder. Reading it back gives
-                   Catalyst its true size, so a join is broadcast only when that size is under
-                   spark.sql.autoBroadcastJoinThreshold, and a lost executor does not re-run its inputs.
+* `stage`          writes an intermediate result to the cluster's checkpoint folder and reads it back: its size is
+                   then known (`fits_broadcast` counts it from file metadata), and a lost executor does not re-run
+                   what came before.
+
+A side is broadcast only after `fits_broadcast`; beyond that limit the same result comes from a shuffle join whose
+big side was first merged to distinct values, or salted.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from runledger.functions.hashing import order_hash
 
+BROADCAST_ROWS = 100_000
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -49,6 +54,11 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(staged: DataFrame) -> bool:
+    """Whether a staged table (narrow rows) is small enough to copy to every executor."""
+    return staged.count() <= BROADCAST_ROWS
+
+
 def group_key(by: list[str]) -> Column:
     """One non-null key for any grouping; a null member of the struct is an ordinary group value."""
     return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
@@ -131,7 +141,7 @@ def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Ca
         hit = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
         wanted = hit if wanted is None else wanted | hit
     needed = stage(spans.where(wanted).select("_g", "_b", "_before", "n"), "order-stats")
-    counted = values.join(needed, ["_g", "_b"]).groupBy("_g", "_b", "_before", "n", "_v").agg(F.count("*").alias("_c"))
+    counted = _merge_near(values, needed, ["_g", "_b"])
     upto = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
     picks = []
@@ -142,6 +152,18 @@ def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Ca
     return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], "n", *ranks)
 
 
+def _merge_near(values: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct rows of `values` that have a partner in the staged `side`, with the number of their copies `_c`.
+
+    A small side filters the rows before they are merged, so little is shuffled. With a large one the rows are
+    merged first: a value that fills a third of the table is then one row and cannot make its join key hot.
+    """
+    if fits_broadcast(side):
+        joined = values.join(F.broadcast(side), on)
+        return joined.groupBy(*joined.columns).agg(F.count("*").alias("_c"))
+    return values.groupBy(*values.columns).agg(F.count("*").alias("_c")).join(side, on)
+
+
 def quantiles(df: DataFrame, by: list[str], value: Column, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation: by..., n, one column per entry of `qs`."""
     ranks: dict[str, Callable[[Column], Column]] = {}
@@ -199,13 +221,22 @@ def label_by_hash_rank(df: DataFrame, by: list[str], ids: list[str], seed: int |
     return direct.unionByName(edge)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_from: list[str], salts: int = 32) -> DataFrame:
-    """Inner join in which a hot key of `big` is spread over `salts` tasks.
+def salted_join(big: DataFrame, staged: DataFrame, on: list[str], salt_from: list[str], salts: int = 32) -> DataFrame:
+    """Inner join with a staged table of one row per key.
 
-    `small` has one row per key; it is staged, so it is broadcast when its real size allows and otherwise
-    repeated once per salt.
+    Broadcast when the staged table is small. Otherwise it is repeated `salts` times and the rows of a hot key
+    spread over as many tasks by the hash of `salt_from`, which should differ between the rows of a key.
     """
-    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    repeated = stage(small, "salted").withColumn("_salt", spread)
+    if fits_broadcast(staged):
+        return big.join(F.broadcast(staged), on)
+    repeated = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int")
     return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"]).drop("_salt")
+
+
+def merged_with_stats(values: DataFrame, staged: DataFrame) -> DataFrame:
+    """Values (_g, _v) with their copies `_c` and the statistics of their group from a staged table keyed by _g."""
+    if fits_broadcast(staged):
+        return values.withColumn("_c", F.lit(1).cast("long")).join(F.broadcast(staged), ["_g"])
+    merged = values.groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    return salted_join(merged, staged, ["_g"], ["_v"])

@@ -16,7 +16,7 @@ from runledger.functions.hashing import HEX_DIGITS, hex_uniform, order_hash
 from runledger.operators.joins import FALLBACK_GAIN, literal_map, model_pairs
 from runledger.operators.report import _join_groups, band_counts, rate
 from runledger.operators.scale import (
-    group_key, ordered_scan, quantiles, salted_join, stage, value_bucket,
+    group_key, merged_with_stats, ordered_scan, quantiles, salted_join, stage, value_bucket,
 )
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -291,21 +291,23 @@ def origin_fit(samples: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 # ---- distribution tables --------------------------------------------------------------------
 
 
-def _with_group_stats(df: DataFrame, by: list[str], col: str, stats: DataFrame) -> DataFrame:
-    """Rows (group key struct, value) with their group's statistics beside them; hot groups are salted."""
-    values = df.select(group_key(by).alias("_g"), F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    keyed = stats.select(group_key(by).alias("_g"), *[c for c in stats.columns if c not in by])
-    return salted_join(values, keyed, ["_g"], ["_v"])
+def _values(df: DataFrame, by: list[str], col: str) -> DataFrame:
+    values = df.select(group_key(by).alias("_g"), F.col(col).cast("double").alias("_v"))
+    return values.where(F.col("_v").isNotNull())
+
+
+def _keyed(stats: DataFrame, by: list[str]) -> DataFrame:
+    return stats.select(group_key(by).alias("_g"), *[c for c in stats.columns if c not in by])
 
 
 def histogram(df: DataFrame, by: list[str], col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins from min to max per group, the last one closed; empty bins are not listed."""
     x = F.col(col)
     spans = df.where(x.isNotNull()).groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    rows = _with_group_stats(df, by, col, spans)
+    rows = merged_with_stats(_values(df, by, col), stage(_keyed(spans, by), "spans"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    counted = rows.groupBy("_g", "_lo", "_hi", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy("_g", "_lo", "_hi", at.cast("int").alias("bin")).agg(F.sum("_c").alias("n"))
     edge = lambda k: F.col("_lo") + k * (F.col("_hi") - F.col("_lo")) / bins
     return counted.select(*[F.col(f"_g.{c}").alias(c) for c in by], "bin", edge(F.col("bin")).alias("left"),
                           edge(F.col("bin") + 1).alias("right"), "n")
@@ -322,7 +324,7 @@ def ecdf(df: DataFrame, by: list[str], col: str, mode: str = "rank") -> DataFram
     placed = ordered_scan(counted, by, value_bucket(F.col("value")), ["value"], {"last_rank": ("sum", F.col("copies"))})
     sizes = df.where(x.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
     keyed = placed.withColumn("_g", group_key(by))
-    totals = sizes.select(group_key(by).alias("_g"), "n")
+    totals = stage(_keyed(sizes, by), "sizes")
     joined = salted_join(keyed, totals, ["_g"], ["value"])
     first = F.col("last_rank") - F.col("copies") + 1
     y = (lambda r: r / F.col("n") * 100.0) if mode == "rank" else (
@@ -336,14 +338,15 @@ def box_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
     quartiles = quantiles(df, by, F.col(col), {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fences = quartiles.withColumns({
         "_low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "_high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    fences = stage(fences, "fences")
-    rows = _with_group_stats(df, by, col, fences)
+    fences = stage(_keyed(fences, by), "fences")
+    rows = merged_with_stats(_values(df, by, col), fences)
     inside = F.col("_v").between(F.col("_low"), F.col("_high"))
     spans = rows.groupBy("_g").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"))
-    spans = spans.select(*[F.col(f"_g.{c}").alias(c) for c in by], "whisker_low", "whisker_high", "outliers")
-    return _join_groups(fences.select(*by, "n", "q1", "median", "q3"), spans, by)
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"))
+    both = fences.join(spans, "_g")
+    return both.select(*[F.col(f"_g.{c}").alias(c) for c in by], "n", "q1", "median", "q3", "whisker_low",
+                       "whisker_high", "outliers")
 
 
 def kde_grid(df: DataFrame, by: list[str], col: str, points: int = 50) -> DataFrame:
@@ -355,10 +358,9 @@ def kde_grid(df: DataFrame, by: list[str], col: str, points: int = 50) -> DataFr
     spans = df.where(x.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.stddev_samp(x).alias("_sd"))
     spans = spans.where((F.col("_sd") > 0)).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    merged = df.where(x.isNotNull()).groupBy(*by, x.alias("_v")).agg(F.count("*").alias("_c"))
-    values = merged.select(group_key(by).alias("_g"), "_v", "_c")
-    keyed = spans.select(group_key(by).alias("_g"), "_n", "_lo", "_hi", "_h")
-    rows = salted_join(values, keyed, ["_g"], ["_v"])
+    keyed = stage(_keyed(spans.drop("_sd"), by), "spans")
+    merged = _values(df, by, col).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    rows = salted_join(merged, keyed, ["_g"], ["_v"])
     grid = rows.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("_lo") + F.col("grid") * (F.col("_hi") - F.col("_lo")) / (points - 1)
     z = (F.col("_v") - at) / F.col("_h")

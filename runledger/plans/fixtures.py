@@ -152,11 +152,11 @@ gains(regime, regime_order, "Kp") AS (VALUES ('large_dec', 0, 945e-1), ('medium_
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps numbered from 0 in time order; one point per second. Numbered by day and user, so that a user with
-    a large share of the events is not one task."""
+    """Steps numbered from 0 in time order; one point per second. Numbered by user and minute, so that a user
+    with a large share of the events is not one task."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    events = events.withColumn("_day", F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")))
-    ranked = ordered_rank(events, ["user_id"], F.col("_day"), ["ts", "event_id"], "_rank")
+    minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
+    ranked = ordered_rank(events, ["user_id"], minute, ["ts", "event_id"], "_rank")
     return ranked.select(F.col("user_id").alias("run_id"), (F.col("_rank") - 1).alias("step"),
                          (F.col("_rank") - 1).cast("double").alias("t"), F.col("value").alias("power"))
 

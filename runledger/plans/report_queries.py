@@ -52,7 +52,7 @@ def assign_range(spark, sf):
     lo = (F.col("s_suppkey") - 50) / 100.0
     ranges = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("range_id"), lo.alias("lo"), (lo + 3e-2).alias("hi"))
-    return J.assign_range(calib(spark, sf), "power_delta", ranges, 0.02).select("sample_id", "range_id")
+    return J.assign_range(calib(spark, sf), "power_delta", ranges, 0.02, ["sample_id"]).select("sample_id", "range_id")
 
 
 @query("jon_03_pending", with_runs("SELECT case_id, model FROM runs WHERE NOT simulation_success"))
