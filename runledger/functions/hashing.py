@@ -6,11 +6,12 @@ is recomputed elsewhere, a repartitioned input or another SQL engine gives the s
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEX_DIGITS = 8
 HEX_RANGE = float(16**HEX_DIGITS)
+DRAWS_PER_DIGEST = 32 // HEX_DIGITS
 
 
 def order_hash(seed: int | str, *ids: Column) -> Column:
@@ -18,29 +19,34 @@ def order_hash(seed: int | str, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]))
 
 
-def uniform(seed: int | str, tag: str, *ids: Column) -> Column:
-    """Uniform double in [0, 1) from the first 8 hex digits of the hash."""
-    return hex_uniform(order_hash(f"{seed}:{tag}", *ids), 0)
-
-
 def hex_uniform(digest: Column, slot: int) -> Column:
     """Uniform double from the `slot`-th group of 8 hex digits (0..3) of an md5 digest."""
     part = F.substring(digest, slot * HEX_DIGITS + 1, HEX_DIGITS)
     return F.conv(part, 16, 10).cast("double") / F.lit(HEX_RANGE)
 
 
-def uniform_between(seed, tag: str, lo, hi, *ids: Column) -> Column:
-    return F.lit(float(lo)) + uniform(seed, tag, *ids) * F.lit(float(hi) - float(lo))
+def add_draws(df: DataFrame, seed: int | str, tag: str, ids: list[Column], names: list[str]) -> DataFrame:
+    """Add independent uniforms, one column per name. Four of them share one digest."""
+    digests = {f"_{tag}{b}": order_hash(f"{seed}:{tag}{b}", *ids) for b in range(-(-len(names) // DRAWS_PER_DIGEST))}
+    draws = {n: hex_uniform(F.col(f"_{tag}{k // DRAWS_PER_DIGEST}"), k % DRAWS_PER_DIGEST) for k, n in enumerate(names)}
+    return df.withColumns(digests).withColumns(draws).drop(*digests)
+
+
+def _column(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def real_between(u: Column, lo: float | Column, hi: float | Column, digits: int | None = None) -> Column:
+    """Uniform in lo..hi from a uniform draw, optionally rounded."""
+    x = _column(lo) + u * (_column(hi) - _column(lo))
+    return x if digits is None else F.round(x, digits)
 
 
-def integer_between(seed, tag: str, lo: int | Column, hi: int | Column, *ids: Column) -> Column:
+def integer_between(u: Column, lo: int | Column, hi: int | Column) -> Column:
     """Integer in lo..hi, both ends included."""
-    low = lo if isinstance(lo, Column) else F.lit(lo)
-    high = hi if isinstance(hi, Column) else F.lit(hi)
-    return (low + F.floor(uniform(seed, tag, *ids) * (high - low + 1))).cast("int")
+    return (_column(lo) + F.floor(u * (_column(hi) - _column(lo) + 1))).cast("int")
 
 
-def choice(seed, tag: str, options: list, *ids: Column) -> Column:
+def choice(u: Column, options: list) -> Column:
     """One of a short literal list, equally likely."""
-    position = F.floor(uniform(seed, tag, *ids) * len(options)).cast("int") + 1
-    return F.element_at(F.array(*[F.lit(o) for o in options]), position)
+    return F.element_at(F.array(*[F.lit(o) for o in options]), F.floor(u * len(options)).cast("int") + 1)

@@ -3,13 +3,11 @@ partition is regenerated identically: all draws are hashes of (seed, tag, id).""
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.derive import COMMAND
-from runledger.functions.hashing import choice, integer_between, uniform, uniform_between
+from runledger.functions.hashing import add_draws, choice, integer_between, real_between
 from runledger.functions.text import run_name
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -47,60 +45,64 @@ def id_table(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1, n + 1)
 
 
+MIXTURE_DRAWS = ["family", "lone", "start", "gap", "coarse_pos", "coarse_speed", "fine_pos", "fine_speed"]
+
+
 def gen_mixture(ids: DataFrame, seed: int = 42, mirror: bool = False) -> DataFrame:
     """60/30/10 mixture of single / simultaneous / sequential commands, one per `id`.
 
     `mirror` swaps the roles of the banks: bank 1 then starts at 100 with the fine bank's ranges.
     """
-    i = F.col("id")
     single, both = FAMILY_SHARES["single"], FAMILY_SHARES["single"] + FAMILY_SHARES["simultaneous"]
-    draw = uniform(seed, "family", i)
-    family = F.when(draw < single, "single").when(draw < both, "simultaneous").otherwise("sequential")
+    u = {n: F.col(f"_{n}") for n in MIXTURE_DRAWS}
+    family = F.when(u["family"] < single, "single").when(u["family"] < both, "simultaneous").otherwise("sequential")
     # the bank that moves alone: bank 1 in half of the single runs, whichever its role is
-    lone = F.when(uniform(seed, "lone", i) < 0.5, "b1").otherwise("b2")
-    df = ids.select(i, family.alias("family")).withColumn("_lone", F.when(F.col("family") == "single", lone))
+    lone = F.when(u["lone"] < 0.5, "b1").otherwise("b2")
+    drawn = add_draws(ids.select("id"), seed, "mix", [F.col("id")], [f"_{n}" for n in MIXTURE_DRAWS])
+    df = drawn.withColumn("family", family)
+    first = real_between(u["start"], _by_family(lambda f: MIXTURE_TIMES[f][0]), _by_family(lambda f: MIXTURE_TIMES[f][1]), 1)
+    df = df.withColumn("_first", first)
     roles = {"b1": "fine", "b2": "coarse"} if mirror else {"b1": "coarse", "b2": "fine"}
-    first = _by_family(lambda f: F.round(uniform_between(seed, f"start:{f}", *MIXTURE_TIMES[f], i), 1))
-    second = first + F.round(uniform_between(seed, "gap", *SEQUENCE_GAP, i), 1)
+    single_run, sequence = F.col("family") == "single", F.col("family") == "sequential"
     out = {}
     for bank, role in roles.items():
         start = COARSE_START if role == "coarse" else FINE_START
-        moves = (F.col("family") != "single") | (F.col("_lone") == bank)
-        pos = _by_family(lambda f: integer_between(seed, f"{role}:pos:{f}", *MIXTURE_RANGES[f][role][:2], i))
-        speed = _by_family(
-            lambda f: F.round(uniform_between(seed, f"{role}:speed:{f}", *MIXTURE_RANGES[f][role][2:], i), 1))
-        late = (F.col("family") == "sequential") if role == "coarse" else F.lit(False)
-        out[f"{bank}_pos"] = F.when(moves, pos).otherwise(F.lit(start)).cast("int")
-        out[f"{bank}_time"] = F.when(moves, F.when(late, second).otherwise(first)).otherwise(F.lit(0.0))
-        out[f"{bank}_speed"] = F.when(moves, speed).otherwise(F.lit(0.0))
+        moves = ~single_run | (lone == bank)
+        limit = lambda k: _by_family(lambda f: MIXTURE_RANGES[f][role][k])  # noqa: B023, E731
+        gap = F.when(sequence, real_between(u["gap"], *SEQUENCE_GAP, 1)).otherwise(F.lit(0.0))
+        time = F.col("_first") + gap if role == "coarse" else F.col("_first")
+        out[f"{bank}_pos"] = F.when(moves, integer_between(u[f"{role}_pos"], limit(0), limit(1))).otherwise(F.lit(start))
+        out[f"{bank}_time"] = F.when(moves, time).otherwise(F.lit(0.0))
+        out[f"{bank}_speed"] = F.when(moves, real_between(u[f"{role}_speed"], limit(2), limit(3), 1)).otherwise(F.lit(0.0))
     return df.select("id", "family", *[out[c].alias(c) for c in COMMAND])
 
 
-def _by_family(make) -> Column:
+def _by_family(value) -> Column:
+    *others, last = FAMILY_SHARES
     expr = F
-    for family in list(FAMILY_SHARES)[:-1]:
-        expr = expr.when(F.col("family") == family, make(family))
-    return expr.otherwise(make(list(FAMILY_SHARES)[-1]))
+    for family in others:
+        expr = expr.when(F.col("family") == family, F.lit(value(family)))
+    return expr.otherwise(F.lit(value(last)))
 
 
-def bin_table() -> list[tuple]:
-    """The 200 cells window x boron x initial case x move type, numbered in nested-loop order."""
-    cells = product(WINDOW_RANGES, BORON_RANGES, INIT_CASES, MOVE_TYPES)
-    return [(k, w[0], w[1], b[0], b[1], c, m) for k, (w, b, c, m) in enumerate(cells)]
+BINNED_DRAWS = ["window", "boron", "start", "first", "lag", "mover", "b1_pos", "b1_speed", "b2_pos", "b2_speed"]
 
 
 def gen_binned(plan: DataFrame, seed: int = 42) -> DataFrame:
-    """Commands inside given cells; `plan` has `id` and `bin_index` (0..199).
+    """Commands inside given cells; `plan` has `id` and `bin_index`.
 
-    `bin_plan` builds the usual plan with the same number of runs per cell.
+    The 200 cells window x boron x initial case x move type are numbered 0..199 in nested-loop order; `bin_plan`
+    builds the usual plan with the same number of runs per cell.
     """
     i, k = F.col("id"), F.col("bin_index").cast("int")
     pick = lambda options, pos: F.element_at(F.array(*[F.lit(o) for o in options]), pos.cast("int") + 1)
     n_move, n_init, n_boron = len(MOVE_TYPES), len(INIT_CASES), len(BORON_RANGES)
     per_boron, per_window = n_move * n_init, n_move * n_init * n_boron
     boron_at, window_at = F.floor(k / per_boron) % n_boron, F.floor(k / per_window)
-    cell = plan.select(
-        i, k.alias("bin_index"),
+    u = {n: F.col(f"_{n}") for n in BINNED_DRAWS}
+    drawn = add_draws(plan.select("id", "bin_index"), seed, "bin", [i], [f"_{n}" for n in BINNED_DRAWS])
+    cell = drawn.select(
+        i, *u.values(),
         pick([r[0] for r in WINDOW_RANGES], window_at).alias("_w0"),
         pick([r[1] for r in WINDOW_RANGES], window_at).alias("_w1"),
         pick([r[0] for r in BORON_RANGES], boron_at).alias("_b0"),
@@ -111,20 +113,19 @@ def gen_binned(plan: DataFrame, seed: int = 42) -> DataFrame:
     move = F.col("move_type")
     init1 = F.when(F.col("init_case") == "case1", COARSE_START).otherwise(FINE_START)
     init2 = F.when(F.col("init_case") == "case1", FINE_START).otherwise(COARSE_START)
-    window = F.round(F.col("_w0") + uniform(seed, "window", i) * (F.col("_w1") - F.col("_w0")), 1)
-    boron = F.round(F.col("_b0") + uniform(seed, "boron", i) * (F.col("_b1") - F.col("_b0")), 2)
-    start = F.round(uniform_between(seed, "start", 1.0, 40.0, i), 1)
-    t1 = F.round(uniform_between(seed, "first", 1.0, 20.0, i), 1)
-    t2 = t1 + F.round(uniform_between(seed, "lag", 5.0, 15.0, i), 1)
-    a_first = uniform(seed, "mover", i) < 0.5
+    window = real_between(u["window"], F.col("_w0"), F.col("_w1"), 1)
+    boron = real_between(u["boron"], F.col("_b0"), F.col("_b1"), 2)
+    start = real_between(u["start"], 1.0, 40.0, 1)
+    t1 = real_between(u["first"], 1.0, 20.0, 1)
+    t2 = t1 + real_between(u["lag"], 5.0, 15.0, 1)
+    a_first = u["mover"] < 0.5
     out = {}
     for bank, init, alone, leads in (("b1", init1, "A_only", a_first), ("b2", init2, "B_only", ~a_first)):
         active = move.isin(alone, "Simultaneous", "Sequential")
         time = F.when(move == "Sequential", F.when(leads, t1).otherwise(t2)).otherwise(start)
-        out[f"{bank}_pos"] = F.when(active, integer_between(seed, f"{bank}:pos", 0, init - 10, i)).otherwise(init)
+        out[f"{bank}_pos"] = F.when(active, integer_between(u[f"{bank}_pos"], 0, init - 10)).otherwise(init)
         out[f"{bank}_time"] = F.when(active, time).otherwise(F.lit(0.0))
-        out[f"{bank}_speed"] = F.when(
-            active, F.round(uniform_between(seed, f"{bank}:speed", 1.0, 10.0, i), 1)).otherwise(F.lit(0.0))
+        out[f"{bank}_speed"] = F.when(active, real_between(u[f"{bank}_speed"], 1.0, 10.0, 1)).otherwise(F.lit(0.0))
     dash = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("-"), F.col(b).cast("string"))
     named = cell.select(
         run_name("data_", i, 6).alias("run_name"), "id",
@@ -142,10 +143,9 @@ def bin_plan(spark: SparkSession, per_bin: int) -> DataFrame:
 
 def gen_uniform(ids: DataFrame, ranges: dict[str, tuple[float, float]] = UNIFORM_RANGES) -> DataFrame:
     """Independent uniforms; task i has its own seed 42 + 137 i."""
-    i = F.col("id")
-    task_seed = F.lit(TASK_SEED_BASE) + i * TASK_SEED_STEP
-    cols = [uniform_between("task", name, lo, hi, task_seed).alias(name) for name, (lo, hi) in ranges.items()]
-    return ids.select(i, task_seed.alias("task_seed"), *cols)
+    seeded = ids.select("id", (F.lit(TASK_SEED_BASE) + F.col("id") * TASK_SEED_STEP).alias("task_seed"))
+    drawn = add_draws(seeded, "task", "uniform", [F.col("task_seed")], [f"_{n}" for n in ranges])
+    return drawn.select("id", "task_seed", *[real_between(F.col(f"_{n}"), *r).alias(n) for n, r in ranges.items()])
 
 
 def gen_test_cases(ids: DataFrame, seed: int = 42, init: float = 1.0, fixed: list[float] = FIXED_TARGETS,
@@ -153,8 +153,8 @@ def gen_test_cases(ids: DataFrame, seed: int = 42, init: float = 1.0, fixed: lis
     """The fixed targets for the first ids (1..12), rounded uniform targets after them."""
     i = F.col("id")
     known = F.try_element_at(F.array(*[F.lit(t) for t in fixed]), i.cast("int"))
-    drawn = F.round(uniform_between(seed, "target", *span, i), decimals)
-    return ids.select(
+    drawn = real_between(F.col("_target"), *span, decimals)
+    return add_draws(ids.select("id"), seed, "case", [i], ["_target"]).select(
         i.alias("case_id"),
         F.lit(init).alias("target_initial"),
         F.when(i.between(1, len(fixed)), known).otherwise(drawn).alias("target_final"),
@@ -170,12 +170,12 @@ def gen_level_cases(ids: DataFrame, seed: int = 42) -> DataFrame:
 def gen_window_cases(ids: DataFrame, seed: int = 42) -> DataFrame:
     """Monitoring window near one of five values, clamped to 60..100, and a target of 50..150 %."""
     i = F.col("id")
-    jittered = choice(seed, "window", WINDOW_CHOICES, i) + uniform_between(seed, "jitter", -1.0, 1.0, i)
-    return ids.select(
+    jittered = choice(F.col("_window"), WINDOW_CHOICES) + real_between(F.col("_jitter"), -1.0, 1.0)
+    return add_draws(ids.select("id"), seed, "case", [i], ["_window", "_jitter", "_target"]).select(
         run_name("val_", i, 4).alias("run_id"),
         F.greatest(F.lit(60.0), F.least(F.lit(100.0), F.round(jittered, 1))).alias("monitor_window"),
         F.lit(1.0).alias("initial_power"),
-        F.round(uniform_between(seed, "target", 0.5, 1.5, i), 4).alias("final_power"),
+        real_between(F.col("_target"), 0.5, 1.5, 4).alias("final_power"),
     )
 
 

@@ -135,19 +135,15 @@ def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Ca
         F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_c").over(whole).alias("n"),
     )
-    wanted = None
-    for pick in ranks.values():
-        r = pick(F.col("n"))
-        hit = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))
-        wanted = hit if wanted is None else wanted | hit
+    at = {name: pick(F.col("n")) for name, pick in ranks.items()}
+    start, stop = F.col("_before"), F.col("_before") + F.col("_c")
+    wanted = F.exists(F.array(*at.values()), lambda r: (r >= start) & (r < stop))
     needed = stage(spans.where(wanted).select("_g", "_b", "_before", "n"), "order-stats")
     counted = _merge_near(values, needed, ["_g", "_b"])
     upto = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counted.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-    picks = []
-    for name, pick in ranks.items():
-        r = pick(F.col("n"))
-        picks.append(F.max(F.when((r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")), F.col("_v"))).alias(name))
+    first, end, value_here = F.col("_end") - F.col("_c"), F.col("_end"), F.col("_v")
+    picks = [F.max(F.when((r >= first) & (r < end), value_here)).alias(name) for name, r in at.items()]
     out = placed.groupBy("_g", "n").agg(*picks)
     return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], "n", *ranks)
 
@@ -171,11 +167,10 @@ def quantiles(df: DataFrame, by: list[str], value: Column, qs: dict[str, float])
         ranks[f"{name}__lo"] = lambda n, q=q: F.floor((n - 1) * F.lit(float(q)))
         ranks[f"{name}__hi"] = lambda n, q=q: F.ceil((n - 1) * F.lit(float(q)))
     stats = order_stats(df, by, value, ranks)
-    out = []
+    out, last = [], F.col("n") - 1
     for name, q in qs.items():
-        at = (F.col("n") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"{name}__lo"), F.col(f"{name}__hi")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        at, lo = last * F.lit(float(q)), F.col(f"{name}__lo")
+        out.append((lo + (F.col(f"{name}__hi") - lo) * (at - F.floor(at))).alias(name))
     return stats.select(*by, "n", *out)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from runledger.functions import classify as K
 from runledger.functions import derive as D
-from runledger.functions.hashing import HEX_DIGITS, hex_uniform, order_hash
+from runledger.functions.hashing import HEX_DIGITS, HEX_RANGE, order_hash
 from runledger.operators.joins import FALLBACK_GAIN, literal_map, model_pairs
 from runledger.operators.report import _join_groups, band_counts, rate
 from runledger.operators.scale import (
@@ -60,11 +60,14 @@ def bootstrap_ci(df: DataFrame, by: list[str], replicates: int = 10_000, seed: i
         (F.col("_ci.hi") - F.col("_ci.lo")).alias("ci_width"), "successes", "total")
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverting the distribution function."""
+def poisson_weight(hex_draw: Column) -> Column:
+    """Poisson(1) draw from 8 hex digits, by inverting the distribution function.
+
+    k / 16^8 < p is k < ceil(p * 16^8); hex texts of one length compare like their numbers.
+    """
     expr = F
     for k, p in enumerate(POISSON_CDF):
-        expr = expr.when(u < p, k)
+        expr = expr.when(hex_draw < format(math.ceil(p * HEX_RANGE), f"0{HEX_DIGITS}x"), k)
     return expr.otherwise(len(POISSON_CDF))
 
 
@@ -78,14 +81,14 @@ def poisson_bootstrap_ci(df: DataFrame, by: list[str], ids: list[str], replicate
     """
     per_digest = 32 // HEX_DIGITS
     digest = order_hash(f"{seed}:boot", *[F.col(c) for c in ids], F.col("_block"))
-    slots = F.array(*[hex_uniform(F.col("_digest"), s) for s in range(per_digest)])
+    weights = F.array(*[
+        poisson_weight(F.substring("_digest", k * HEX_DIGITS + 1, HEX_DIGITS)) for k in range(per_digest)])
     flags = [F.col(f"validation_success_{t}") for t in K.TOLERANCES]
     rows = df.select(*by, *ids, *flags)
     blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // per_digest))))
     drawn = blocks.withColumn("_digest", digest).select(
-        *by, *flags, "_block", F.posexplode(slots).alias("_slot", "_u"))
+        *by, *flags, "_block", F.posexplode(weights).alias("_slot", "_w"))
     drawn = drawn.withColumn("rep", F.col("_block") * per_digest + F.col("_slot")).where(F.col("rep") < replicates)
-    drawn = drawn.withColumn("_w", poisson_weight(F.col("_u")))
     sums = drawn.groupBy(*by, "rep").agg(
         F.sum("_w").alias("_n"),
         *[F.sum(F.when(F.col(f"validation_success_{t}"), F.col("_w")).otherwise(0)).alias(f"_s{t}")

@@ -11,6 +11,7 @@ from runledger.functions.text import to_float
 RESULTS_HEADER = "TRANSIENT RESULTS"
 RESULTS_END = "CPU time"
 SKIPPED_AFTER_HEADER = 2
+SECOND_AND_FOURTH = r"^\s*\S+\s+(\S+)\s+\S+\s+(\S+)"
 # ---------------------------------------------------------------------------------------------
 
 
@@ -21,7 +22,7 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("run_id"), F.col("value").alias("text"))
 
 
-def _positions(lines: Column, test) -> Column:
+def _positions(lines: str, test) -> Column:
     hits = F.transform(lines, lambda s, i: F.when(test(s), i))
     return F.filter(hits, lambda i: i.isNotNull())
 
@@ -35,19 +36,17 @@ def run_log_points(df: DataFrame, ids: list[str], text: str = "text", end: str =
     holds it, with `end_anywhere` - closes the log. Data lines have >= 4 tokens, numbers in the 4th and,
     unless `power_only`, in the 2nd.
 
-    Only the few header and end positions travel with the exploded lines, so the state needs no window
-    and no shuffle: a run is parsed inside the task that read it.
+    The section borders are computed per log from the few header and end positions, then only the lines of the
+    sections are exploded: no window and no shuffle, a run is parsed inside the task that read it.
     """
     skip = SKIPPED_AFTER_HEADER
-    lines = F.split(F.col(text), r"\r\n|\n|\r")
     is_end = (lambda s: F.contains(s, F.lit(end))) if end_anywhere else (
         lambda s: F.startswith(F.ltrim(s), F.lit(end)))
-    marked = df.select(
-        *ids,
-        lines.alias("_lines"),
-        _positions(lines, lambda s: F.contains(s, F.lit(RESULTS_HEADER))).alias("_seen"),
-        _positions(lines, is_end).alias("_ends"),
-    )
+    marked = _split(df, ids, text).select(
+        *ids, "_lines",
+        _positions("_lines", lambda s: F.contains(s, F.lit(RESULTS_HEADER))).alias("_seen"),
+        _positions("_lines", is_end).alias("_ends"),
+    ).where(F.size("_seen") > 0)
     headers = F.aggregate(
         "_seen",
         F.array().cast("array<int>"),
@@ -55,36 +54,44 @@ def run_log_points(df: DataFrame, ids: list[str], text: str = "text", end: str =
             (F.size(kept) == 0) | (i > F.get(kept, F.size(kept) - 1) + skip), F.concat(kept, F.array(i))
         ).otherwise(kept),
     )
-    marked = marked.where(F.size("_seen") > 0).withColumn("_headers", headers)
-    open_at = lambda i: F.array_max(F.filter("_headers", lambda h: h <= i)) + skip
-    stop = F.array_min(F.filter("_ends", lambda i: F.coalesce(i > open_at(i), F.lit(False))))
-    marked = marked.withColumn("_stop", stop)
-    exploded = marked.select(*ids, "_headers", "_stop", F.posexplode("_lines").alias("line", "_text"))
-    inside = (F.col("line") > open_at(F.col("line"))) & (F.col("_stop").isNull() | (F.col("line") < F.col("_stop")))
-    return _points(exploded.where(inside), ids, power_only)
+    marked = marked.withColumn("_headers", headers)
+    opened = lambda i: F.array_max(F.filter("_headers", lambda h: h <= i)) + skip
+    stop = F.array_min(F.filter("_ends", lambda i: F.coalesce(i > opened(i), F.lit(False))))
+    sections = F.transform("_headers", lambda h, k: F.struct(
+        (h + 1 + skip).alias("start"), F.coalesce(F.get("_headers", k + 1), F.size("_lines")).alias("end")))
+    bordered = marked.select(*ids, "_lines", stop.alias("_stop"), F.explode(sections).alias("_s"))
+    bordered = bordered.select(
+        *ids, "_lines", F.col("_s.start").alias("_start"), F.least("_s.end", "_stop").alias("_end"))
+    return _points(bordered, ids, power_only)
 
 
 def run_log_points_unskipped(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """Variant reader: nothing skipped, no end; lines that start with Time or CPU are ignored."""
-    lines = F.split(F.col(text), r"\r\n|\n|\r")
-    first = F.array_min(_positions(lines, lambda s: F.contains(s, F.lit(RESULTS_HEADER))))
-    marked = df.select(*ids, lines.alias("_lines"), first.alias("_first")).where(F.col("_first").isNotNull())
-    exploded = marked.select(*ids, "_first", F.posexplode("_lines").alias("line", "_text"))
+    first = F.array_min(_positions("_lines", lambda s: F.contains(s, F.lit(RESULTS_HEADER))))
+    bordered = _split(df, ids, text).select(*ids, "_lines", (first + 1).alias("_start"), F.size("_lines").alias("_end"))
     bare = F.ltrim(F.col("_text"))
-    inside = (
-        (F.col("line") > F.col("_first"))
-        & ~F.contains(F.col("_text"), F.lit(RESULTS_HEADER))
+    other = (
+        ~F.contains(F.col("_text"), F.lit(RESULTS_HEADER))
         & ~F.startswith(bare, F.lit("Time"))
         & ~F.startswith(bare, F.lit("CPU"))
     )
-    return _points(exploded.where(inside), ids, power_only=True)
+    return _points(bordered, ids, power_only=True, keep=other)
+
+
+def _split(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    return df.select(*ids, F.split(F.col(text), r"\r\n|\n|\r").alias("_lines"))
 
 
-def _points(exploded: DataFrame, ids: list[str], power_only: bool) -> DataFrame:
-    tokens = F.split(F.trim(F.regexp_replace("_text", r"\s+", " ")), " ")
-    points = exploded.select(
-        *ids, "line",
-        to_float(F.get(tokens, F.lit(1))).alias("t"),
-        to_float(F.get(tokens, F.lit(3))).alias("power"),
-    ).where(F.col("power").isNotNull())
+def _points(bordered: DataFrame, ids: list[str], power_only: bool, keep: Column | None = None) -> DataFrame:
+    """Data points among the lines _start.._end-1."""
+    body = F.slice("_lines", F.col("_start") + 1, F.col("_end") - F.col("_start"))
+    lines = bordered.where(F.col("_end") > F.col("_start")).select(*ids, "_start", F.posexplode(body).alias("_k", "_text"))
+    if keep is not None:
+        lines = lines.where(keep)
+    tokens = lines.select(
+        *ids, (F.col("_start") + F.col("_k")).alias("line"),
+        F.regexp_extract("_text", SECOND_AND_FOURTH, 1).alias("_t"),
+        F.regexp_extract("_text", SECOND_AND_FOURTH, 2).alias("_p"))
+    points = tokens.select(*ids, "line", to_float(F.col("_t")).alias("t"), to_float(F.col("_p")).alias("power"))
+    points = points.where(F.col("power").isNotNull())
     return points if power_only else points.where(F.col("t").isNotNull())
