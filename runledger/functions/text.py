@@ -62,23 +62,30 @@ def completion_part(text: Column, k: int) -> Column:
     return F.substring(text, F.length(prompt_part(text, k)) + 1, F.length(text))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` computed once per row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_float(token: Column) -> Column:
     """Strict decimal text to double; anything else is null."""
     t = F.trim(token)
     return F.when(t.rlike(FLOAT_TEXT), t.try_cast("double"))
 
 
+def _all_numbers(values: Column) -> Column:
+    return let(values, lambda v: F.when(~F.exists(v, lambda x: x.isNull()), v))
+
+
 def _last_six(tokens: Column, min_count: int) -> Column:
-    values = F.transform(F.slice(tokens, -6, 6), to_float)
-    good = ~F.exists(values, lambda v: v.isNull())
-    return F.when(F.size(tokens) >= min_count, F.when(good, values))
+    return let(tokens, lambda t: F.when(
+        F.size(t) >= min_count, _all_numbers(F.transform(F.slice(t, -6, 6), to_float))))
 
 
 def as_command(values: Column) -> Column:
     """Array of six doubles to a command struct; null stays null."""
-    return F.when(
-        values.isNotNull(), F.struct(*[F.get(values, F.lit(i)).alias(p) for i, p in enumerate(COMMAND)])
-    )
+    return let(values, lambda v: F.when(
+        v.isNotNull(), F.struct(*[F.get(v, F.lit(i)).alias(p) for i, p in enumerate(COMMAND)])))
 
 
 def parse_last6(text: Column, min_count: int = 8) -> Column:
@@ -94,32 +101,30 @@ def parse_bracket6(text: Column) -> Column:
     """Six numbers between the last "[" and the first "]" after it."""
     tail = F.element_at(F.split(text, r"\["), -1)
     body = F.split(F.get(F.split(tail, r"\]"), F.lit(0)), ",")
-    values = F.transform(body, to_float)
-    return F.when((F.size(values) == 6) & ~F.exists(values, lambda v: v.isNull()), values)
+    return let(body, lambda b: F.when(F.size(b) == 6, _all_numbers(F.transform(b, to_float))))
 
 
-def _pair(tokens: Column, first: Column, second: Column) -> Column:
-    rho, dur = to_float(first), to_float(second)
-    return F.when((rho < 0) & (dur > 0), F.struct(rho.alias("reactivity"), dur.alias("duration")))
+def _pair(first: Column, second: Column, signed: bool = True) -> Column:
+    numbers = F.struct(to_float(first).alias("reactivity"), to_float(second).alias("duration"))
+    if signed:
+        return let(numbers, lambda n: F.when((n["reactivity"] < 0) & (n["duration"] > 0), n))
+    return let(numbers, lambda n: F.when(n["reactivity"].isNotNull() & n["duration"].isNotNull(), n))
 
 
 def parse_pair_signed(text: Column) -> Column:
     """(reactivity < 0, duration > 0): third and fourth number, else the last two, else null."""
-    tokens = F.regexp_extract_all(text, F.lit(EXPONENT_TOKEN), 1)
-    n = F.size(tokens)
-    third = F.when(n >= 4, _pair(tokens, F.get(tokens, F.lit(2)), F.get(tokens, F.lit(3))))
-    last = F.when(n >= 2, _pair(tokens, F.get(tokens, n - 2), F.get(tokens, n - 1)))
-    return F.coalesce(third, last)
+    def pick(t: Column) -> Column:
+        n = F.size(t)
+        third = F.when(n >= 4, _pair(F.get(t, F.lit(2)), F.get(t, F.lit(3))))
+        return F.coalesce(third, F.when(n >= 2, _pair(F.get(t, n - 2), F.get(t, n - 1))))
+
+    return let(F.regexp_extract_all(text, F.lit(EXPONENT_TOKEN), 1), pick)
 
 
 def parse_pair_loose(text: Column) -> Column:
     """Third and fourth token of the looser pattern, without a sign check."""
-    tokens = F.regexp_extract_all(text, F.lit(LOOSE_SIGNED_TOKEN), 1)
-    rho, dur = to_float(F.get(tokens, F.lit(2))), to_float(F.get(tokens, F.lit(3)))
-    return F.when(
-        (F.size(tokens) >= 4) & rho.isNotNull() & dur.isNotNull(),
-        F.struct(rho.alias("reactivity"), dur.alias("duration")),
-    )
+    return let(F.regexp_extract_all(text, F.lit(LOOSE_SIGNED_TOKEN), 1), lambda t: F.when(
+        F.size(t) >= 4, _pair(F.get(t, F.lit(2)), F.get(t, F.lit(3)), signed=False)))
 
 
 def format_problem(text: Column, min_numbers: int = 6) -> Column:

@@ -54,6 +54,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer input splits than the cluster has cores one partition per core.
+
+    Meant for small or single-file inputs under work that is heavy per row; a large table has more splits than
+    there are cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(staged: DataFrame) -> bool:
     """Whether a staged table (narrow rows) is small enough to copy to every executor."""
     return staged.count() <= BROADCAST_ROWS

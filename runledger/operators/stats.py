@@ -16,7 +16,7 @@ from runledger.functions.hashing import HEX_DIGITS, HEX_RANGE, order_hash
 from runledger.operators.joins import FALLBACK_GAIN, literal_map, model_pairs
 from runledger.operators.report import _join_groups, band_counts, rate
 from runledger.operators.scale import (
-    group_key, merged_with_stats, ordered_scan, quantiles, salted_join, stage, value_bucket,
+    group_key, merged_with_stats, ordered_scan, quantiles, salted_join, spread, stage, value_bucket,
 )
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -84,7 +84,7 @@ def poisson_bootstrap_ci(df: DataFrame, by: list[str], ids: list[str], replicate
     weights = F.array(*[
         poisson_weight(F.substring("_digest", k * HEX_DIGITS + 1, HEX_DIGITS)) for k in range(per_digest)])
     flags = [F.col(f"validation_success_{t}") for t in K.TOLERANCES]
-    rows = df.select(*by, *ids, *flags)
+    rows = spread(df.select(*by, *ids, *flags))
     blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // per_digest))))
     drawn = blocks.withColumn("_digest", digest).select(
         *by, *flags, "_block", F.posexplode(weights).alias("_slot", "_w"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from runledger.functions.hashing import add_draws
 from runledger.operators import generate as G
+from runledger.operators.scale import spread
 from runledger.plans.fixtures import query, r, rounded, table
 
 
 def ids(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 IDS = "ids AS (SELECT o_orderkey AS id FROM orders)"

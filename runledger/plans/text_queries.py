@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions import text as X
 from runledger.operators.joins import assign_regime
+from runledger.operators.scale import spread
 from runledger.operators.stats import fit_gain_by_regime
 from runledger.plans.fixtures import (
     CALIB_SQL, COMMAND, GEN_TEXT_SQL, LOGS_SQL, PAIR_TEXT_SQL, calib, gen_text, logs, pair_text, params, query, r,
@@ -92,8 +93,7 @@ def parse_last6(spark, sf):
 
 @query("txt_04_parse_last6_documents", _last6_sql(r"[\d.]+", 10, "documents", "doc_id"))
 def parse_last6_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return _last6(docs, "doc_id", X.parse_last6(F.col("text"), 10), X.UNSIGNED_TOKEN)
+    return _last6(spread(table(spark, sf, "documents")), "doc_id", X.parse_last6(F.col("text"), 10), X.UNSIGNED_TOKEN)
 
 
 @query("txt_05_parse_signed_last6", f"WITH {GEN_TEXT_SQL}" + _last6_sql(r"-?\d+\.?\d*", 8, "gen_text", "case_id"))
@@ -149,7 +149,7 @@ def valid_format(spark, sf):
 
 @query("txt_08_valid_format_documents", _format_sql("doc_id", "documents"))
 def valid_format_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.format_problem(F.col("text")).alias("problem"))
+    return spread(table(spark, sf, "documents")).select("doc_id", X.format_problem(F.col("text")).alias("problem"))
 
 
 DECK = """%EJCT

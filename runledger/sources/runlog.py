@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.text import to_float
-
 # ---- fixed values ---------------------------------------------------------------------------
 RESULTS_HEADER = "TRANSIENT RESULTS"
 RESULTS_END = "CPU time"
 SKIPPED_AFTER_HEADER = 2
-SECOND_AND_FOURTH = r"^\s*\S+\s+(\S+)\s+\S+\s+(\S+)"
+NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+ANY = r"(\S+)"
+FOUR_TOKENS = (r"^\s*\S+\s+", r"\s+\S+\s+", r"(?:\s|$)")
 # ---------------------------------------------------------------------------------------------
 
 
@@ -46,7 +46,7 @@ def run_log_points(df: DataFrame, ids: list[str], text: str = "text", end: str =
         *ids, "_lines",
         _positions("_lines", lambda s: F.contains(s, F.lit(RESULTS_HEADER))).alias("_seen"),
         _positions("_lines", is_end).alias("_ends"),
-    ).where(F.size("_seen") > 0)
+    )
     headers = F.aggregate(
         "_seen",
         F.array().cast("array<int>"),
@@ -69,29 +69,37 @@ def run_log_points_unskipped(df: DataFrame, ids: list[str], text: str = "text")
     """Variant reader: nothing skipped, no end; lines that start with Time or CPU are ignored."""
     first = F.array_min(_positions("_lines", lambda s: F.contains(s, F.lit(RESULTS_HEADER))))
     bordered = _split(df, ids, text).select(*ids, "_lines", (first + 1).alias("_start"), F.size("_lines").alias("_end"))
-    bare = F.ltrim(F.col("_text"))
-    other = (
-        ~F.contains(F.col("_text"), F.lit(RESULTS_HEADER))
-        & ~F.startswith(bare, F.lit("Time"))
-        & ~F.startswith(bare, F.lit("CPU"))
-    )
+
+    def other(line: Column) -> Column:
+        bare = F.ltrim(line)
+        ignored = F.startswith(bare, F.lit("Time")) | F.startswith(bare, F.lit("CPU"))
+        return ~F.contains(line, F.lit(RESULTS_HEADER)) & ~ignored
+
     return _points(bordered, ids, power_only=True, keep=other)
 
 
 def _split(df: DataFrame, ids: list[str], text: str) -> DataFrame:
-    return df.select(*ids, F.split(F.col(text), r"\r\n|\n|\r").alias("_lines"))
+    """Lines of the logs that have a results header at all; any of the three line ends."""
+    unix = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return df.where(F.contains(F.col(text), F.lit(RESULTS_HEADER))).select(*ids, F.split(unix, "\n").alias("_lines"))
+
+
+def _points(bordered: DataFrame, ids: list[str], power_only: bool, keep=None) -> DataFrame:
+    """Data points among the lines _start.._end-1.
+
+    The numbers are read before the lines are exploded, so that the filter on them does not read them again.
+    """
+    pattern = f"{FOUR_TOKENS[0]}{NUMBER if not power_only else ANY}{FOUR_TOKENS[1]}{NUMBER}{FOUR_TOKENS[2]}"
 
+    def point(line: Column) -> Column:
+        text = lambda k: F.regexp_extract(line, pattern, k)
+        number = lambda k: F.nullif(text(k), F.lit("")).try_cast("double")
+        value = F.struct((F.lit(None) if power_only else number(1)).cast("double").alias("t"), number(2).alias("power"))
+        return value if keep is None else F.when(keep(line), value)
 
-def _points(bordered: DataFrame, ids: list[str], power_only: bool, keep: Column | None = None) -> DataFrame:
-    """Data points among the lines _start.._end-1."""
     body = F.slice("_lines", F.col("_start") + 1, F.col("_end") - F.col("_start"))
-    lines = bordered.where(F.col("_end") > F.col("_start")).select(*ids, "_start", F.posexplode(body).alias("_k", "_text"))
-    if keep is not None:
-        lines = lines.where(keep)
-    tokens = lines.select(
-        *ids, (F.col("_start") + F.col("_k")).alias("line"),
-        F.regexp_extract("_text", SECOND_AND_FOURTH, 1).alias("_t"),
-        F.regexp_extract("_text", SECOND_AND_FOURTH, 2).alias("_p"))
-    points = tokens.select(*ids, "line", to_float(F.col("_t")).alias("t"), to_float(F.col("_p")).alias("power"))
-    points = points.where(F.col("power").isNotNull())
-    return points if power_only else points.where(F.col("t").isNotNull())
+    points = bordered.where(F.col("_end") > F.col("_start")).select(
+        *ids, "_start", F.posexplode(F.transform(body, point)).alias("_k", "_p"))
+    return points.select(
+        *ids, (F.col("_start") + F.col("_k")).alias("line"), F.col("_p.t").alias("t"), F.col("_p.power").alias("power")
+    ).where(F.col("power").isNotNull())
