@@ -243,7 +243,9 @@ def variance_ratio(df: DataFrame, value: str = "final_error", model: str = "mode
 
 def _slope_stats(x: Column, y: Column, keep: Column) -> list[Column]:
     kx, ky = F.when(keep, x), F.when(keep, y)
-    return [F.regr_slope(ky, kx).alias("slope"), F.regr_r2(ky, kx).alias("r2"), F.count(kx).alias("n_used")]
+    flat = F.min(ky) == F.max(ky)  # a constant response has no correlation
+    r2 = F.when(flat, F.lit(0.0)).otherwise(F.regr_r2(ky, kx))
+    return [F.regr_slope(ky, kx).alias("slope"), r2.alias("r2"), F.count(kx).alias("n_used")]
 
 
 def fit_gain(samples: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -304,14 +306,22 @@ def _keyed(stats: DataFrame, by: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, by: list[str], col: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins from min to max per group, the last one closed; empty bins are not listed."""
+    """Equal-width bins from min to max per group, the last one closed; empty bins are not listed.
+
+    A group with a single value gets bins from half a unit below to half a unit above it.
+    """
     x = F.col(col)
-    spans = df.where(x.isNotNull()).groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    spans = df.where(x.isNotNull()).groupBy(*by).agg(F.min(x).cast("double").alias("_min"), F.max(x).cast("double").alias("_max"))
+    margin = F.when(F.col("_min") == F.col("_max"), 0.5).otherwise(0.0)
+    spans = spans.select(*by, (F.col("_min") - margin).alias("_lo"), (F.col("_max") + margin).alias("_hi"))
     rows = merged_with_stats(_values(df, by, col), stage(_keyed(spans, by), "spans"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    counted = rows.groupBy("_g", "_lo", "_hi", at.cast("int").alias("bin")).agg(F.sum("_c").alias("n"))
-    edge = lambda k: F.col("_lo") + k * (F.col("_hi") - F.col("_lo")) / bins
+    value, lo = F.col("_v"), F.col("_lo")
+    width = (F.col("_hi") - lo) / bins
+    edge = lambda k: k * width + lo
+    guess = rows.withColumn("_k", F.least(F.floor((value - lo) / width), F.lit(bins - 1)).cast("int"))
+    k = F.col("_k")  # the division may round across an edge; the edges decide
+    at = F.when(value < edge(k), k - 1).when((value >= edge(k + 1)) & (k < bins - 1), k + 1).otherwise(k)
+    counted = guess.groupBy("_g", "_lo", "_hi", at.alias("bin")).agg(F.sum("_c").alias("n"))
     return counted.select(*[F.col(f"_g.{c}").alias(c) for c in by], "bin", edge(F.col("bin")).alias("left"),
                           edge(F.col("bin") + 1).alias("right"), "n")
 
@@ -337,7 +347,7 @@ def ecdf(df: DataFrame, by: list[str], col: str, mode: str = "rank") -> DataFram
 
 
 def box_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Quartiles, whiskers (most extreme value within 1.5 IQR of the box) and the number of outliers."""
+    """Quartiles, whiskers (most extreme value within 1.5 IQR, at least the box edge) and the number of outliers."""
     quartiles = quantiles(df, by, F.col(col), {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fences = quartiles.withColumns({
         "_low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "_high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
@@ -347,12 +357,13 @@ def box_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
     spans = rows.groupBy("_g").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"))
-    both = fences.join(spans, "_g")
+    both = fences.join(spans, "_g").withColumns({
+        "whisker_low": F.least("whisker_low", "q1"), "whisker_high": F.greatest("whisker_high", "q3")})
     return both.select(*[F.col(f"_g.{c}").alias(c) for c in by], "n", "q1", "median", "q3", "whisker_low",
                        "whisker_high", "outliers")
 
 
-def kde_grid(df: DataFrame, by: list[str], col: str, points: int = 50) -> DataFrame:
+def kde_grid(df: DataFrame, by: list[str], col: str, points: int = 100) -> DataFrame:
     """Gaussian density on a grid from min to max per group, bandwidth std * n^(-1/5).
 
     Exact: equal values are merged first, each distinct value adds to `points` sums that are combined map-side.

@@ -123,15 +123,16 @@ def jsonl_health(spark, sf):
     return R.jsonl_health(spark, path)
 
 
-PREDICTION_INPUT_SQL = """p AS (SELECT *, CASE WHEN case_id % 31 = 0 THEN NULL ELSE 60 + case_id % 41 END AS w,
-  CASE WHEN case_id % 37 = 0 THEN NULL ELSE round(target_final, 4) END AS target FROM runs)"""
+PREDICTION_INPUT_SQL = """p AS (SELECT *, case_id % 31 = 0 AS bad, CASE WHEN case_id % 31 = 0 OR case_id % 29 = 0 THEN NULL
+  ELSE 60 + case_id % 41 END AS w, CASE WHEN case_id % 37 = 0 THEN NULL ELSE round(target_final, 4) END AS target FROM runs)"""
 
 
 def _predictions(spark, sf, has_parsed: bool) -> DataFrame:
     key = F.col("case_id")
     raw = runs(spark, sf).select(
         run_name("val_", key, 4).alias("run_id"),
-        F.when(key % 31 == 0, "n/a").otherwise((60 + key % 41).cast("string")).alias("monitor_window"),
+        F.when(key % 31 == 0, "wide").when(key % 29 == 0, "n/a").otherwise((60 + key % 41).cast("string"))
+        .alias("monitor_window"),
         F.lit("1.0").alias("initial_power"),
         F.when(key % 37 == 0, F.lit(None)).otherwise(F.round("target_final", 4)).cast("string").alias("final_power"),
         F.concat(F.lit('said "['), key.cast("string"), F.lit(', 1]"')).alias("full_text"),
@@ -148,8 +149,8 @@ def _predictions_sql(parsed: str) -> str:
     return with_runs("").rstrip() + f""", {PREDICTION_INPUT_SQL}
 SELECT concat('val_', lpad(cast(case_id AS VARCHAR), cast(greatest(4, length(cast(case_id AS VARCHAR))) AS INTEGER), '0')) AS run_id,
   cast(w AS DOUBLE) AS monitor_window, 1e0 AS initial_power, target AS final_power, concat('said "[', case_id, ', 1]"') AS full_text,
-  {commands}, w IS NOT NULL AND target IS NOT NULL AND {parsed} AS parsed,
-  CASE WHEN w IS NULL OR target IS NULL THEN 'Invalid Input' WHEN NOT ({parsed}) THEN 'Parsing Failed' END AS error FROM p"""
+  {commands}, NOT bad AND {parsed} AS parsed,
+  CASE WHEN bad THEN 'Invalid Input' WHEN NOT ({parsed}) THEN 'Parsing Failed' END AS error FROM p"""
 
 
 @query("src_05_predictions_csv", _predictions_sql("parsing_success"))

@@ -177,8 +177,10 @@ def variance_ratio(spark, sf):
 
 @query("sta_14_histogram", with_scored("").rstrip() + f""",
 spans AS (SELECT model, min(final_error) AS lo, max(final_error) AS hi FROM scored GROUP BY model),
-binned AS (SELECT model, lo, hi, cast(least(floor((final_error - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin
-  FROM scored JOIN spans USING (model) WHERE final_error IS NOT NULL)
+edges AS (SELECT model, lo, hi, cast(b AS INTEGER) AS bin, b * ((hi - lo) / 50) + lo AS low, (b + 1) * ((hi - lo) / 50) + lo AS high
+  FROM spans, range(0, 50) t(b)),
+binned AS (SELECT model, e.lo, e.hi, e.bin FROM scored JOIN edges e USING (model)
+  WHERE final_error >= low AND (final_error < high OR bin = 49))
 SELECT model, bin, {r('lo + bin * (hi - lo) / 50')} AS "left", {r('lo + (bin + 1) * (hi - lo) / 50')} AS "right", count(*) AS n
 FROM binned GROUP BY model, bin, lo, hi""")
 def histogram(spark, sf):
@@ -213,10 +215,10 @@ q AS (SELECT model, power_bin, count(*) AS n, quantile_cont(final_error, 25e-2)
   quantile_cont(final_error, 75e-2) AS q3 FROM scored WHERE final_error IS NOT NULL GROUP BY ALL),
 f AS (SELECT *, q1 - 15e-1 * (q3 - q1) AS lo, q3 + 15e-1 * (q3 - q1) AS hi FROM q)
 SELECT model, power_bin, n, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3,
-  {r('min(final_error) FILTER (final_error BETWEEN lo AND hi)')} AS whisker_low,
-  {r('max(final_error) FILTER (final_error BETWEEN lo AND hi)')} AS whisker_high,
+  {r('least(q1, min(final_error) FILTER (final_error BETWEEN lo AND hi))')} AS whisker_low,
+  {r('greatest(q3, max(final_error) FILTER (final_error BETWEEN lo AND hi))')} AS whisker_high,
   count(*) FILTER (final_error < lo OR final_error > hi) AS outliers
-FROM scored JOIN f USING (model, power_bin) GROUP BY ALL""")
+FROM scored JOIN f USING (model, power_bin) GROUP BY model, power_bin, n, q1, median, q3""")
 def box_stats(spark, sf):
     return rounded(T.box_stats(scored(spark, sf), ["model", "power_bin"], "final_error"))
 
@@ -224,7 +226,7 @@ def box_stats(spark, sf):
 @query("sta_17_kde_grid", with_scored("").rstrip() + f""",
 spans AS (SELECT model, count(final_error) AS n, min(final_error) AS lo, max(final_error) AS hi,
   stddev_samp(final_error) * pow(count(final_error), -2e-1) AS h FROM scored GROUP BY model),
-grid AS (SELECT *, lo + g * (hi - lo) / 49 AS x FROM spans, range(0, 50) t(g))
+grid AS (SELECT *, lo + g * (hi - lo) / 99 AS x FROM spans, range(0, 100) t(g))
 SELECT model, cast(g AS INTEGER) AS grid, {r('x')} AS x,
   {r('sum(exp(-5e-1 * ((final_error - x) / h) * ((final_error - x) / h))) / (n * h * sqrt(2 * pi()))')} AS density
 FROM scored JOIN grid USING (model) WHERE final_error IS NOT NULL GROUP BY model, g, x, n, h""")

@@ -13,6 +13,10 @@ from runledger.functions.derive import nan_to_null
 from runledger.functions.text import to_float
 
 CORRUPT = "_corrupt_record"
+# ---- fixed values: texts that stand for a missing value in a prediction table ----------------
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+           "NULL", "NaN", "None", "n/a", "nan", "null"]
+# ---------------------------------------------------------------------------------------------
 
 
 def clean_nan(df: DataFrame) -> DataFrame:
@@ -56,6 +60,7 @@ def jsonl_health(spark: SparkSession, path: str, schema: StructType = schemas.RE
 def read_predictions_csv(spark: SparkSession, path: str, has_parsed: bool = True) -> DataFrame:
     """Prediction table: text inputs to numbers, `error` "Invalid Input" when one of them is not a number.
 
+    A missing input stays null and is no error. The text of the model is kept as it is.
     `parsed` is the text true/false; without that column a row counts as parsed when b1_pos is present.
     """
     fields = schemas.PREDICTIONS_TEXT.fields
@@ -66,8 +71,10 @@ def read_predictions_csv(spark: SparkSession, path: str, has_parsed: bool = True
 
 def type_predictions(raw: DataFrame) -> DataFrame:
     inputs = ["monitor_window", "initial_power", "final_power"]
+    known = [c for c in raw.columns if c not in ("run_id", "full_text")]
+    raw = raw.withColumns({c: F.when(~F.trim(c).isin(*MISSING), F.col(c)) for c in known})
     numbers = {c: to_float(F.col(c)) for c in inputs}
-    bad = reduce(Column.__or__, [n.isNull() for n in numbers.values()])
+    bad = reduce(Column.__or__, [F.col(c).isNotNull() & n.isNull() for c, n in numbers.items()])
     has_flag = "parsed" in raw.columns
     flag = F.lower(F.coalesce(F.col("parsed"), F.lit(""))) == "true" if has_flag else F.col("b1_pos").isNotNull()
     command = {c.name: to_float(F.col(c.name)) for c in schemas.COMMAND_STRUCT.fields}

@@ -162,6 +162,9 @@ def test_gain_fallbacks(spark):
     got = {r.regime: (round(r.Kp, 6), r.method) for r in T.fit_gain_by_regime(df, "x", "y").collect()}
     assert got == {"one": (35.5, "fallback"), "zero": (35.5, "fallback (samples too close to zero)"),
                    "good": (10.0, "linear_regression"), "poor": (10.0, "median_ratio (low R^2)")}
+    flat = spark.createDataFrame([("f", 0.1, 2.0), ("f", 0.2, 2.0), ("f", 0.4, 2.0)], "regime string, x double, y double")
+    row = T.fit_gain_by_regime(flat, "x", "y").first()
+    assert (row.Kp, row.r2, row.method) == (10.0, 0.0, "median_ratio (low R^2)")
     assert {r.regime: r.gain for r in T.single_gain(df, "x", "y", ["regime"]).collect()}["one"] == 200.0
 
 

@@ -27,6 +27,7 @@ def test_broken_lines_are_skipped_and_counted(spark, tmp_path):
     put(tmp_path / "in", "a.jsonl", "\n".join(lines))
     df = R.read_results_jsonl(spark, str(tmp_path / "in"))
     assert [r.case_id for r in df.orderBy("case_id").collect()] == [1, 3]
+    assert df.count() == 2
     health = R.jsonl_health(spark, str(tmp_path / "in")).first()
     assert (health.good, health.broken) == (2, 2)
 
