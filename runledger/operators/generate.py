@@ -3,6 +3,7 @@ partition is regenerated identically: all draws are hashes of (seed, tag, id).""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +163,15 @@ def gen_test_cases(ids: DataFrame, seed: int = 42, init: float = 1.0, fixed: lis
     )
 
 
+def published_cases(spark: SparkSession, n: int = 2000) -> DataFrame:
+    """The published case list itself, from the seeded generator it was drawn with. A few thousand rows by nature;
+    `gen_test_cases` has the same distribution at any size."""
+    drawn = np.random.RandomState(42).uniform(0.5, 1.5, max(0, n - len(FIXED_TARGETS)))
+    targets = (FIXED_TARGETS + [round(float(t), 5) for t in drawn])[:n]
+    rows = [(i, 1.0, t) for i, t in enumerate(targets, 1)]
+    return spark.createDataFrame(rows, "case_id long, target_initial double, target_final double")
+
+
 def gen_level_cases(ids: DataFrame, seed: int = 42) -> DataFrame:
     """Absolute-level version: from 245.44 down to at most half."""
     return gen_test_cases(ids, seed, LEVEL_INIT, FIXED_LEVEL_TARGETS, LEVEL_TARGET_RANGE, 2)

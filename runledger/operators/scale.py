@@ -74,6 +74,12 @@ def group_key(by: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
 
 
+def group_values(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """Group key `_g` and double `_v` of the rows that have a value; NaN counts as missing."""
+    values = df.select(group_key(by).alias("_g"), value.cast("double").alias("_v"))
+    return values.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+
+
 def value_bucket(value: Column, step: float = 1e-3) -> Column:
     """Monotone integer bucket of a finite double: equal width in ln|v|, so a relative width of `step`.
 
@@ -136,8 +142,7 @@ def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Ca
 
     `ranks[name](n)` is the 0-based position wanted in a group of n values.
     """
-    values = df.select(group_key(by).alias("_g"), value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    values = values.withColumn("_b", value_bucket(F.col("_v")))
+    values = group_values(df, by, value).withColumn("_b", value_bucket(F.col("_v")))
     whole = Window.partitionBy("_g")
     earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     spans = values.groupBy("_g", "_b").agg(F.count("*").alias("_c")).select(

@@ -16,7 +16,7 @@ from runledger.functions.hashing import HEX_DIGITS, HEX_RANGE, order_hash
 from runledger.operators.joins import FALLBACK_GAIN, literal_map, model_pairs
 from runledger.operators.report import _join_groups, band_counts, rate
 from runledger.operators.scale import (
-    group_key, merged_with_stats, ordered_scan, quantiles, salted_join, spread, stage, value_bucket,
+    group_key, group_values, merged_with_stats, ordered_scan, quantiles, salted_join, spread, stage, value_bucket,
 )
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -296,25 +296,16 @@ def origin_fit(samples: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 # ---- distribution tables --------------------------------------------------------------------
 
 
-def _values(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    values = df.select(group_key(by).alias("_g"), F.col(col).cast("double").alias("_v"))
-    return values.where(F.col("_v").isNotNull())
-
-
-def _keyed(stats: DataFrame, by: list[str]) -> DataFrame:
-    return stats.select(group_key(by).alias("_g"), *[c for c in stats.columns if c not in by])
-
-
 def histogram(df: DataFrame, by: list[str], col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins from min to max per group, the last one closed; empty bins are not listed.
 
     A group with a single value gets bins from half a unit below to half a unit above it.
     """
-    x = F.col(col)
-    spans = df.where(x.isNotNull()).groupBy(*by).agg(F.min(x).cast("double").alias("_min"), F.max(x).cast("double").alias("_max"))
+    values = group_values(df, by, F.col(col))
+    spans = values.groupBy("_g").agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     margin = F.when(F.col("_min") == F.col("_max"), 0.5).otherwise(0.0)
-    spans = spans.select(*by, (F.col("_min") - margin).alias("_lo"), (F.col("_max") + margin).alias("_hi"))
-    rows = merged_with_stats(_values(df, by, col), stage(_keyed(spans, by), "spans"))
+    spans = spans.select("_g", (F.col("_min") - margin).alias("_lo"), (F.col("_max") + margin).alias("_hi"))
+    rows = merged_with_stats(values, stage(spans, "spans"))
     value, lo = F.col("_v"), F.col("_lo")
     width = (F.col("_hi") - lo) / bins
     edge = lambda k: k * width + lo
@@ -332,13 +323,12 @@ def ecdf(df: DataFrame, by: list[str], col: str, mode: str = "rank") -> DataFram
     y is position / n * 100 ("rank") or (position - 1) / (n - 1) * 100 ("unit") of the first and last copy.
     Copies are collapsed before anything is ordered, so ties cost nothing.
     """
-    x = F.col(col).cast("double")
-    counted = df.where(x.isNotNull()).groupBy(*by, x.alias("value")).agg(F.count("*").alias("copies"))
+    values = group_values(df, by, F.col(col))
+    counted = values.groupBy("_g", F.col("_v").alias("value")).agg(F.count("*").alias("copies"))
+    counted = counted.select(*[F.col(f"_g.{c}").alias(c) for c in by], "value", "copies")
     placed = ordered_scan(counted, by, value_bucket(F.col("value")), ["value"], {"last_rank": ("sum", F.col("copies"))})
-    sizes = df.where(x.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
-    keyed = placed.withColumn("_g", group_key(by))
-    totals = stage(_keyed(sizes, by), "sizes")
-    joined = salted_join(keyed, totals, ["_g"], ["value"])
+    totals = stage(values.groupBy("_g").agg(F.count("*").alias("n")), "sizes")
+    joined = salted_join(placed.withColumn("_g", group_key(by)), totals, ["_g"], ["value"])
     first = F.col("last_rank") - F.col("copies") + 1
     y = (lambda r: r / F.col("n") * 100.0) if mode == "rank" else (
         lambda r: F.try_divide((r - 1).cast("double"), (F.col("n") - 1).cast("double")) * 100.0)
@@ -351,8 +341,9 @@ def box_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
     quartiles = quantiles(df, by, F.col(col), {"q1": 0.25, "median": 0.5, "q3": 0.75})
     fences = quartiles.withColumns({
         "_low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "_high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    fences = stage(_keyed(fences, by), "fences")
-    rows = merged_with_stats(_values(df, by, col), fences)
+    keyed = fences.select(group_key(by).alias("_g"), *[c for c in fences.columns if c not in by])
+    fences = stage(keyed, "fences")
+    rows = merged_with_stats(group_values(df, by, F.col(col)), fences)
     inside = F.col("_v").between(F.col("_low"), F.col("_high"))
     spans = rows.groupBy("_g").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
@@ -368,13 +359,13 @@ def kde_grid(df: DataFrame, by: list[str], col: str, points: int = 100) -> DataF
 
     Exact: equal values are merged first, each distinct value adds to `points` sums that are combined map-side.
     """
-    x = F.col(col).cast("double")
-    spans = df.where(x.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.stddev_samp(x).alias("_sd"))
-    spans = spans.where((F.col("_sd") > 0)).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    keyed = stage(_keyed(spans.drop("_sd"), by), "spans")
-    merged = _values(df, by, col).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
-    rows = salted_join(merged, keyed, ["_g"], ["_v"])
+    values = group_values(df, by, F.col(col))
+    spans = values.groupBy("_g").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_sd"))
+    width = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    spans = stage(spans.where(F.col("_sd") > 0).withColumn("_h", width).drop("_sd"), "spans")
+    merged = values.groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    rows = salted_join(merged, spans, ["_g"], ["_v"])
     grid = rows.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("_lo") + F.col("grid") * (F.col("_hi") - F.col("_lo")) / (points - 1)
     z = (F.col("_v") - at) / F.col("_h")

@@ -166,7 +166,8 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps numbered from 0 in time order; one point per second. Numbered by user and minute, so that a user
     with a large share of the events is not one task."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
+    ts = F.col("ts")  # without time zone: the parts order like the value in any session
+    minute = (F.unix_date(ts.cast("date")) * 24 + F.hour(ts)) * 60 + F.minute(ts)
     ranked = ordered_rank(events, ["user_id"], minute, ["ts", "event_id"], "_rank")
     return ranked.select(F.col("user_id").alias("run_id"), (F.col("_rank") - 1).alias("step"),
                          (F.col("_rank") - 1).cast("double").alias("t"), F.col("value").alias("power"))

@@ -152,12 +152,10 @@ def valid_format_documents(spark, sf):
     return spread(table(spark, sf, "documents")).select("doc_id", X.format_problem(F.col("text")).alias("problem"))
 
 
-DECK = """%EJCT
-! Final Bank Pos (steps)  Starts Move (seconds)  Speed (steps/second)
-  {b1_pos}  {b1_time}  {b1_speed}  ! Bank 1
-  {b2_pos}  {b2_time}  {b2_speed}  ! Bank 2
-{monitor_window}  0.25  {monitor_window}  1.0
-%ROD {init_b1}. {init_b2}.
+DECK = """initial {init_b1}. {init_b2}.
+move bank 1 to {b1_pos} at {b1_time} with {b1_speed}
+move bank 2 to {b2_pos} at {b2_time} with {b2_speed}
+watch {monitor_window} then {monitor_window}
 """
 
 

@@ -2,7 +2,6 @@
 
 import math
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,14 +44,9 @@ def test_kl_divergence_is_not_monotonic(histogram):
 
 @pytest.fixture(scope="module")
 def cases(spark):
-    """The 2,000 published cases: twelve fixed targets, then seeded uniforms."""
-    from runledger.operators.generate import FIXED_TARGETS
-
-    rng = np.random.RandomState(42)
-    targets = FIXED_TARGETS + [round(float(rng.uniform(0.5, 1.5)), 5) for _ in range(1988)]
-    rows = [(i, 1.0, t, True) for i, t in enumerate(targets, 1)]
-    return spark.createDataFrame(
-        rows, "case_id long, target_initial double, target_final double, validation_success_5 boolean")
+    from runledger.operators.generate import published_cases
+
+    return published_cases(spark).withColumn("validation_success_5", F.lit(True))
 
 
 @pytest.mark.parametrize("mode, expected", [

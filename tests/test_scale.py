@@ -67,6 +67,12 @@ def test_quantiles(joins, table, frame):
             assert got[key][name] == pytest.approx(np.quantile(x, q), rel=1e-12, abs=1e-15)
 
 
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([("a", v) for v in (1.0, float("nan"), 3.0, None)], "g string, x double")
+    row = S.quantiles(df, ["g"], F.col("x"), {"m": 0.5}).first()
+    assert (row.n, row.m) == (2, 2.0)
+
+
 def test_quantiles_of_the_whole_table(joins, table, frame):
     got = S.quantiles(table, [], F.col("x"), {"m": 0.5}).first()
     assert got.m == pytest.approx(frame.x.median()) and got.n == frame.x.notna().sum()

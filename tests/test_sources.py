@@ -98,6 +98,15 @@ def test_stream_resumes_and_restarts(spark, tmp_path):
     assert pump(str(tmp_path / "sink2"), str(tmp_path / "mark2")) == [1, 2, 3]
 
 
+def test_bounded_dedup(spark, tmp_path):
+    put(tmp_path / "in", "1.jsonl", "\n".join(
+        json.dumps({"case_id": i, "at": f"2024-01-01T00:00:0{i}Z"}) for i in (1, 2, 2, 1, 3)))
+    raw = spark.readStream.schema("case_id long, at timestamp").json(str(tmp_path / "in"))
+    query = Q.append_stream(Q.stream_dedup(raw, ["case_id"], "at", "1 hour"), str(tmp_path / "s"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert sorted(r.case_id for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [1, 2, 3]
+
+
 def test_stage_reads_back_what_it_wrote(spark):
     df = spark.range(10).withColumn("s", F.struct(F.lit(None).cast("string").alias("a"), F.col("id").alias("b")))
     assert sorted(stage(df).collect()) == sorted(df.collect())
