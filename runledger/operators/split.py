@@ -78,7 +78,7 @@ def shuffle(df: DataFrame, ids: list[str], seed: int = 42) -> DataFrame:
     return df.orderBy(order_hash(seed, *[F.col(c) for c in ids]), *ids)
 
 
-def shuffle_position(df: DataFrame, ids: list[str], seed: int = 42, digits: int = 3) -> DataFrame:
+def shuffle_position(df: DataFrame, ids: list[str], seed: int = 42, digits: int = 4) -> DataFrame:
     """The place of every row in `shuffle`, without sorting the table in one task."""
     hashed = df.withColumn("_h", order_hash(seed, *[F.col(c) for c in ids]))
     return ordered_rank(hashed, [], F.substring("_h", 1, digits), ["_h", *ids], "position").drop("_h")

@@ -1,4 +1,4 @@
-"""Whole jobs composed of the operators: closed-loop scoring, training text, gain scheduling, mixed data sets."""
+"""Whole jobs composed of the operators: scoring, the set of report tables, training text, gain scheduling, mixed data."""
 
 from __future__ import annotations
 
@@ -9,12 +9,16 @@ from runledger.functions import classify as K
 from runledger.functions import derive as D
 from runledger.functions import text as X
 from runledger.operators import joins as J
+from runledger.operators import report as R
 from runledger.operators import split as S
+from runledger.operators import stats as T
+from runledger.operators.report import normalize_results
 from runledger.operators.scale import stage
 from runledger.operators.stats import fit_gain_by_regime
 from runledger.operators.windows import run_summary
 from runledger.sources.readers import require_columns
 from runledger.sources.runlog import run_log_points
+from runledger.sources.writers import write_report_csv
 
 COMMAND = D.COMMAND
 
@@ -42,6 +46,35 @@ def score_closed_loop(cases: DataFrame, texts: DataFrame, logs: DataFrame, min_n
     return staged.withColumns({"final_error": miss, **D.success_columns(miss, F.col("target_final"))}).drop("_simulated")
 
 
+def report_tables(results: DataFrame, replicates: int = 10_000) -> dict[str, DataFrame]:
+    """The six report tables of a comparison, from result records labelled with `model`.
+
+    Records are cleaned and classified once and kept as a narrow table: the reports read it several times, and the
+    records usually come from JSON.
+    """
+    clean = normalize_results(results).select(
+        "model", "case_id", "target_final", "actual_final", "final_error", "simulation_success", "power_bin",
+        "scenario_type", *[f"validation_success_{t}" for t in K.TOLERANCES])
+    runs = stage(clean, "reports")
+    return {
+        "bootstrap_ci": T.bootstrap_ci(runs, ["model"], replicates),
+        "stratification": R.stratify(runs),
+        "fdr_comparison": T.fdr_bh(T.chi2_pairwise(runs), "p_value", ["model_a", "model_b", "tolerance"]),
+        "failure_distribution": R.failure_rows(runs),
+        "pattern_success": R.pattern_success(runs),
+        "percentiles": R.describe(runs, ["model"], "final_error"),
+    }
+
+
+def write_report_tables(results: DataFrame, folder: str, replicates: int = 10_000) -> list[str]:
+    """Write every report table as CSV below `folder`; returns the paths."""
+    paths = []
+    for name, table in report_tables(results, replicates).items():
+        paths.append(f"{folder}/{name}")
+        write_report_csv(table, paths[-1])
+    return paths
+
+
 def training_text(runs: DataFrame, ids: list[str], seed: int = 42) -> DataFrame:
     """Run table -> scenario, 80/10/10 part, full text, masked prompt and learned completion."""
     scenario = K.pattern_by_time(F.col("b1_time"), F.col("b2_time"), none_label="none", missing_label=None)
