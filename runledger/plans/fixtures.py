@@ -31,37 +31,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def r(expr: str, digits: int = 6) -> str:
+    return f"(round({expr}, {digits}) + 0e0)"
+
+
 # ---- runs: one row per order ----------------------------------------------------------------
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    digit, status = cust % 10, F.col("o_orderstatus")
-    parsed = key % 97 != 0
-    simulated = parsed & (key % 89 != 0)
-    spread = F.when(status == "F", 0.20).when(status == "O", 0.08).otherwise(0.03)
-    rel = ((key * 7919 + cust * 104729) % 2001 / 1000.0 - 1.0) * spread
-    target = 0.5 + (F.col("o_totalprice") - 1000.0) / 499000.0
-    init1 = F.when(cust % 2 == 0, 180).otherwise(100)
-    init2 = F.when(cust % 2 == 0, 100).otherwise(180)
-    on1, on2 = (digit < 3) | (digit >= 7), digit >= 3
-    start = 2.0 + key % 13
+    """Targets within 0.5..1.5, misses within 20 / 8 / 3 % by model, all four patterns, both initial configurations,
+    failed parses (1 in 97) and failed simulations (1 in 89). Commands of failed parses are null."""
+    base = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS case_id",
+        "CASE o_orderstatus WHEN 'F' THEN '1K' WHEN 'O' THEN '10K' ELSE '100K' END AS model",
+        "if(o_custkey % 2 = 0, 180, 100) AS init_b1", "if(o_custkey % 2 = 0, 100, 180) AS init_b2",
+        "5e-1 + (o_totalprice - 1e3) / 499e3 AS target_final",
+        "o_orderkey % 97 <> 0 AS parsing_success",
+        "o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0 AS simulation_success",
+        "o_custkey % 10 < 3 OR o_custkey % 10 >= 7 AS on1", "o_custkey % 10 >= 3 AS on2",
+        "if(o_custkey % 10 = 9, 5e0, 2e0) + o_orderkey % 13 AS start2",
+        "((o_orderkey * 7919 + o_custkey * 104729) % 2001 / 1e3 - 1e0)"
+        " * CASE o_orderstatus WHEN 'F' THEN 20e-2 WHEN 'O' THEN 8e-2 ELSE 3e-2 END AS rel")
     command = {
-        "b1_pos": F.when(on1, (60 + key % 121).cast("int")).otherwise(init1),
-        "b1_time": F.when(on1, start).otherwise(0.0),
-        "b1_speed": F.when(on1, 0.5 + (key % 26) / 10.0).otherwise(0.0),
-        "b2_pos": F.when(on2, (70 + key % 91).cast("int")).otherwise(init2),
-        "b2_time": F.when(digit == 9, 5.0 + key % 13).when(on2, start).otherwise(0.0),
-        "b2_speed": F.when(on2, 0.2 + (key % 19) / 10.0).otherwise(0.0),
+        "b1_pos": "if(on1, int(60 + case_id % 121), init_b1)", "b1_time": "if(on1, 2e0 + case_id % 13, 0e0)",
+        "b1_speed": "if(on1, 5e-1 + (case_id % 26) / 1e1, 0e0)",
+        "b2_pos": "if(on2, int(70 + case_id % 91), init_b2)", "b2_time": "if(on2, start2, 0e0)",
+        "b2_speed": "if(on2, 2e-1 + (case_id % 19) / 1e1, 0e0)",
     }
-    model = F.when(status == "F", "1K").when(status == "O", "10K").otherwise("100K")
-    return table(spark, sf_dir, "orders").select(
-        key.alias("case_id"), model.alias("model"), init1.alias("init_b1"), init2.alias("init_b2"),
-        F.lit(1.0).alias("target_initial"), target.alias("target_final"),
-        parsed.alias("parsing_success"), simulated.alias("simulation_success"),
-        *[F.when(parsed, c).alias(n) for n, c in command.items()],
-        F.when(simulated, target * (1.0 + rel)).alias("actual_final"),
-    )
+    return base.selectExpr(
+        "case_id", "model", "init_b1", "init_b2", "1e0 AS target_initial", "target_final", "parsing_success",
+        "simulation_success", *[f"CASE WHEN parsing_success THEN {c} END AS {n}" for n, c in command.items()],
+        "CASE WHEN simulation_success THEN target_final * (1e0 + rel) END AS actual_final")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +154,17 @@ def regime_sql(delta: str, fallback: bool = True) -> str:
     return REGIME_CASE.format(d=delta, rest=rest)
 
 
+REGIMES_SQL = f"""samples AS (SELECT *, {regime_sql('power_delta', False)} AS regime FROM calib
+  WHERE power_delta >= -1 AND power_delta < 1)"""
+
+FITS_SQL = f"""fits AS (SELECT regime, count(*) AS n_samples, count(*) FILTER (u) AS n_used,
+    regr_slope(delta_step, power_delta) FILTER (u) AS slope, regr_r2(delta_step, power_delta) FILTER (u) AS r2,
+    quantile_cont(abs(delta_step / power_delta), 5e-1) FILTER (u) AS med
+  FROM (SELECT *, abs(power_delta) > 1e-4 AS u FROM samples) GROUP BY regime),
+fitted AS (SELECT regime, n_samples, {r("CASE WHEN n_used < 2 THEN 355e-1 WHEN r2 >= 5e-1 AND abs(slope) > 0 THEN abs(slope) ELSE med END")} AS "Kp",
+  {r('r2')} AS r2, CASE WHEN n_used < 2 THEN 'fallback' WHEN r2 >= 5e-1 AND abs(slope) > 0 THEN 'linear_regression'
+    ELSE 'median_ratio (low R^2)' END AS method, 'ok' AS status FROM fits)"""
+
 GAINS_SQL = """
 gains(regime, regime_order, "Kp") AS (VALUES ('large_dec', 0, 945e-1), ('medium_dec', 1, 4576e-2),
   ('small_dec', 2, 3123e-2), ('small_inc', 3, 25e0), ('medium_inc', 4, 2335e-2), ('large_inc', 5, 1992e-2))"""
@@ -291,7 +302,3 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double: two engines add floats in different orders."""
     doubles = [n for n, t in df.dtypes if t == "double"]
     return df.withColumns({c: F.round(F.col(c), digits) for c in doubles}) if doubles else df
-
-
-def r(expr: str, digits: int = 6) -> str:
-    return f"(round({expr}, {digits}) + 0e0)"

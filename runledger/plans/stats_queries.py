@@ -10,7 +10,7 @@ from runledger.operators import report as R
 from runledger.operators import split as S
 from runledger.operators import stats as T
 from runledger.plans.fixtures import (
-    CALIB_SQL, calib, query, r, regime_sql, rounded, runs, scored, with_runs, with_scored, windowed, WINDOWED_SQL,
+    CALIB_SQL, FITS_SQL, REGIMES_SQL, calib, query, r, rounded, runs, scored, with_runs, with_scored, windowed, WINDOWED_SQL,
 )
 from runledger.plans.report_queries import COUNTS_SQL, MAIN_SQL, PAIRS_SQL, TOLS
 from runledger.functions.classify import window_bin
@@ -35,9 +35,19 @@ def poisson_bootstrap(spark, sf):
     return rounded(T.poisson_bootstrap_ci(scored(spark, sf), ["model"], ["case_id"], REPLICATES))
 
 
-@query("sta_01_bootstrap_ci_binomial")
+@query("sta_01_bootstrap_ci_binomial", with_scored("").rstrip() + f""", {COUNTS_SQL}
+SELECT model, tolerance, successes, total, {r('successes / total')} AS success_rate, true AS lower_near_normal,
+  true AS upper_near_normal, true AS covers_rate FROM counts""")
 def bootstrap(spark, sf):
-    return rounded(T.bootstrap_ci(scored(spark, sf), ["model"]))
+    """The draws have no SQL, so the bounds are shown as tests: both lie where the normal approximation puts them
+    (within 0.4 standard errors and one case), and the rate lies between them."""
+    ci = T.bootstrap_ci(scored(spark, sf), ["model"])
+    p, n = F.col("success_rate"), F.col("total")
+    error = F.sqrt(p * (1 - p) / n)
+    near = lambda bound, side: F.abs(F.col(bound) - (p + side * 1.96 * error)) <= 0.4 * error + 1 / n
+    return rounded(ci.select(
+        "model", "tolerance", "successes", "total", "success_rate", near("ci_lower", -1).alias("lower_near_normal"),
+        near("ci_upper", 1).alias("upper_near_normal"), p.between(F.col("ci_lower"), F.col("ci_upper")).alias("covers_rate")))
 
 
 _POLY = f"{T.ERFC_FIT[-1]}e0"
@@ -112,18 +122,7 @@ def fit_gain(spark, sf):
     return rounded(T.fit_gain(calib(spark, sf), "power_delta", "delta_step", ["grp"]))
 
 
-REGIMES_SQL = f"""samples AS (SELECT *, {regime_sql('power_delta', False)} AS regime FROM calib
-  WHERE power_delta >= -1 AND power_delta < 1)"""
-
-
-@query("sta_08_fit_gain_by_regime", f"""WITH {CALIB_SQL}, {REGIMES_SQL},
-fits AS (SELECT regime, count(*) AS n_samples, count(*) FILTER (u) AS n_used,
-    regr_slope(delta_step, power_delta) FILTER (u) AS slope, regr_r2(delta_step, power_delta) FILTER (u) AS r2,
-    quantile_cont(abs(delta_step / power_delta), 5e-1) FILTER (u) AS med
-  FROM (SELECT *, abs(power_delta) > 1e-4 AS u FROM samples) GROUP BY regime)
-SELECT regime, n_samples, {r("CASE WHEN n_used < 2 THEN 355e-1 WHEN r2 >= 5e-1 AND abs(slope) > 0 THEN abs(slope) ELSE med END")} AS "Kp",
-  {r('r2')} AS r2, CASE WHEN n_used < 2 THEN 'fallback' WHEN r2 >= 5e-1 AND abs(slope) > 0 THEN 'linear_regression'
-    ELSE 'median_ratio (low R^2)' END AS method, 'ok' AS status FROM fits""")
+@query("sta_08_fit_gain_by_regime", f"WITH {CALIB_SQL}, {REGIMES_SQL}, {FITS_SQL} SELECT * FROM fitted")
 def fit_by_regime(spark, sf):
     samples = J.assign_regime(calib(spark, sf), "power_delta")
     return rounded(T.fit_gain_by_regime(samples, "power_delta", "delta_step"))

@@ -9,7 +9,7 @@ from runledger.operators.joins import assign_regime
 from runledger.operators.scale import spread
 from runledger.operators.stats import fit_gain_by_regime
 from runledger.plans.fixtures import (
-    CALIB_SQL, COMMAND, GEN_TEXT_SQL, LOGS_SQL, PAIR_TEXT_SQL, calib, gen_text, logs, pair_text, params, query, r,
+    CALIB_SQL, COMMAND, FITS_SQL, GEN_TEXT_SQL, LOGS_SQL, PAIR_TEXT_SQL, REGIMES_SQL, calib, gen_text, logs, pair_text, params, query, r,
     rounded, runs, table, with_runs,
 )
 from runledger.sources.runlog import run_log_points, run_log_points_unskipped
@@ -222,11 +222,17 @@ def to_json(spark, sf):
     return records_to_json(runs(spark, sf).select("case_id", "model", "init_b1", "parsing_success", "b1_time"))
 
 
-@query("jsn_03_calibration_map")
+@query("jsn_03_calibration_map", f"""WITH {CALIB_SQL}, {REGIMES_SQL}, {FITS_SQL},
+t AS (SELECT count(*) AS n_total_samples, {r('min(power_delta)')} AS x_min, {r('max(power_delta)')} AS x_max,
+  min(delta_step) AS y_min, max(delta_step) AS y_max FROM calib)
+SELECT fitted.*, t.* FROM fitted, t""")
 def calibration(spark, sf):
+    """The record with its map opened again, so that every entry can be compared."""
     samples = calib(spark, sf)
     fits = fit_gain_by_regime(assign_regime(samples, "power_delta"), "power_delta", "delta_step")
-    return calibration_map(fits, samples).withColumn("regimes", F.to_json("regimes"))
+    record = calibration_map(fits, samples)
+    ranges = [c for c in record.columns if c != "regimes"]
+    return rounded(record.select(*ranges, F.explode("regimes").alias("regime", "fit")).select("regime", "fit.*", *ranges))
 
 
 @query("jsn_03_calibration_samples", f"""WITH {CALIB_SQL}
