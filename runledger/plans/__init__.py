@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["source_queries", "classify_queries", "text_queries", "generate_queries", "stats_queries", "report_queries", "flow_queries"]
+MODULES = [
+    "source_queries", "classify_queries", "text_queries", "generate_queries", "stats_queries", "report_queries",
+    "flow_queries",
+]
 
 
 def _load():

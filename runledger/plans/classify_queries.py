@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from runledger.functions import classify as K
 from runledger.functions import derive as D
-from runledger.operators.joins import lookup_gain, scheduled_command
+from runledger.operators.joins import scheduled_command
 from runledger.operators.report import unpivot_errors
 from runledger.plans.fixtures import (
     COMMAND, GAINS_SQL, PATTERN_SQL, bin_sql, query, r, regime_sql, rounded, runs, scored, table, with_runs,
-    with_scored, windowed, WINDOWED_SQL, trace, TRACE_SQL,
+    with_scored, trace, TRACE_SQL,
 )
 
 

@@ -8,6 +8,7 @@ from runledger.functions import classify as K
 from runledger.operators import joins as J
 from runledger.operators import report as R
 from runledger.operators import windows as W
+from runledger.operators.scale import stage
 from runledger.plans.fixtures import (
     CALIB_SQL, COMMAND, GAINS_SQL, MAIN_PATTERNS_SQL, TRACE_SQL, WINDOWED_SQL, bin_sql, calib, query, r, regime_sql, rounded, runs, scored,
     table, trace, windowed, with_runs, with_scored,
@@ -412,7 +413,8 @@ near AS (SELECT run_id, arg_min(step, {{'d': abs(t - 105e-1), 's': step}}) AS s,
 SELECT run_id, v AS initial_value, f AS final_value, min(power) AS min_value, max(power) AS max_value
 FROM trace JOIN near USING (run_id) WHERE step >= s GROUP BY run_id, v, f""")
 def at_nearest_time(spark, sf):
-    return W.at_nearest_time(trace(spark, sf), 10.5, "t", "power")
+    # a trace is a stored table; here it is derived, so it is written before it is read twice
+    return W.at_nearest_time(stage(trace(spark, sf), "trace"), 10.5, "t", "power")
 
 
 @query("win_05_order_by_case", with_runs("SELECT case_id, model, target_final FROM runs ORDER BY case_id"))

@@ -66,12 +66,8 @@ def _shown(df: DataFrame) -> DataFrame:
     return rounded(flat.select(*RECORD_COLUMNS), 9)
 
 
-def _write_documents(docs: DataFrame, path: str) -> None:
-    """One file per document; a document holds at most CHUNK records."""
-    docs.write.partitionBy("doc").text(path)
-
-
 def _arrays(spark, sf) -> DataFrame:
+    """One array per document; a document holds at most CHUNK records, as case ids are unique."""
     chunk = F.floor(F.col("case_id") / CHUNK).cast("string")
     return records(spark, sf).groupBy(chunk.alias("doc")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
 
@@ -79,7 +75,7 @@ def _arrays(spark, sf) -> DataFrame:
 @query("src_02_results_json", with_scored(RECORDS_SQL))
 def results_json(spark, sf):
     path = new_path(spark, "arrays")
-    _write_documents(_arrays(spark, sf), path)
+    W.write_documents(_arrays(spark, sf), "doc", "value", path)
     return _shown(R.read_results_json(spark, f"{path}/*"))
 
 
@@ -96,7 +92,7 @@ def results_enveloped(spark, sf):
                        F.when(F.col("_c") % 2 == 0, F.to_json(F.struct("results")))
                        .otherwise(F.to_json("results")).alias("value"))
     path = new_path(spark, "enveloped")
-    _write_documents(single.unionByName(many), path)
+    W.write_documents(single.unionByName(many), "doc", "value", path)
     return _shown(R.read_results_enveloped(spark, f"{path}/*"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runledger.functions.classify import MAIN_PATTERNS
 from runledger.operators import joins as J
 from runledger.operators import report as R
 from runledger.operators import split as S

@@ -17,7 +17,7 @@ FOUR_TOKENS = (r"^\s*\S+\s+", r"\s+\S+\s+", r"(?:\s|$)")
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file: run_id (file name) and text. A log is the output of one run."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return files.select(name.alias("run_id"), F.col("value").alias("text"))
 

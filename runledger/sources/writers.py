@@ -29,8 +29,9 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def write_texts(df: DataFrame, text: str, path: str) -> None:
-    df.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
+def write_documents(df: DataFrame, key: str, text: str, path: str) -> None:
+    """One text file per row (an input deck, a JSON document), in a folder named after `key`."""
+    df.select(key, F.col(text).alias("value")).write.partitionBy(key).text(path)
 
 
 def records_to_json(df: DataFrame, name: str = "json") -> DataFrame:

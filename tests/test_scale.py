@@ -253,6 +253,12 @@ def test_chi_square_against_the_table(spark):
     assert out.p_value == pytest.approx(math.erfc(math.sqrt(out.chi2 / 2)), rel=2e-7)
 
 
+def test_only_short_tables_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert S.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+    assert S.spread(spark.range(0, 100, 1, 3 * cores)).rdd.getNumPartitions() == 3 * cores
+
+
 def test_buckets_are_monotone(spark):
     values = sorted([0.0, 1e-300, -1e-300, 1e300, -1e300, 1.0, 1.0000001, -1.0, -2.5, 0.1, float("inf"), float("-inf"),
                      *np.random.default_rng(0).normal(0, 100, 500).tolist()])

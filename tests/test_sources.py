@@ -98,6 +98,22 @@ def test_stream_resumes_and_restarts(spark, tmp_path):
     assert pump(str(tmp_path / "sink2"), str(tmp_path / "mark2")) == [1, 2, 3]
 
 
+def test_decks_and_logs_are_files(spark, tmp_path):
+    from runledger.functions.text import render_deck
+    from runledger.sources.runlog import read_run_logs, run_log_points
+
+    cases = spark.createDataFrame([(1, 120, 2.5), (2, 90, 0.0)], "case_id long, pos int, at double")
+    decks = cases.withColumn("deck", render_deck("bank 1\n{pos} {at}\n", {"pos": F.col("pos"), "at": F.col("at")}))
+    W.write_documents(decks, "case_id", "deck", str(tmp_path / "decks"))
+    back = spark.read.text(str(tmp_path / "decks"), wholetext=True)
+    assert {r.case_id: r.value.strip() for r in back.collect()} == {1: "bank 1\n120 2.5", 2: "bank 1\n90 0.0"}
+
+    for name in ("a", "b"):
+        put(tmp_path / "logs", f"{name}.out", f"TRANSIENT RESULTS\n-\n-\n1 0.0 0 1.{ord(name)}\n")
+    points = run_log_points(read_run_logs(spark, str(tmp_path / "logs")), ["run_id"])
+    assert {r.run_id: r.power for r in points.collect()} == {"a.out": 1.97, "b.out": 1.98}
+
+
 def test_bounded_dedup(spark, tmp_path):
     put(tmp_path / "in", "1.jsonl", "\n".join(
         json.dumps({"case_id": i, "at": f"2024-01-01T00:00:0{i}Z"}) for i in (1, 2, 2, 1, 3)))
