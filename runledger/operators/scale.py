@@ -137,12 +137,14 @@ def ordered_rank(df: DataFrame, by: list[str], bucket: Column, order: list[str],
     return ordered_scan(df, by, bucket, order, {name: ("sum", one)}, descending)
 
 
-def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Callable[[Column], Column]],
+                step: float = 1e-3) -> DataFrame:
     """Exact order statistics of the non-null values per group: by..., n, one column per entry of `ranks`.
 
-    `ranks[name](n)` is the 0-based position wanted in a group of n values.
+    `ranks[name](n)` is the 0-based position wanted in a group of n values. `step` is the relative width of the
+    histogram buckets; a finer one spreads values that lie close together over more tasks.
     """
-    values = group_values(df, by, value).withColumn("_b", value_bucket(F.col("_v")))
+    values = group_values(df, by, value).withColumn("_b", value_bucket(F.col("_v"), step))
     whole = Window.partitionBy("_g")
     earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     spans = values.groupBy("_g", "_b").agg(F.count("*").alias("_c")).select(
@@ -175,13 +177,13 @@ def _merge_near(values: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     return values.groupBy(*values.columns).agg(F.count("*").alias("_c")).join(side, on)
 
 
-def quantiles(df: DataFrame, by: list[str], value: Column, qs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: Column, qs: dict[str, float], step: float = 1e-3) -> DataFrame:
     """Exact quantiles with linear interpolation: by..., n, one column per entry of `qs`."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, q in qs.items():
         ranks[f"{name}__lo"] = lambda n, q=q: F.floor((n - 1) * F.lit(float(q)))
         ranks[f"{name}__hi"] = lambda n, q=q: F.ceil((n - 1) * F.lit(float(q)))
-    stats = order_stats(df, by, value, ranks)
+    stats = order_stats(df, by, value, ranks, step)
     out, last = [], F.col("n") - 1
     for name, q in qs.items():
         at, lo = last * F.lit(float(q)), F.col(f"{name}__lo")

@@ -69,8 +69,12 @@ def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def failed_cases(df: DataFrame, suite: list[str], cap: int = 20) -> DataFrame:
-    """Failures of every suite that has at most `cap` of them; only those with a computed error are listed."""
+def failed_cases(df: DataFrame, suite: list[str], cap: int = 20, ids: list[str] | None = None) -> DataFrame:
+    """Failures of every suite that has at most `cap` of them; only those with a computed error are listed.
+
+    A suite that fails very often is dropped by the join, so its rows must not meet in one task on the way there:
+    the join is broadcast or salted by `ids`.
+    """
     failed = df.where(~flag(F.col("validation_success_5")))
     few = failed.groupBy(*suite).agg(F.count("*").alias("failures")).where(F.col("failures") <= cap)
-    return failed.where(F.col("final_error") > 0).join(few, suite)
+    return salted_join(failed.where(F.col("final_error") > 0), stage(few, "few"), suite, ids or ["case_id"])

@@ -209,6 +209,20 @@ def test_nearest_time(joins, spark):
     assert (got["short"].initial_value, got["short"].final_value) == (3.0, 3.0)
 
 
+@pytest.mark.parametrize("step", [1e-5, 1e-3, 0.5])
+def test_bucket_width_does_not_matter(table, frame, step):
+    got = S.quantiles(table, [], F.col("x"), {"a": 0.1, "b": 0.77}, step).first()
+    assert (got.a, got.b) == (pytest.approx(frame.x.quantile(0.1)), pytest.approx(frame.x.quantile(0.77)))
+
+
+def test_failed_cases_of_quiet_suites(joins, spark):
+    rows = [(i, "loud", False, 0.5) for i in range(300)] + [(300, "quiet", False, 0.2), (301, "quiet", False, None),
+                                                            (302, "quiet", True, 0.01), (303, "fine", True, 0.0)]
+    df = spark.createDataFrame(rows, "case_id long, suite string, validation_success_5 boolean, final_error double")
+    got = W.failed_cases(df, ["suite"], 20).collect()
+    assert [(r.case_id, r.suite, r.failures) for r in got] == [(300, "quiet", 2)]
+
+
 def test_fdr_matches_the_definition(joins, spark):
     p = [0.001, 0.2, 0.04, 0.04, 0.9, 0.0, 1e-30, None, 0.03]
     df = spark.createDataFrame(list(enumerate(p)), "i int, p double")
