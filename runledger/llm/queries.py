@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import mixing, sharding, token_counts, token_files
+from runledger.llm import decontamination, mixing, phrases, quality, sharding, token_counts, token_files
 from runledger.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,36 @@ def external_shuffle(spark, sf_dir):
 @query("op4_token_counts")
 def count_tokens(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary())
+
+
+@query("op6_leaks", """
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    spans AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
+    items AS (
+      SELECT min(item_id) AS item_id, w
+      FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark)
+      WHERE len(w) >= 5 GROUP BY w),
+    parts AS (
+      SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM items)),
+    sizes AS (SELECT item_id, count(*) AS n_shingles FROM parts GROUP BY item_id),
+    common AS (SELECT doc_id, item_id, count(*) AS n_common FROM spans JOIN parts USING (s) GROUP BY ALL)
+    SELECT doc_id, item_id, n_shingles, n_common, n_common / n_shingles AS containment
+    FROM common JOIN sizes USING (item_id) WHERE 100 * n_common >= 80 * n_shingles
+""")
+def leaks(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.find_leaks(documents(spark, sf_dir), items).drop("text_hash")
+
+
+@query("op8_phrase_fingerprints")
+def phrase_fingerprints(spark, sf_dir):
+    return phrases.fingerprints(documents(spark, sf_dir))
+
+
+@query("op10_pu_quality")
+def pu_quality(spark, sf_dir):
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

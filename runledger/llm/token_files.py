@@ -6,7 +6,7 @@ Layout of a folder, written by Spark's Parquet committer so that a lost executor
 * `blocks/`      rows of about a megabyte in ascending id order: the sha256 of the dictionary, the frames one after the
                  other, and per document its id, the offset and length of its frame and its number of ids
 
-The arrays of a block are the offset index: `lookup` reads them without the payloads, then cuts single frames out.
+The arrays of a block are the offset index: `lookup` finds the blocks of its documents by them and decompresses single frames.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,41 +139,39 @@ def _part_starts(blocks: DataFrame) -> DataFrame:
     return parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
 
 
-def _unpack(spark: SparkSession, path: str, frames: DataFrame, id_type) -> DataFrame:
-    """Decoded ids (little-endian unsigned 32-bit) of rows (id, start, frame)."""
+def _unpack(spark: SparkSession, path: str, id: str, wanted: list | None = None) -> DataFrame:
+    """Documents of the blocks, or only those of the wanted ids; a task holds one block's ids at a time."""
     sha, kind, data, width, _ = _load_dictionary(spark, path)
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
+    blocks = spark.read.parquet(f"{path}/blocks")
+    id_type = blocks.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField(id, id_type), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
+    if wanted is not None:
+        blocks = blocks.where(F.arrays_overlap("ids", F.array(*[F.lit(w).cast(id_type) for w in wanted])))
+    chosen = None if wanted is None else set(wanted)
+    placed = blocks.join(F.broadcast(_part_starts(spark.read.parquet(f"{path}/blocks"))), "part").select(
+        (F.col("part_start") + F.col("before")).alias("start"), "dictionary_sha256", "payload", "ids", "offsets", "lengths", "n_tokens")
 
     def decode(batches):
         used = _dictionary(kind, data)
         unpacker = zstandard.ZstdDecompressor(dict_data=used) if used else zstandard.ZstdDecompressor()
         for batch in batches:
-            if any(x != sha for x in batch.column("sha256").to_pylist()):
-                raise ValueError("the blocks were written with another dictionary")
-            out = [np.frombuffer(unpacker.decompress(f), f"<u{width}").astype("<u4").tobytes() for f in batch.column("frame").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), pa.array(out, pa.binary())], ["id", "start", "ids"])
-
-    return frames.mapInArrow(decode, schema)
+            for k in range(batch.num_rows):
+                start, written, payload, keys, offsets, lengths, counts = (c[k].as_py() for c in batch.columns)
+                if written != sha:
+                    raise ValueError("the blocks were written with another dictionary")
+                starts = start + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+                some = [i for i, key in enumerate(keys) if chosen is None or key in chosen]
+                frames = (payload[offsets[i]:offsets[i] + lengths[i]] for i in some)
+                ids = [np.frombuffer(unpacker.decompress(f), f"<u{width}").astype("<u4").tobytes() for f in frames]
+                own = pa.array([keys[i] for i in some], batch.column(3).type.value_type)
+                yield pa.RecordBatch.from_arrays([own, pa.array(starts[some], pa.int64()), pa.array(ids, pa.binary())], schema.names)
 
-
-def _frames(spark: SparkSession, path: str, wanted: Column | None = None) -> tuple[DataFrame, T.DataType]:
-    blocks = spark.read.parquet(f"{path}/blocks")
-    id_type = blocks.schema["ids"].dataType.elementType
-    index = blocks.select("part", "before", F.posexplode(F.arrays_zip("ids", "offsets", "lengths", "n_tokens")), "dictionary_sha256", "payload", "n_tokens")
-    if wanted is not None:
-        index = index.where(wanted)
-    inside = F.aggregate(F.slice("n_tokens", 1, F.col("pos")), F.lit(0).cast("long"), lambda a, x: a + x)
-    placed = index.join(F.broadcast(_part_starts(blocks)), "part")
-    return placed.select(
-        F.col("col.ids").alias("id"), (F.col("part_start") + F.col("before") + inside).alias("start"),
-        F.col("dictionary_sha256").alias("sha256"), F.substring("payload", F.col("col.offsets") + 1, F.col("col.lengths")).alias("frame"),
-    ), id_type
+    return placed.mapInArrow(decode, schema)
 
 
 def read_tokens(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame:
     """Documents of a folder: id, start (ids before it), ids (binary, little-endian unsigned 32-bit, end id included)."""
-    frames, id_type = _frames(spark, path)
-    return _unpack(spark, path, frames, id_type).withColumnRenamed("id", id)
+    return _unpack(spark, path, id)
 
 
 def digests(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame:
@@ -183,6 +181,5 @@ def digests(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, wanted: list, id: str = "doc_id") -> DataFrame:
-    """As `read_tokens` for a few given ids; only their frames are cut out and decompressed."""
-    frames, id_type = _frames(spark, path, F.col("col.ids").isin(wanted))
-    return _unpack(spark, path, frames, id_type).withColumnRenamed("id", id)
+    """As `read_tokens` for a few given ids; only their frames are cut out of the blocks and decompressed."""
+    return _unpack(spark, path, id, wanted)
