@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontamination, mixing, phrases, quality, sharding, token_counts, token_files
+from runledger.llm import decontamination, mixing, near_dups, phrases, quality, sharding, token_counts, token_files
 from runledger.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def phrase_fingerprints(spark, sf_dir):
 @query("op10_pu_quality")
 def pu_quality(spark, sf_dir):
     return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_multi_index_near_dups")
+def multi_index_near_dups(spark, sf_dir):
+    return near_dups.near_duplicates(documents(spark, sf_dir), k=2)
