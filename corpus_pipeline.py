@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import mixing, token_files
+from runledger.llm import decontamination, mixing, near_dups, quality, token_files
 from runledger.llm.common import new_folder
 from runledger.llm.queries import vocabulary
 
@@ -12,6 +12,22 @@ from runledger.llm.queries import vocabulary
 ORACLE_SQL = None
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, labels)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dups.one_of_each(docs, k=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.repeated(mixing.mix(docs, keep=docs.columns)).select(*docs.columns)
@@ -25,6 +41,9 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 STAGES = [
+    ("quality", good_quality),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontaminate),
     ("mix", mix_sources),
     ("tokens", write_token_files),
 ]

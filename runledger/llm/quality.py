@@ -78,6 +78,15 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _whole_features(column) -> np.ndarray:
+    parts = [text_features(p) for _, p in texts_in_steps(column_bytes(column))]
+    return np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, len(FEATURES)), np.float32)
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    return np.round(score, 9)
+
+
 def held_out(id: Column) -> Column:
     """The fifth of the ids that no label is learned from; a null id is held out."""
     return F.pmod(F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
@@ -214,8 +223,7 @@ def featured(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
     def features(batches):
         for batch in batches:
-            parts = [text_features(p) for _, p in texts_in_steps(column_bytes(batch.column(1)))]
-            x = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, len(FEATURES)), np.float32)
+            x = _whole_features(batch.column(1))
             offsets = pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["id", "x"])
 
@@ -251,8 +259,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     def score(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(_matrix(batch.column(1))), 9))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rounded(model.score(_matrix(batch.column(1)))))], ["id", "score"])
 
     scored = rows.select("id", "x").mapInArrow(score, schema)
     return scored.select(F.col("id").alias(id), held_out(F.col("id")).alias("held_out"), "score",
                          F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` with a score of `threshold` or more, found in one pass over the texts without a shuffle."""
+    model = train(featured(docs, labels, id, text))
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_rounded(model.score(_whole_features(batch.column(at)).astype(np.float64))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

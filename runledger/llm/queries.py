@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import decontamination, mixing, near_dups, phrases, quality, sharding, token_counts, token_files
+from runledger.llm import (
+    de_bruijn,
+    decontamination,
+    mixing,
+    near_dups,
+    phrases,
+    quality,
+    sharding,
+    suffix_buckets,
+    token_counts,
+    token_files,
+)
 from runledger.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +109,13 @@ def pu_quality(spark, sf_dir):
 @query("op5_multi_index_near_dups")
 def multi_index_near_dups(spark, sf_dir):
     return near_dups.near_duplicates(documents(spark, sf_dir), k=2)
+
+
+@query("op7_de_bruijn_repeats")
+def de_bruijn_repeats(spark, sf_dir):
+    return de_bruijn.without_repeats(documents(spark, sf_dir))
+
+
+@query("op9_suffix_bucket_repeats")
+def suffix_bucket_repeats(spark, sf_dir):
+    return suffix_buckets.without_repeats(documents(spark, sf_dir))
