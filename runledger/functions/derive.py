@@ -62,6 +62,15 @@ def pct_error(actual: Column, target: Column, mode: str = "relative") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def with_pct_error(df, name: str = "pct_error"):
+    """Add the error in % of the base level 1.0: from the two powers, or in reduced records without them from `final_error`."""
+    if {"actual_final", "target_final"} <= set(df.columns):
+        return df.withColumn(name, pct_error(F.col("actual_final"), F.col("target_final"), "absolute"))
+    if "final_error" in df.columns:
+        return df.withColumn(name, F.col("final_error") * 100.0)
+    raise ValueError("neither powers nor final_error")
+
+
 def success_from_error(pct: Column, limit: float = 5.0) -> Column:
     return flag(pct <= limit).cast("int")
 

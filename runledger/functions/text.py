@@ -68,8 +68,8 @@ def let(value: Column, body) -> Column:
 
 
 def to_float(token: Column) -> Column:
-    """Strict decimal text to double; anything else is null."""
-    t = F.trim(token)
+    """Strict decimal text to double, white space around it aside; anything else is null, "nan" and "inf" too: they are no command."""
+    t = F.regexp_replace(token, r"^\s+|\s+$", "")
     return F.when(t.rlike(FLOAT_TEXT), t.try_cast("double"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runledger.functions.derive import COMMAND
 from runledger.functions.hashing import add_draws, choice, integer_between, real_between
 from runledger.functions.text import run_name
+from runledger.operators.scale import stage
 
 # ---- fixed values ---------------------------------------------------------------------------
 FAMILY_SHARES = {"single": 0.60, "simultaneous": 0.30, "sequential": 0.10}
@@ -214,6 +215,24 @@ def fill_quota(draws: DataFrame, slot: list[str], attempt: str, accepted: Column
     return first.select(*slot, "_row.*")
 
 
+def fill_slots(slots: DataFrame, draw, accepted: Column, max_attempts: int = 50) -> DataFrame:
+    """As `fill_quota`, but draws only for slots that are still open: rounds of 2, 4, 8, ... attempts until all are filled.
+
+    `draw` turns rows (slot columns, attempt) into drawn rows. What a round fills is staged, and the rest goes on.
+    """
+    key, filled, first, width = slots.columns, None, 1, 2
+    while first <= max_attempts:
+        last = min(max_attempts, first + width - 1)
+        tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        found = stage(fill_quota(draw(tries), key, "attempt", accepted, max_attempts), "filled")
+        filled = found if filled is None else filled.union(found)
+        slots = stage(slots.join(found.select(*key), key, "left_anti"), "open-slots")
+        if slots.isEmpty():
+            break
+        first, width = last + 1, width * 2
+    return filled
+
+
 def quota_shortfall(filled: DataFrame, planned: DataFrame, bin_cols: list[str]) -> DataFrame:
     """Per bin: planned slots, filled slots and what is missing."""
     want = planned.groupBy(*bin_cols).agg(F.count("*").alias("planned"))

@@ -131,9 +131,9 @@ def _join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, by: list[str], col: str, qs: dict[str, float] | None = None) -> DataFrame:
-    """count, mean, sample std, min, exact quantiles, max of the non-null values."""
+    """count, mean, sample std, min, exact quantiles, max of the values; null and NaN are no values."""
     qs = qs or {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    x = F.col(col)
+    x = D.nan_to_null(F.col(col))
     basic = df.where(x.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"),
@@ -142,8 +142,8 @@ def describe(df: DataFrame, by: list[str], col: str, qs: dict[str, float] | None
 
 
 def error_summary(df: DataFrame, by: list[str], col: str = "final_error") -> DataFrame:
-    """mean, median, max, min and the population standard deviation."""
-    x = F.col(col)
+    """mean, median, max, min and the population standard deviation; null and NaN are no values."""
+    x = D.nan_to_null(F.col(col))
     basic = df.where(x.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(x).alias("mean"), F.max(x).alias("max"), F.min(x).alias("min"),
         F.stddev_pop(x).alias("std_pop"),
@@ -165,7 +165,7 @@ def unpivot_errors(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def param_error_stats(df: DataFrame) -> DataFrame:
     """MAE, RMSE and median error per parameter over parsed rows."""
-    long = unpivot_errors(df, []).where(F.col("error").isNotNull())
+    long = unpivot_errors(df, []).withColumn("error", D.nan_to_null(F.col("error"))).where(F.col("error").isNotNull())
     basic = long.groupBy("param").agg(
         F.count("*").alias("n"), F.avg("error").alias("mae"),
         F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"))
@@ -273,6 +273,24 @@ def compare_configs(df: DataFrame, config: str, first: str, second: str) -> Data
     return row.select(F.inline(lines)).withColumn("difference", F.col("second_pct") - F.col("first_pct"))
 
 
+def summarize_configs(df: DataFrame, config: str) -> DataFrame:
+    """One row per configuration: rates in %, use of the five motion patterns, and mean, median and largest error in %.
+
+    A bank moves if its position leaves the run's own initial one; records without a command have no pattern.
+    """
+    moved = K.pattern_by_motion({c: F.col(f"predicted_params.{c}") for c in D.COMMAND}, F.col("init_b1"), F.col("init_b2"))
+    rows = df.withColumns({"_pattern": F.when(F.col("predicted_params").isNotNull(), moved), "_pct": D.nan_to_null(F.col("final_error")) * 100.0})
+    share = lambda test: F.count_if(D.flag(test)) / F.count("*") * 100.0
+    basic = rows.groupBy(config).agg(
+        F.count("*").alias("n"), share(F.col("parsing_success")).alias("parsed_pct"), share(F.col("simulation_success")).alias("simulated_pct"),
+        *[share(F.col(f"validation_success_{t}")).alias(f"within_{t}_pct") for t in (1, 5, 10)],
+        *[F.count_if(D.flag(F.col("_pattern") == p)).alias(p) for p in [*K.MAIN_PATTERNS, "no_motion"]],
+        F.avg("_pct").alias("mean_error_pct"), F.max("_pct").alias("max_error_pct"))
+    medians = quantiles(rows, [config], F.col("_pct"), {"median_error_pct": 0.5}).drop("n")
+    renamed = medians.withColumnRenamed(config, "_config")
+    return basic.join(renamed, basic[config].eqNullSafe(renamed["_config"]), "left").drop("_config")
+
+
 def range_per_regime(samples: DataFrame, x: str, y: str, regime: str = "regime") -> DataFrame:
     return samples.groupBy(regime).agg(
         F.count("*").alias("n"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),

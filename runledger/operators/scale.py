@@ -2,14 +2,17 @@
 
 * `ordered_scan`   running sum/min/max (and rank) inside groups, in two levels: buckets of the sort key are
                    aggregated, the bucket totals are scanned, and only rows of one bucket share a task.
-* `order_stats`    exact order statistics and quantiles: a histogram finds the bucket of each wanted rank and
-                   only the distinct values of those buckets are sorted.
+* `order_stats`    exact order statistics and quantiles: histograms between a group's own bounds narrow the span of each
+                   wanted rank until it is small, and only the distinct values of those spans are sorted.
 * `label_by_hash_rank`  exact stratified split / sampling: whole hash buckets are labelled without moving their
                    rows, only rows of buckets that straddle a cut are ranked.
 * `stage`          writes an intermediate result to the cluster's checkpoint folder and reads it back: its size is
                    then known (`fits_broadcast` counts it from file metadata), and a lost executor does not re-run
                    what came before.
 
+`stage` runs a job when it is called, hence so do the functions built on it, also when only a plan is asked for; a caller with
+many steps on one table should stage that table first. `staging` deletes what was staged inside it.
+
 A side is broadcast only after `fits_broadcast`; beyond that limit the same result comes from a shuffle join whose
 big side was first merged to distinct values, or salted.
 """
@@ -18,7 +21,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,21 +30,24 @@ from pyspark.sql import functions as F
 from runledger.functions.hashing import order_hash
 
 BROADCAST_ROWS = 100_000
+#: Bytes of the Parquet files of a broadcast side.
+BROADCAST_BYTES = 4 << 20
+#: Bytes of input that one core should have at least before a table is left in its few splits.
+BYTES_PER_CORE = 4 << 20
 
-_local_dirs: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder of the cluster (spark.checkpoint.dir); a temporary one only for unset local sessions."""
+    """Shared folder of the cluster (spark.checkpoint.dir); local sessions without one get a temporary folder as that setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.conf.get("spark.app.id", "local")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="runledger-")
-    return _local_dirs[app]
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        shared = tempfile.mkdtemp(prefix="runledger-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -51,22 +58,40 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write and read back a small table; cuts lineage and gives the optimizer its real size."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete on exit what was staged inside; results must have been written or collected by then."""
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        while len(_staged) > first:
+            path = hadoop(_staged.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a table, from file sizes; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table with fewer input splits than the cluster has cores one partition per core.
+    """Give a table of few bytes, hence few input splits, one partition per core.
 
-    Meant for small or single-file inputs under work that is heavy per row; a large table has more splits than
-    there are cores and stays as it is, without a shuffle.
+    Meant for small or single-file inputs under work that is heavy per row; a large table stays as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if planned_bytes(df) < cores * BYTES_PER_CORE else df
 
 
 def fits_broadcast(staged: DataFrame) -> bool:
-    """Whether a staged table (narrow rows) is small enough to copy to every executor."""
-    return staged.count() <= BROADCAST_ROWS
+    """Whether a staged table is small enough, in bytes and rows, to copy to every executor."""
+    return planned_bytes(staged) <= BROADCAST_BYTES and staged.count() <= BROADCAST_ROWS
 
 
 def group_key(by: list[str]) -> Column:
@@ -80,20 +105,34 @@ def group_values(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     return values.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
-def value_bucket(value: Column, step: float = 1e-3) -> Column:
-    """Monotone integer bucket of a finite double: equal width in ln|v|, so a relative width of `step`.
+#: Ranges that the quantiles of a sort key cut a table into, and equal steps inside each.
+RANGES, STEPS = 64, 64
 
-    At most 3 million buckets exist over the whole double range whatever the data, and an outlier or a
-    heavy tail does not squeeze the bulk of the rows into one of them.
-    """
-    scaled = F.least(F.log(F.abs(value)) / step, F.lit(720.0 / step))  # infinities share the last bucket
-    size = F.floor(scaled).cast("long") + int(760 / step)
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
 
+def range_bucket(df: DataFrame, key: Column, ranges: int | None = None, steps: int | None = None) -> Column:
+    """Monotone bucket of a numeric sort key: at most ranges x steps of them, each with about as many rows, whatever the keys.
 
-def id_bucket(key: Column, width: int = 65_536) -> Column:
-    """Monotone bucket of an integer key."""
-    return F.floor(key / F.lit(width)).cast("long")
+    The ranges' bounds are approximate quantiles of the whole table (one scan; `ranges` numbers reach the driver); only copies
+    of one key value share a bucket by necessity. Null keys are in bucket -1.
+    """
+    ranges, steps = ranges or RANGES, steps or STEPS
+    number = F.greatest(F.least(key.cast("double"), F.lit(1e300)), F.lit(-1e300))
+    found = df.agg(F.percentile_approx(number, [i / ranges for i in range(ranges + 1)], 50 * ranges)).first()[0]
+    bounds = sorted(set(found or [0.0]))
+
+    def leaf(lo: int, hi: int) -> Column:
+        """Index of the last bound that the key reaches, by bisection."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(number >= bounds[mid], leaf(mid, hi)).otherwise(leaf(lo, mid - 1))
+
+    at = leaf(0, len(bounds) - 1)
+    start = F.element_at(F.array(*[F.lit(b) for b in bounds]), at + 1)
+    width = F.element_at(F.array(*[F.lit(b - a) for a, b in zip(bounds, bounds[1:] + [bounds[-1] + 1.0])]), at + 1)
+    share = F.coalesce(F.try_divide(number - start, width), F.lit(0.0))  # bounds may lie closer together than doubles tell apart
+    inside = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 1e-9), share)) * steps)
+    return F.when(key.isNull(), F.lit(-1)).otherwise(at * steps + inside).cast("long")
 
 
 _SCANS: dict[str, tuple[Callable, Callable]] = {
@@ -137,53 +176,70 @@ def ordered_rank(df: DataFrame, by: list[str], bucket: Column, order: list[str],
     return ordered_scan(df, by, bucket, order, {name: ("sum", one)}, descending)
 
 
-def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Callable[[Column], Column]],
-                step: float = 1e-3) -> DataFrame:
+#: Buckets of a histogram between the bounds of a span, and rows of a span that one task may sort.
+LEVEL = 1_024
+SMALL = 50_000
+
+
+def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Exact order statistics of the non-null values per group: by..., n, one column per entry of `ranks`.
 
-    `ranks[name](n)` is the 0-based position wanted in a group of n values. `step` is the relative width of the
-    histogram buckets; a finer one spreads values that lie close together over more tasks.
+    `ranks[name](n)` is the 0-based position wanted in a group of n values. Each rank lies in a span of values, at first the
+    whole group's. A span of more than SMALL rows and one value is cut into LEVEL equal steps between its own bounds, and the
+    step that holds the rank becomes the span; so a round divides the span by LEVEL wherever the values lie, and values close
+    together or far outliers only cost a round. Each round is one scan with a partial aggregate.
     """
-    values = group_values(df, by, value).withColumn("_b", value_bucket(F.col("_v"), step))
-    whole = Window.partitionBy("_g")
-    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    spans = values.groupBy("_g", "_b").agg(F.count("*").alias("_c")).select(
-        "_g", "_b", "_c",
-        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_c").over(whole).alias("n"),
-    )
-    at = {name: pick(F.col("n")) for name, pick in ranks.items()}
-    start, stop = F.col("_before"), F.col("_before") + F.col("_c")
-    wanted = F.exists(F.array(*at.values()), lambda r: (r >= start) & (r < stop))
-    needed = stage(spans.where(wanted).select("_g", "_b", "_before", "n"), "order-stats")
-    counted = _merge_near(values, needed, ["_g", "_b"])
-    upto = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-    first, end, value_here = F.col("_end") - F.col("_c"), F.col("_end"), F.col("_v")
-    picks = [F.max(F.when((r >= first) & (r < end), value_here)).alias(name) for name, r in at.items()]
-    out = placed.groupBy("_g", "n").agg(*picks)
+    values = group_values(df, by, value)
+    spans = values.groupBy("_g").agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), pick(F.col("n")).cast("long").alias("r")) for k, pick in ranks.items()])
+    spans = spans.withColumn("_w", wanted).select("_g", "n", "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.col("n").alias("_c"), "_w")
+    spans = stage(spans, "spans")
+    while True:
+        wide = spans.where((F.col("_c") > SMALL) & (F.col("_lo") < F.col("_hi")))
+        if wide.isEmpty():
+            break
+        rows = _in_spans(values, wide)
+        low, high, v = (F.greatest(F.least(F.col(c), F.lit(1.7e308)), F.lit(-1.7e308)) / 4 for c in ("_lo", "_hi", "_v"))
+        step = F.least(F.floor((v - low) / (high - low) * LEVEL), F.lit(LEVEL - 1)).cast("int")
+        counted = rows.groupBy("_g", F.col("_lo").alias("_from"), step.alias("_b")).agg(
+            F.sum("_m").alias("_k"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+        earlier = Window.partitionBy("_g", "_from").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("_e", F.coalesce(F.sum("_k").over(earlier), F.lit(0)))
+        cut = placed.join(wide, (placed["_g"] == wide["_g"]) & (placed["_from"] == wide["_lo"])).drop(placed["_g"])
+        ranked = cut.select("_g", "n", (F.col("_before") + F.col("_e")).alias("_start"), "_k", "_l", "_h", F.explode("_w").alias("w"))
+        ranked = ranked.where((F.col("w.r") >= F.col("_start")) & (F.col("w.r") < F.col("_start") + F.col("_k")))
+        finer = ranked.groupBy("_g", "n", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_start").alias("_before"),
+                               F.col("_k").alias("_c")).agg(F.collect_list("w").alias("_w"))
+        done = spans.where((F.col("_c") <= SMALL) | (F.col("_lo") >= F.col("_hi")))
+        spans = stage(done.union(finer), "spans")
+    rows = _in_spans(values, spans.where("_lo < _hi"))
+    counted = rows.groupBy("_g", "_lo", "_v").agg(F.sum("_m").alias("_k"))
+    upto = Window.partitionBy("_g", "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counted.withColumn("_end", F.sum("_k").over(upto))
+    several = ends.join(spans.where("_lo < _hi"), ["_g", "_lo"]).withColumn("_end", F.col("_before") + F.col("_end"))
+    found = several.select("_g", "n", "_v", "_end", "_k", F.explode("_w").alias("w"))
+    found = found.where((F.col("w.r") >= F.col("_end") - F.col("_k")) & (F.col("w.r") < F.col("_end"))).select("_g", "n", "_v", "w")
+    single = spans.where("_lo >= _hi").select("_g", "n", F.col("_lo").alias("_v"), F.explode("_w").alias("w"))
+    picks = [F.max(F.when(F.col("w.name") == k, F.col("_v"))).alias(k) for k in ranks]
+    out = found.union(single).groupBy("_g", "n").agg(*picks)
     return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], "n", *ranks)
 
 
-def _merge_near(values: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct rows of `values` that have a partner in the staged `side`, with the number of their copies `_c`.
-
-    A small side filters the rows before they are merged, so little is shuffled. With a large one the rows are
-    merged first: a value that fills a third of the table is then one row and cannot make its join key hot.
-    """
-    if fits_broadcast(side):
-        joined = values.join(F.broadcast(side), on)
-        return joined.groupBy(*joined.columns).agg(F.count("*").alias("_c"))
-    return values.groupBy(*values.columns).agg(F.count("*").alias("_c")).join(side, on)
+def _in_spans(values: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows (_g, _v, copies _m, _lo, _hi) of the values inside a span; the spans of a group are disjoint and few."""
+    listed = stage(spans.groupBy("_g").agg(F.collect_list(F.struct("_lo", "_hi")).alias("_s")), "span-lists")
+    joined = merged_with_stats(values, listed).withColumnRenamed("_c", "_m")
+    inside = F.filter("_s", lambda s: (s["_lo"] <= F.col("_v")) & (F.col("_v") <= s["_hi"]))
+    return joined.select("_g", "_v", "_m", F.inline(inside))
 
 
-def quantiles(df: DataFrame, by: list[str], value: Column, qs: dict[str, float], step: float = 1e-3) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: Column, qs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation: by..., n, one column per entry of `qs`."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, q in qs.items():
         ranks[f"{name}__lo"] = lambda n, q=q: F.floor((n - 1) * F.lit(float(q)))
         ranks[f"{name}__hi"] = lambda n, q=q: F.ceil((n - 1) * F.lit(float(q)))
-    stats = order_stats(df, by, value, ranks, step)
+    stats = order_stats(df, by, value, ranks)
     out, last = [], F.col("n") - 1
     for name, q in qs.items():
         at, lo = last * F.lit(float(q)), F.col(f"{name}__lo")

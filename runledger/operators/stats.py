@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from runledger.functions import classify as K
 from runledger.functions import derive as D
 from runledger.functions.hashing import HEX_DIGITS, HEX_RANGE, order_hash
-from runledger.operators.joins import FALLBACK_GAIN, literal_map, model_pairs
+from runledger.operators.joins import FALLBACK_GAIN, bin_grid, literal_map, model_pairs
 from runledger.operators.report import _join_groups, band_counts, rate
 from runledger.operators.scale import (
-    group_key, group_values, merged_with_stats, ordered_scan, quantiles, salted_join, spread, stage, value_bucket,
+    group_key, group_values, merged_with_stats, ordered_scan, quantiles, range_bucket, salted_join, spread, stage,
 )
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -60,6 +60,40 @@ def bootstrap_ci(df: DataFrame, by: list[str], replicates: int = 10_000, seed: i
         (F.col("_ci.hi") - F.col("_ci.lo")).alias("ci_width"), "successes", "total")
 
 
+def binomial_bounds(n: int, k: int, tails: tuple[float, float] = (0.025, 0.975)) -> list[float]:
+    """Quantiles of Binomial(n, k / n) / n: the least rate whose distribution function reaches each tail.
+
+    The probabilities are summed from the mode outwards, 40 standard deviations to each side, so the work grows with sqrt(n).
+    """
+    if k in (0, n):
+        return [k / n] * len(tails)
+    p = k / n
+    reach = int(40 * math.sqrt(n * p * (1 - p))) + 10
+    lo, hi = max(0, k - reach), min(n, k + reach)
+    at = np.arange(lo, hi, dtype=np.float64)
+    ratios = np.log(n - at) - np.log(at + 1) + math.log(p) - math.log1p(-p)
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    mass = np.cumsum(np.exp(logs - logs.max()))
+    return [(lo + int(np.searchsorted(mass / mass[-1], t - 1e-12))) / n for t in tails]
+
+
+def binomial_ci(df: DataFrame, by: list[str]) -> DataFrame:
+    """The interval that `bootstrap_ci` estimates, exactly: the resampled rate of zeros and ones has a binomial distribution.
+
+    One aggregate over the runs; the quantiles are computed on one row per group and band.
+    """
+    counts = band_counts(df, by).withColumn("success_rate", rate(F.col("successes"), F.col("total")))
+
+    @F.pandas_udf(T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+    def interval(successes: pd.Series, total: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([binomial_bounds(int(n), int(k)) for k, n in zip(successes, total)], columns=["lo", "hi"])
+
+    out = counts.withColumn("_ci", interval("successes", "total"))
+    return out.select(
+        *by, "tolerance", "success_rate", F.col("_ci.lo").alias("ci_lower"), F.col("_ci.hi").alias("ci_upper"),
+        (F.col("_ci.hi") - F.col("_ci.lo")).alias("ci_width"), "successes", "total")
+
+
 def poisson_weight(hex_draw: Column) -> Column:
     """Poisson(1) draw from 8 hex digits, by inverting the distribution function.
 
@@ -145,7 +179,7 @@ def fdr_bh(tests: DataFrame, p: str, ids: list[str], alpha: float = 0.05) -> Dat
     """
     known = stage(tests.where(F.col(p).isNotNull()), "tests")
     m = known.agg(F.count("*")).scalar()
-    bucket = value_bucket(F.col(p), 1e-2)
+    bucket = range_bucket(known, F.col(p))
     ranked = ordered_scan(known, [], bucket, [p, *ids], {"bh_rank": ("sum", F.lit(1).cast("long"))})
     scaled = ranked.withColumn("_scaled", F.col(p) * m / F.col("bh_rank"))
     best = ordered_scan(scaled, [], bucket, [p, *ids], {"_best": ("min", F.col("_scaled"))}, descending=True)
@@ -193,10 +227,10 @@ def kl_divergence(df: DataFrame, by: list[str], cls: str, target: dict[str, floa
 
 
 def _in_scale_order(table: DataFrame, model: str, scales: list[str]) -> tuple[DataFrame, Window]:
-    """Rows of the listed scales with their position; at most len(scales) rows, so one task may hold them."""
-    order = F.try_element_at(literal_map({s: i for i, s in enumerate(scales)}), F.col(model))
-    ranked = table.where(F.col(model).isin(*scales)).withColumn("scale_order", order)
-    return ranked, Window.partitionBy(F.lit(0)).orderBy("scale_order")
+    """Rows with the position of their scale, others behind the listed ones by name; one row per model, so one task may hold them."""
+    listed = F.try_element_at(literal_map({s: i for i, s in enumerate(scales)}), F.col(model))
+    ranked = table.withColumn("scale_order", F.coalesce(listed, F.lit(len(scales))))
+    return ranked, Window.partitionBy(F.lit(0)).orderBy("scale_order", model)
 
 
 def is_monotonic(table: DataFrame, col: str, model: str = "model", scales: list[str] = SCALES) -> DataFrame:
@@ -255,17 +289,20 @@ def fit_gain(samples: DataFrame, x: str, y: str, by: list[str] | None = None) ->
 
 
 def fit_gain_by_regime(samples: DataFrame, x: str, y: str, regime: str = "regime", min_x: float = 1e-4,
-                       min_r2: float = 0.5, fallback: float = FALLBACK_GAIN) -> DataFrame:
+                       min_r2: float = 0.5, fallback: float = FALLBACK_GAIN, labels: list[str] | None = None) -> DataFrame:
     """Gain per regime: slope when the fit is good, else the median of |y / x|, else the fallback.
 
-    Near-zero x is left out of the fit; fewer than two samples (before or after that) give the fallback.
+    Near-zero x is left out of the fit; fewer than two samples (before or after that) give the fallback. Every one of
+    `labels` (the six regimes) has a row, also without samples.
     """
     xs, ys = F.col(x), F.col(y)
     usable = F.abs(xs) > min_x
     fitted = samples.groupBy(regime).agg(F.count("*").alias("n_samples"), *_slope_stats(xs, ys, usable))
     ratio = F.abs(ys / xs)
     medians = quantiles(samples.where(usable), [regime], ratio, {"_median": 0.5}).select(regime, "_median")
-    joined = fitted.join(medians, regime, "left")
+    every = bin_grid(samples.sparkSession.range(1), {regime: labels or [label for label, _, _ in K.REGIMES]})
+    joined = every.join(fitted, regime, "left").join(medians, regime, "left").withColumns({
+        "n_samples": F.coalesce("n_samples", F.lit(0)), "n_used": F.coalesce("n_used", F.lit(0))})
     enough = (F.col("n_samples") >= 2) & (F.col("n_used") >= 2)
     r2 = F.coalesce(F.col("r2"), F.lit(0.0))
     good = enough & (r2 >= min_r2) & (F.abs("slope") > 0)
@@ -297,7 +334,7 @@ def origin_fit(samples: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, by: list[str], col: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins from min to max per group, the last one closed; empty bins are not listed.
+    """Equal-width bins from min to max per group, the last one closed; an empty bin has n = 0.
 
     A group with a single value gets bins from half a unit below to half a unit above it.
     """
@@ -305,16 +342,19 @@ def histogram(df: DataFrame, by: list[str], col: str, bins: int = 50) -> DataFra
     spans = values.groupBy("_g").agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     margin = F.when(F.col("_min") == F.col("_max"), 0.5).otherwise(0.0)
     spans = spans.select("_g", (F.col("_min") - margin).alias("_lo"), (F.col("_max") + margin).alias("_hi"))
-    rows = merged_with_stats(values, stage(spans, "spans"))
+    spans = stage(spans, "spans")
+    rows = merged_with_stats(values, spans)
     value, lo = F.col("_v"), F.col("_lo")
     width = (F.col("_hi") - lo) / bins
     edge = lambda k: k * width + lo
     guess = rows.withColumn("_k", F.least(F.floor((value - lo) / width), F.lit(bins - 1)).cast("int"))
     k = F.col("_k")  # the division may round across an edge; the edges decide
     at = F.when(value < edge(k), k - 1).when((value >= edge(k + 1)) & (k < bins - 1), k + 1).otherwise(k)
-    counted = guess.groupBy("_g", "_lo", "_hi", at.alias("bin")).agg(F.sum("_c").alias("n"))
-    return counted.select(*[F.col(f"_g.{c}").alias(c) for c in by], "bin", edge(F.col("bin")).alias("left"),
-                          edge(F.col("bin") + 1).alias("right"), "n")
+    counted = guess.groupBy("_g", at.alias("bin")).agg(F.sum("_c").alias("n"))
+    every = spans.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(counted, ["_g", "bin"], "left").select(
+        *[F.col(f"_g.{c}").alias(c) for c in by], "bin", edge(F.col("bin")).alias("left"), edge(F.col("bin") + 1).alias("right"),
+        F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def ecdf(df: DataFrame, by: list[str], col: str, mode: str = "rank") -> DataFrame:
@@ -326,7 +366,8 @@ def ecdf(df: DataFrame, by: list[str], col: str, mode: str = "rank") -> DataFram
     values = group_values(df, by, F.col(col))
     counted = values.groupBy("_g", F.col("_v").alias("value")).agg(F.count("*").alias("copies"))
     counted = counted.select(*[F.col(f"_g.{c}").alias(c) for c in by], "value", "copies")
-    placed = ordered_scan(counted, by, value_bucket(F.col("value")), ["value"], {"last_rank": ("sum", F.col("copies"))})
+    counted = stage(counted, "distinct")
+    placed = ordered_scan(counted, by, range_bucket(counted, F.col("value")), ["value"], {"last_rank": ("sum", F.col("copies"))})
     totals = stage(values.groupBy("_g").agg(F.count("*").alias("n")), "sizes")
     joined = salted_join(placed.withColumn("_g", group_key(by)), totals, ["_g"], ["value"])
     first = F.col("last_rank") - F.col("copies") + 1

@@ -6,28 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.derive import flag
-from runledger.operators.scale import id_bucket, ordered_scan, salted_join, stage
+from runledger.operators.scale import ordered_scan, range_bucket, salted_join, stage
 
 
-def running_success(df: DataFrame, by: list[str], order: str = "case_id", success: Column | None = None,
-                    bucket_width: int = 65_536) -> DataFrame:
+def running_success(df: DataFrame, by: list[str], order: str = "case_id", success: Column | None = None) -> DataFrame:
     """Cases, successes and success rate so far after every case, in the order of an integer case id."""
     hit = flag(success if success is not None else F.col("validation_success_5")).cast("long")
     scanned = ordered_scan(
-        df, by, id_bucket(F.col(order), bucket_width), [order],
+        df, by, range_bucket(df, F.col(order)), [order],
         {"n_so_far": ("sum", F.lit(1).cast("long")), "successes_so_far": ("sum", hit)},
     )
     return scanned.withColumn("running_rate", F.col("successes_so_far") / F.col("n_so_far"))
 
 
-def snapshots(df: DataFrame, by: list[str], every: int = 50, order: str = "case_id",
-              bucket_width: int = 65_536) -> DataFrame:
+def snapshots(df: DataFrame, by: list[str], every: int = 50, order: str = "case_id") -> DataFrame:
     """Running counts of every stage at each `every`-th case."""
     count = lambda name: ("sum", flag(F.col(name)).cast("long"))
     scanned = ordered_scan(
         df.select(*by, order, "parsing_success", "simulation_success", "validation_success_1",
                   "validation_success_2", "validation_success_5"),
-        by, id_bucket(F.col(order), bucket_width), [order],
+        by, range_bucket(df, F.col(order)), [order],
         {"n": ("sum", F.lit(1).cast("long")), "parsed": count("parsing_success"),
          "simulated": count("simulation_success"), "ok_1": count("validation_success_1"),
          "ok_2": count("validation_success_2"), "ok_5": count("validation_success_5")},
@@ -36,10 +34,14 @@ def snapshots(df: DataFrame, by: list[str], every: int = 50, order: str = "case_
 
 
 def run_summary(trace: DataFrame, run: str = "run_id", step: str = "step", power: str = "power") -> DataFrame:
-    """First, last and largest power of every run; partial aggregates, no sort."""
+    """First, last and largest power of every run; partial aggregates, no sort.
+
+    A power that is no finite number is missing: the final power of a run that ends in NaN is null, not its last number.
+    """
+    value = F.when(~F.isnan(power) & (F.abs(power) < float("inf")), F.col(power))
     return trace.groupBy(run).agg(
-        F.min_by(power, step).alias("initial_power"), F.max_by(power, step).alias("final_power"),
-        F.max(power).alias("peak_power"), F.count("*").alias("points"))
+        F.min_by(value, F.col(step)).alias("initial_power"), F.max_by(value, F.col(step)).alias("final_power"),
+        F.max(value).alias("peak_power"), F.count("*").alias("points"))
 
 
 def at_nearest_time(trace: DataFrame, t0: float, t: str, value: str, run: str = "run_id",
@@ -69,12 +71,13 @@ def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def failed_cases(df: DataFrame, suite: list[str], cap: int = 20, ids: list[str] | None = None) -> DataFrame:
-    """Failures of every suite that has at most `cap` of them; only those with a computed error are listed.
+def failed_cases(df: DataFrame, suite: list[str], cap: int | None = 20, ids: list[str] | None = None) -> DataFrame:
+    """Failures of every suite that has at most `cap` of them (None: of all); only those with a computed error are listed.
 
     A suite that fails very often is dropped by the join, so its rows must not meet in one task on the way there:
     the join is broadcast or salted by `ids`.
     """
     failed = df.where(~flag(F.col("validation_success_5")))
-    few = failed.groupBy(*suite).agg(F.count("*").alias("failures")).where(F.col("failures") <= cap)
+    few = failed.groupBy(*suite).agg(F.count("*").alias("failures"))
+    few = few if cap is None else few.where(F.col("failures") <= cap)
     return salted_join(failed.where(F.col("final_error") > 0), stage(few, "few"), suite, ids or ["case_id"])

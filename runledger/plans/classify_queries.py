@@ -158,6 +158,16 @@ def score(spark, sf):
     return rounded(out.select("case_id", "final_error", *D.success_columns(error, F.col("target_final"))))
 
 
+@query("scl_02_pct_error_fallback", with_scored(f"""
+SELECT case_id, 'full' AS kind, {r('abs(actual_final - target_final) * 1e2')} AS pct_error FROM scored
+UNION ALL SELECT case_id, 'reduced', {r('final_error * 1e2')} FROM scored"""))
+def pct_error_fallback(spark, sf):
+    """Reduced records have no powers, only the error."""
+    full = D.with_pct_error(scored(spark, sf)).select("case_id", F.lit("full").alias("kind"), "pct_error")
+    reduced = D.with_pct_error(scored(spark, sf).select("case_id", "final_error")).select("case_id", F.lit("reduced").alias("kind"), "pct_error")
+    return rounded(full.union(reduced))
+
+
 @query("scl_02_pct_error", with_runs(f"""
 SELECT case_id, {r('d * 1e2')} AS absolute, {r('CASE WHEN t <> 0 THEN d / abs(t) END * 1e2')} AS relative,
   CASE WHEN d IS NULL THEN NULL WHEN t = 0 THEN 'inf' ELSE 'finite' END AS inf_kind,
@@ -260,16 +270,14 @@ def to_units(spark, sf):
 
 
 @query("scl_12_ramp_profile", with_runs(f"""
-SELECT case_id, count(*) AS points, {r('sum(v)')} AS total, {r('min(v)')} AS lowest FROM (
-  SELECT case_id, CASE WHEN t < 100 THEN 0e0 WHEN t < 100 + dur THEN -1e-2 / dur * (t - 100) ELSE -1e-2 END AS v
-  FROM (SELECT case_id, 3e0 + case_id % 38 AS dur, cast(unnest(range(0, 301, 15)) AS DOUBLE) AS t FROM runs))
-GROUP BY case_id"""))
+SELECT case_id, cast(t AS INTEGER) AS t, {r('CASE WHEN t < 100 THEN 0e0 WHEN t < 100 + dur THEN -1e-2 / dur * (t - 100) ELSE -1e-2 END', 9)} AS v
+FROM (SELECT case_id, 3e0 + case_id % 38 AS dur, cast(unnest(range(0, 301, 15)) AS DOUBLE) AS t FROM runs)"""))
 def ramp_profile(spark, sf):
+    """The points of every profile."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(300), F.lit(15)))
     rows = runs(spark, sf).select("case_id", (3.0 + F.col("case_id") % 38).alias("dur"), grid.alias("t"))
     v = D.ramp_value(F.col("t").cast("double"), F.lit(100.0), F.col("dur"), F.lit(-1e-2))
-    return rounded(rows.select("case_id", v.alias("v")).groupBy("case_id").agg(
-        F.count("*").alias("points"), F.sum("v").alias("total"), F.min("v").alias("lowest")))
+    return rounded(rows.select("case_id", "t", v.alias("v")), 9)
 
 
 TRUTH = {"b1_pos": 120.0, "b1_time": 5.0, "b1_speed": 1.0, "b2_pos": 110.0, "b2_time": 5.0, "b2_speed": 1.0}

@@ -165,6 +165,26 @@ fitted AS (SELECT regime, n_samples, {r("CASE WHEN n_used < 2 THEN 355e-1 WHEN r
   {r('r2')} AS r2, CASE WHEN n_used < 2 THEN 'fallback' WHEN r2 >= 5e-1 AND abs(slope) > 0 THEN 'linear_regression'
     ELSE 'median_ratio (low R^2)' END AS method, 'ok' AS status FROM fits)"""
 
+def few_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples, moved into one regime but for one sample of another; four regimes are empty."""
+    first = F.col("sample_id") == table(spark, sf_dir, "lineitem").agg(F.min(F.concat_ws("-", *[
+        F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))).scalar()
+    moved = F.when(first, -0.5).otherwise(0.2 + 0.0999 * F.sin("power_delta"))
+    return calib(spark, sf_dir).withColumn("power_delta", moved)
+
+
+FEW_SQL = CALIB_SQL.replace("calib AS", "wide AS") + """,
+calib AS (SELECT * REPLACE (CASE WHEN sample_id = (SELECT min(sample_id) FROM wide) THEN -5e-1
+  ELSE 2e-1 + 999e-4 * sin(power_delta) END AS power_delta) FROM wide)"""
+
+#: Rows of `fitted` for regimes that have no sample or one.
+ALL_REGIMES_SQL = """all_regimes AS (SELECT regime, coalesce(n_samples, 0) AS n_samples,
+    CASE WHEN coalesce(n_samples, 0) < 2 THEN 355e-1 ELSE "Kp" END AS "Kp", CASE WHEN coalesce(n_samples, 0) < 2 THEN 0e0 ELSE r2 END AS r2,
+    CASE WHEN coalesce(n_samples, 0) < 2 THEN 'fallback' ELSE method END AS method,
+    CASE WHEN coalesce(n_samples, 0) < 2 THEN 'fallback (insufficient samples)' ELSE status END AS status
+  FROM (VALUES ('large_dec'), ('medium_dec'), ('small_dec'), ('small_inc'), ('medium_inc'), ('large_inc')) v(regime)
+  LEFT JOIN fitted USING (regime))"""
+
 GAINS_SQL = """
 gains(regime, regime_order, "Kp") AS (VALUES ('large_dec', 0, 945e-1), ('medium_dec', 1, 4576e-2),
   ('small_dec', 2, 3123e-2), ('small_inc', 3, 25e0), ('medium_inc', 4, 2335e-2), ('large_inc', 5, 1992e-2))"""
@@ -240,14 +260,17 @@ pair_text AS (
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Solver logs of 3..9 data lines with broken lines, a second results header and text after the end."""
+    """Solver logs of 3..9 data lines with broken lines, powers that are no finite number (some at the end of the run), a note on the
+    CPU time between data lines, a second results header and text after the end."""
     key = F.col("o_orderkey")
     s = lambda c: c.cast("string")
 
     def line(i):
-        good = F.concat(F.lit("  "), s(i), F.lit("   "), s(i), F.lit("."), s(key % 10), F.lit("   0.001   1."),
-                        s((key * 31 + i * 17) % 1000), F.lit("   ok"))
-        return F.when((i + key) % 5 == 4, F.concat(s(i), F.lit(" x 2.0 y"))).otherwise(good)
+        power = F.when((key % 17 == 0) & (i == 2 + key % 7), "NaN").when((key % 19 == 0) & (i == 1), "Infinity").otherwise(
+            F.concat(F.lit("1."), s((key * 31 + i * 17) % 1000)))
+        good = F.concat(F.lit("  "), s(i), F.lit("   "), s(i), F.lit("."), s(key % 10), F.lit("   0.001   "), power, F.lit("   ok"))
+        note = F.when((key % 3 == 0) & (i == 2), "\n CPU time so far").otherwise("")
+        return F.concat(F.when((i + key) % 5 == 4, F.concat(s(i), F.lit(" x 2.0 y"))).otherwise(good), note)
 
     body = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), 2 + key % 7), line), "\n")
     again = F.when(key % 11 == 0, "\n TRANSIENT RESULTS\n 9 9.0 9.0 9.0\n 9 9.5 9.0 9.5\n 10 10.0 0.0 1.25").otherwise("")
@@ -261,10 +284,11 @@ LOGS_SQL = """
 logs AS (
   SELECT o_orderkey AS run_id, concat('1 2.0 3.0 4.0', chr(10), ' CPU time so far', chr(10), ' TRANSIENT RESULTS', chr(10),
     ' ------', chr(10), ' Step Time Rho Power', chr(10),
-    array_to_string(list_transform(range(0, 3 + o_orderkey % 7), lambda i: CASE WHEN (i + o_orderkey) % 5 = 4
+    array_to_string(list_transform(range(0, 3 + o_orderkey % 7), lambda i: concat(CASE WHEN (i + o_orderkey) % 5 = 4
       THEN concat(i, ' x 2.0 y')
-      ELSE concat('  ', i, '   ', i, '.', o_orderkey % 10, '   0.001   1.', (o_orderkey * 31 + i * 17) % 1000, '   ok')
-      END), chr(10)),
+      ELSE concat('  ', i, '   ', i, '.', o_orderkey % 10, '   0.001   ', CASE WHEN o_orderkey % 17 = 0 AND i = 2 + o_orderkey % 7 THEN 'NaN'
+        WHEN o_orderkey % 19 = 0 AND i = 1 THEN 'Infinity' ELSE concat('1.', (o_orderkey * 31 + i * 17) % 1000) END, '   ok')
+      END, CASE WHEN o_orderkey % 3 = 0 AND i = 2 THEN concat(chr(10), ' CPU time so far') ELSE '' END)), chr(10)),
     CASE WHEN o_orderkey % 11 = 0 THEN concat(chr(10), ' TRANSIENT RESULTS', chr(10), ' 9 9.0 9.0 9.0', chr(10),
       ' 9 9.5 9.0 9.5', chr(10), ' 10 10.0 0.0 1.25') ELSE '' END,
     CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat(chr(10), ' CPU time breakdown', chr(10), ' 99 99.0 0.0 99.0') END)

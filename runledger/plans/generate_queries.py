@@ -155,28 +155,27 @@ def symmetric_sweep(spark, sf):
 
 
 DRAWS = f"""draws AS (SELECT id AS slot, id % 8 AS cell, cast(a AS INTEGER) AS attempt,
-  {u('draw', ['value'], 'value', "(id || ':' || a)")} AS value FROM ids, range(1, 7) t(a))"""
+  {u('draw', ['value'], 'value', "(id || ':' || a)")} AS value FROM ids, range(1, 51) t(a))"""
 
 
-def _draws(spark, sf):
-    slots = ids(spark, sf).select(F.col("id").alias("slot"), (F.col("id") % 8).alias("cell"))
-    tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(6))))
-    return add_draws(tries, 42, "draw", [F.col("slot"), F.col("attempt")], ["value"])
+def _slots(spark, sf):
+    return ids(spark, sf).select(F.col("id").alias("slot"), (F.col("id") % 8).alias("cell"))
+
+
+def _filled(spark, sf):
+    draw = lambda tries: add_draws(tries, 42, "draw", [F.col("slot"), F.col("attempt")], ["value"])
+    return G.fill_slots(_slots(spark, sf), draw, F.col("value") < (F.col("cell") + 1) / 10.0)
 
 
 @query("gen_08_fill_quota", f"""WITH {IDS}, {DRAWS}
 SELECT slot, cell, attempt, {r('value', 9)} AS value FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY attempt) AS k
-  FROM draws WHERE value < (cell + 1) / 1e1 AND attempt <= 5) WHERE k = 1""")
+  FROM draws WHERE value < (cell + 1) / 1e1) WHERE k = 1""")
 def fill_quota(spark, sf):
-    accepted = F.col("value") < (F.col("cell") + 1) / 10.0
-    return rounded(G.fill_quota(_draws(spark, sf), ["slot"], "attempt", accepted, 5), 9)
+    return rounded(_filled(spark, sf), 9)
 
 
 @query("gen_08_quota_shortfall", f"""WITH {IDS}, {DRAWS}
 SELECT cell, count(*) AS planned, count(*) FILTER (ok) AS filled, count(*) FILTER (NOT ok) AS missing FROM (
-  SELECT slot, cell, bool_or(value < (cell + 1) / 1e1 AND attempt <= 5) AS ok FROM draws GROUP BY slot, cell) GROUP BY cell""")
+  SELECT slot, cell, bool_or(value < (cell + 1) / 1e1) AS ok FROM draws GROUP BY slot, cell) GROUP BY cell""")
 def quota_shortfall(spark, sf):
-    draws = _draws(spark, sf)
-    accepted = F.col("value") < (F.col("cell") + 1) / 10.0
-    filled = G.fill_quota(draws, ["slot"], "attempt", accepted, 5)
-    return G.quota_shortfall(filled, draws.where("attempt = 1"), ["cell"])
+    return G.quota_shortfall(_filled(spark, sf), _slots(spark, sf), ["cell"])

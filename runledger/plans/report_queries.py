@@ -10,7 +10,7 @@ from runledger.operators import report as R
 from runledger.operators import windows as W
 from runledger.operators.scale import stage
 from runledger.plans.fixtures import (
-    CALIB_SQL, COMMAND, GAINS_SQL, MAIN_PATTERNS_SQL, TRACE_SQL, WINDOWED_SQL, bin_sql, calib, query, r, regime_sql, rounded, runs, scored,
+    CALIB_SQL, COMMAND, GAINS_SQL, MAIN_PATTERNS_SQL, TRACE_SQL, WINDOWED_SQL, bin_sql, calib, params, query, r, regime_sql, rounded, runs, scored,
     table, trace, windowed, with_runs, with_scored,
 )
 
@@ -350,6 +350,25 @@ def compare_configs(spark, sf):
     return rounded(R.compare_configs(df, "config", "default", "mirror"))
 
 
+@query("agg_19_summarize_configs", with_scored("").rstrip() + f""",
+moved AS (SELECT *, coalesce(b1_speed > 0 AND abs(b1_pos - init_b1) > 5e-1, false) AS m1,
+  coalesce(b2_speed > 0 AND abs(b2_pos - init_b2) > 5e-1, false) AS m2 FROM scored),
+named AS (SELECT *, CASE WHEN NOT parsing_success THEN NULL WHEN NOT m1 AND NOT m2 THEN 'no_motion' WHEN NOT m2 THEN 'single_b1'
+  WHEN NOT m1 THEN 'single_b2' WHEN abs(b1_time - b2_time) <= greatest(1e-9 * greatest(abs(b1_time), abs(b2_time)), 5e-2) THEN 'simultaneous'
+  ELSE 'sequential' END AS pattern FROM moved)
+SELECT CASE WHEN init_b1 = 180 THEN 'default' ELSE 'mirror' END AS config, count(*) AS n,
+  {r('count(*) FILTER (parsing_success) / count(*) * 1e2')} AS parsed_pct,
+  {r('count(*) FILTER (simulation_success) / count(*) * 1e2')} AS simulated_pct,
+  {", ".join(f"{r(f'count(*) FILTER (validation_success_{t}) / count(*) * 1e2')} AS within_{t}_pct" for t in (1, 5, 10))},
+  {", ".join(f"count(*) FILTER (pattern = '{p}') AS {p}" for p in ("single_b1", "single_b2", "simultaneous", "sequential", "no_motion"))},
+  {r('avg(final_error) * 1e2')} AS mean_error_pct, {r('max(final_error) * 1e2')} AS max_error_pct,
+  {r('quantile_cont(final_error * 1e2, 5e-1)')} AS median_error_pct FROM named GROUP BY ALL""")
+def summarize_configs(spark, sf):
+    df = scored(spark, sf).withColumns({
+        "config": F.when(F.col("init_b1") == 180, "default").otherwise("mirror"), "predicted_params": params()})
+    return rounded(R.summarize_configs(df, "config"))
+
+
 @query("agg_20_range_per_regime", f"""WITH {CALIB_SQL}
 SELECT {regime_sql('power_delta', False)} AS regime, count(*) AS n, {r('min(power_delta)')} AS x_min, {r('max(power_delta)')} AS x_max,
   min(delta_step) AS y_min, max(delta_step) AS y_max FROM calib WHERE power_delta >= -1 AND power_delta < 1 GROUP BY ALL""")

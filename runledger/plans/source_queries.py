@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,8 +113,43 @@ def results_jsonl(spark, sf):
     return _shown(R.read_results_jsonl(spark, path))
 
 
+def _write_typed_lines(df: DataFrame, path: str) -> None:
+    """As `_write_lines`; every 7th record has text in a number's place and every 11th is followed by a line that is no object."""
+    good = F.to_json(F.struct(*df.columns))
+    key = F.col("case_id")
+    wrong = F.regexp_replace(good, '"target_final":[^,}]+', '"target_final":"high"')
+    lines = F.array(F.when(key % 7 == 0, wrong).otherwise(good), F.when(key % 11 == 0, F.lit("[1, 2]")), F.when(
+        key % 50 == 0, F.concat(F.lit('{"case_id": '), key.cast("string"), F.lit(', "mod'))))
+    df.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("value")).write.text(path)
+
+
+@query("src_04_results_jsonl_typed", with_scored(RECORDS_SQL.replace(
+    "FROM scored", "FROM (SELECT * REPLACE (CASE WHEN case_id % 7 <> 0 THEN target_final END AS target_final) FROM scored)")))
+def results_jsonl_typed(spark, sf):
+    """A field of the wrong type is null; the line stays."""
+    path = new_path(spark, "typed-lines")
+    _write_typed_lines(records(spark, sf), path)
+    return _shown(R.read_results_jsonl(spark, path))
+
+
+@query("src_04_jsonl_counts", with_runs("""
+SELECT count(*) AS good, count(*) FILTER (case_id % 7 = 0) AS damaged,
+  count(*) FILTER (case_id % 11 = 0) + count(*) FILTER (case_id % 50 = 0) AS broken, count(*) AS n_all, count(*) AS n_one,
+  count(*) AS n_wide FROM runs"""))
+def jsonl_counts(spark, sf):
+    """The same number of records whatever columns are read."""
+    path = new_path(spark, "typed-lines")
+    _write_typed_lines(records(spark, sf), path)
+    read = R.read_results_jsonl(spark, path)
+    one = read.select("model").agg(F.count("*").alias("n_one"))
+    wide = read.select(F.struct(*read.columns).alias("s")).agg(F.count("s").alias("n_wide"))
+    counted = read.agg(F.count("*").alias("n_all"))
+    tables = [t.withColumn("_k", F.lit(0)) for t in (R.jsonl_health(spark, path), counted, one, wide)]
+    return reduce(lambda a, b: a.join(b, "_k"), tables).drop("_k")
+
+
 @query("src_04_jsonl_health", with_runs("""
-SELECT count(*) AS good, count(*) FILTER (case_id % 50 = 0) AS broken FROM runs"""))
+SELECT count(*) AS good, cast(0 AS BIGINT) AS damaged, count(*) FILTER (case_id % 50 = 0) AS broken FROM runs"""))
 def jsonl_health(spark, sf):
     path = new_path(spark, "lines")
     _write_lines(records(spark, sf), path)
@@ -162,6 +199,8 @@ def predictions_without_flag(spark, sf):
 @query("src_06_union_labeled", with_scored(f"""
 SELECT 'scheduled' AS model, case_id, {r('final_error')} AS final_error, validation_success_5, parsing_success,
   NULL AS validation_success_10 FROM scored WHERE model = '100K'
+UNION ALL SELECT 'small', case_id, {r('final_error')}, validation_success_5, parsing_success, validation_success_10 FROM scored
+  WHERE model = '1K'
 UNION ALL SELECT 'gain', case_id, {r('final_error')}, validation_success_5, NULL, validation_success_10 FROM scored
   WHERE model = '10K' AND actual_final IS NOT NULL"""))
 def union_labeled(spark, sf):
@@ -169,7 +208,8 @@ def union_labeled(spark, sf):
     full = df.where("model = '100K'").select("case_id", "final_error", "validation_success_5", "parsing_success")
     reduced = R.failed_sims_filter(df.where("model = '10K'"), "actual_final").select(
         "case_id", "final_error", "validation_success_5", "validation_success_10")
-    return rounded(R.union_labeled({"scheduled": full, "gain": reduced, "missing": None}))
+    small = df.where("model = '1K'").select("case_id", "final_error", "validation_success_5", "parsing_success", "validation_success_10")
+    return rounded(R.union_labeled({"scheduled": full, "gain": reduced, "missing": None, "small": small}))
 
 
 FLAGS = ", ".join(

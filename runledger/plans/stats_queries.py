@@ -9,7 +9,7 @@ from runledger.operators import report as R
 from runledger.operators import split as S
 from runledger.operators import stats as T
 from runledger.plans.fixtures import (
-    CALIB_SQL, FITS_SQL, REGIMES_SQL, calib, query, r, rounded, runs, scored, with_runs, with_scored, windowed, WINDOWED_SQL,
+    ALL_REGIMES_SQL, CALIB_SQL, FEW_SQL, FITS_SQL, REGIMES_SQL, calib, few_regimes, query, r, rounded, runs, scored, with_runs, with_scored, windowed, WINDOWED_SQL,
 )
 from runledger.plans.report_queries import COUNTS_SQL, MAIN_SQL, PAIRS_SQL, TOLS
 from runledger.functions.classify import window_bin
@@ -34,6 +34,21 @@ def poisson_bootstrap(spark, sf):
     return rounded(T.poisson_bootstrap_ci(scored(spark, sf), ["model"], ["case_id"], REPLICATES))
 
 
+LOG_MASS = "lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) + k * ln(p) + (total - k) * ln(1 - p)"
+
+
+@query("sta_01_bootstrap_ci_exact", with_scored("").rstrip() + f""", {COUNTS_SQL},
+rates AS (SELECT *, successes / cast(total AS DOUBLE) AS p FROM counts),
+mass AS (SELECT model, tolerance, k, sum(exp({LOG_MASS})) OVER (PARTITION BY model, tolerance ORDER BY k) AS upto
+  FROM (SELECT *, unnest(range(0, total + 1)) AS k FROM rates WHERE successes NOT IN (0, total))),
+bounds AS (SELECT model, tolerance, min(k) FILTER (upto >= 25e-3) AS lo, min(k) FILTER (upto >= 975e-3) AS hi FROM mass GROUP BY ALL)
+SELECT model, tolerance, successes, total, {r('p')} AS success_rate, {r('coalesce(lo / total, p)')} AS ci_lower,
+  {r('coalesce(hi / total, p)')} AS ci_upper, {r('coalesce((hi - lo) / total, 0)')} AS ci_width
+FROM rates LEFT JOIN bounds USING (model, tolerance)""")
+def exact_bootstrap(spark, sf):
+    return rounded(T.binomial_ci(scored(spark, sf), ["model"]))
+
+
 @query("sta_01_bootstrap_ci_binomial", with_scored("").rstrip() + f""", {COUNTS_SQL}
 SELECT model, tolerance, successes, total, {r('successes / total')} AS success_rate, true AS lower_near_normal,
   true AS upper_near_normal, true AS covers_rate FROM counts""")
@@ -121,12 +136,18 @@ def fit_gain(spark, sf):
     return rounded(T.fit_gain(calib(spark, sf), "power_delta", "delta_step", ["grp"]))
 
 
-@query("sta_08_fit_gain_by_regime", f"WITH {CALIB_SQL}, {REGIMES_SQL}, {FITS_SQL} SELECT * FROM fitted")
+@query("sta_08_fit_gain_by_regime", f"WITH {CALIB_SQL}, {REGIMES_SQL}, {FITS_SQL}, {ALL_REGIMES_SQL} SELECT * FROM all_regimes")
 def fit_by_regime(spark, sf):
     samples = J.assign_regime(calib(spark, sf), "power_delta")
     return rounded(T.fit_gain_by_regime(samples, "power_delta", "delta_step"))
 
 
+@query("sta_08_fit_gain_few_regimes", f"WITH {FEW_SQL}, {REGIMES_SQL}, {FITS_SQL}, {ALL_REGIMES_SQL} SELECT * FROM all_regimes")
+def fit_few_regimes(spark, sf):
+    samples = J.assign_regime(few_regimes(spark, sf), "power_delta")
+    return rounded(T.fit_gain_by_regime(samples, "power_delta", "delta_step"))
+
+
 @query("sta_09_single_gain", f"""WITH {CALIB_SQL}
 SELECT step, count(*) FILTER (abs(power_delta) > 1e-5) AS n_used, {r('''CASE WHEN count(*) FILTER (abs(power_delta) > 1e-5) < 3 THEN 200e0
   ELSE abs(regr_slope(delta_step, power_delta) FILTER (abs(power_delta) > 1e-5)) END''')} AS gain
@@ -177,14 +198,26 @@ def variance_ratio(spark, sf):
 spans AS (SELECT model, min(final_error) AS lo, max(final_error) AS hi FROM scored GROUP BY model),
 edges AS (SELECT model, lo, hi, cast(b AS INTEGER) AS bin, b * ((hi - lo) / 50) + lo AS low, (b + 1) * ((hi - lo) / 50) + lo AS high
   FROM spans, range(0, 50) t(b)),
-binned AS (SELECT model, e.lo, e.hi, e.bin FROM scored JOIN edges e USING (model)
-  WHERE final_error >= low AND (final_error < high OR bin = 49))
-SELECT model, bin, {r('lo + bin * (hi - lo) / 50')} AS "left", {r('lo + (bin + 1) * (hi - lo) / 50')} AS "right", count(*) AS n
-FROM binned GROUP BY model, bin, lo, hi""")
+binned AS (SELECT model, e.bin, count(*) AS n FROM scored JOIN edges e USING (model)
+  WHERE final_error >= low AND (final_error < high OR bin = 49) GROUP BY ALL)
+SELECT model, bin, {r('lo + bin * (hi - lo) / 50')} AS "left", {r('lo + (bin + 1) * (hi - lo) / 50')} AS "right", coalesce(n, 0) AS n
+FROM edges LEFT JOIN binned USING (model, bin)""")
 def histogram(spark, sf):
     return rounded(T.histogram(scored(spark, sf), ["model"], "final_error"))
 
 
+@query("sta_14_histogram_with_gaps", with_scored("").rstrip() + f""",
+shifted AS (SELECT model, final_error + CASE WHEN case_id % 3 = 0 THEN 7e0 ELSE 0e0 END AS e FROM scored WHERE final_error IS NOT NULL),
+spans AS (SELECT model, min(e) AS lo, max(e) AS hi FROM shifted GROUP BY model),
+edges AS (SELECT model, lo, hi, cast(b AS INTEGER) AS bin, b * ((hi - lo) / 50) + lo AS low, (b + 1) * ((hi - lo) / 50) + lo AS high
+  FROM spans, range(0, 50) t(b)),
+binned AS (SELECT model, x.bin, count(*) AS n FROM shifted JOIN edges x USING (model) WHERE e >= low AND (e < high OR bin = 49) GROUP BY ALL)
+SELECT model, bin, {r('low')} AS "left", {r('high')} AS "right", coalesce(n, 0) AS n FROM edges LEFT JOIN binned USING (model, bin)""")
+def histogram_with_gaps(spark, sf):
+    shifted = F.col("final_error") + F.when(F.col("case_id") % 3 == 0, 7.0).otherwise(0.0)
+    return rounded(T.histogram(scored(spark, sf).withColumn("e", shifted), ["model"], "e"))
+
+
 def _ecdf_sql(first: str, last: str) -> str:
     return with_scored("").rstrip() + f""",
 placed AS (SELECT model, final_error AS v, row_number() OVER (PARTITION BY model ORDER BY final_error) AS k,

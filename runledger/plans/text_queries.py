@@ -9,25 +9,27 @@ from runledger.operators.joins import assign_regime
 from runledger.operators.scale import spread
 from runledger.operators.stats import fit_gain_by_regime
 from runledger.plans.fixtures import (
-    CALIB_SQL, COMMAND, FITS_SQL, GEN_TEXT_SQL, LOGS_SQL, PAIR_TEXT_SQL, REGIMES_SQL, calib, gen_text, logs, pair_text, params, query, r,
+    ALL_REGIMES_SQL, CALIB_SQL, COMMAND, FEW_SQL, FITS_SQL, GEN_TEXT_SQL, LOGS_SQL, PAIR_TEXT_SQL, REGIMES_SQL, calib, few_regimes, gen_text, logs, pair_text, params, query, r,
     rounded, runs, table, with_runs,
 )
-from runledger.sources.runlog import run_log_points, run_log_points_unskipped
+from runledger.sources.runlog import ANY_CPU_TIME, run_log_points, run_log_points_unskipped
 from runledger.sources.writers import calibration_map, flatten_params, records_to_json
 
 COMMAND_TEXT = "concat(b1_pos, ', ', b1_time, ', ', b1_speed, ', ', b2_pos, ', ', b2_time, ', ', b2_speed, ']')"
 
 
 @query("txt_01_number_lists", with_runs(f"""
-SELECT case_id, concat('[', {COMMAND_TEXT}) AS six,
-  concat('[', target_initial, ', ', round(target_final, 5), ', ', {COMMAND_TEXT}) AS eight,
-  concat('[', init_b1, ', ', init_b2, ', ', target_initial, ', ', round(target_final, 5), ', ', {COMMAND_TEXT}) AS ten,
+SELECT case_id, CASE WHEN parsing_success THEN concat('[', {COMMAND_TEXT}) END AS six,
+  CASE WHEN parsing_success THEN concat('[', target_initial, ', ', round(target_final, 5), ', ', {COMMAND_TEXT}) END AS eight,
+  CASE WHEN parsing_success THEN concat('[', init_b1, ', ', init_b2, ', ', target_initial, ', ', round(target_final, 5), ', ', {COMMAND_TEXT})
+    END AS ten,
   concat('[', printf('%.6f', rho), ', ', printf('%.4f', dur), ']') AS pair,
   concat('[', printf('%.2f', p0), ', ', printf('%.2f', p1), ', ', printf('%.6f', rho), ', ', printf('%.4f', dur), ']') AS four
 FROM (SELECT *, -1e-2 * target_final AS rho, 3e0 + (case_id % 296) / 8e0 AS dur, 24544e-2 AS p0, target_final * 1637e-1 AS p1
-  FROM runs WHERE parsing_success)"""))
+  FROM runs)"""))
 def number_lists(spark, sf):
-    df = runs(spark, sf).where("parsing_success")
+    """A missing command has no text."""
+    df = runs(spark, sf)
     cmd = [F.col(c) for c in COMMAND]
     target = F.round("target_final", 5)
     rho, dur = -1e-2 * F.col("target_final"), 3.0 + (F.col("case_id") % 296) / 8.0
@@ -72,6 +74,10 @@ def _number(token: str) -> str:
     return f"CASE WHEN regexp_matches(trim({token}), '{FLOAT}') THEN try_cast(trim({token}) AS DOUBLE) END"
 
 
+def _log_number(token: str) -> str:
+    return f"CASE WHEN regexp_matches({token}, '{FLOAT}|(?i)^[+-]?(inf|infinity|nan)$') THEN try_cast({token} AS DOUBLE) END"
+
+
 def _last6_sql(pattern: str, least: int, source: str, key: str) -> str:
     cols = ", ".join(f"v[{i + 1}] AS {c}" for i, c in enumerate(COMMAND))
     return f"""
@@ -163,34 +169,55 @@ watch {monitor_window} then {monitor_window}
 SELECT case_id, {''.join(f"replace(" for _ in (*COMMAND, 1, 2, 3))}'{DECK}'
   {' '.join(f", '{{{c}}}', cast({c} AS VARCHAR))" for c in COMMAND)}, '{{monitor_window}}', cast(60 + case_id % 41 AS VARCHAR)),
   '{{init_b1}}', cast(init_b1 AS VARCHAR)), '{{init_b2}}', cast(init_b2 AS VARCHAR)) AS deck
-FROM runs WHERE parsing_success"""))
+FROM runs"""))
 def render_deck(spark, sf):
     values = {c: F.col(c) for c in (*COMMAND, "init_b1", "init_b2")} | {"monitor_window": 60 + F.col("case_id") % 41}
-    return runs(spark, sf).where("parsing_success").select("case_id", X.render_deck(DECK, values).alias("deck"))
+    return runs(spark, sf).select("case_id", X.render_deck(DECK, values).alias("deck"))
 
 
-LINES_SQL = f"""WITH {LOGS_SQL},
+def lines_sql(is_end: str = "starts_with(trim(s), 'CPU time breakdown')") -> str:
+    return f"""WITH {LOGS_SQL},
 lines AS (SELECT run_id, unnest(range(0, len(l))) AS line, unnest(l) AS s
   FROM (SELECT run_id, string_split(text, chr(10)) AS l FROM logs)),
 marked AS (SELECT *, max(CASE WHEN contains(s, 'TRANSIENT RESULTS') THEN line END)
   OVER (PARTITION BY run_id ORDER BY line) AS header FROM lines),
-ended AS (SELECT *, min(CASE WHEN line > header + 2 AND starts_with(trim(s), 'CPU time') THEN line END)
+ended AS (SELECT *, min(CASE WHEN line > header + 2 AND {is_end} THEN line END)
   OVER (PARTITION BY run_id) AS stop FROM marked),
 tokens AS (SELECT *, list_filter(string_split(regexp_replace(trim(s), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS k FROM ended),
-numbers AS (SELECT *, {_number('k[2]')} AS t, {_number('k[4]')} AS power FROM tokens)
+numbers AS (SELECT *, {_log_number('k[2]')} AS t, {_log_number('k[4]')} AS power FROM tokens)
 """
 
 
-@query("txt_10_parse_run_log", LINES_SQL + """
+LINES_SQL = lines_sql()
+POINTS_SQL = """
 SELECT run_id, line, t, power FROM numbers
-WHERE line > header + 2 AND (stop IS NULL OR line < stop) AND t IS NOT NULL AND power IS NOT NULL""")
-def parse_run_log(spark, sf):
-    points = run_log_points(logs(spark, sf), ["run_id"])
+WHERE line > header + 2 AND (stop IS NULL OR line < stop) AND t IS NOT NULL AND power IS NOT NULL"""
+
+
+def _points(points):
     return points.withColumn("line", F.col("line").cast("long"))
 
 
+@query("txt_10_parse_run_log", LINES_SQL + POINTS_SQL)
+def parse_run_log(spark, sf):
+    return _points(run_log_points(logs(spark, sf), ["run_id"]))
+
+
+@query("txt_10_run_log_any_cpu_time", lines_sql("starts_with(trim(s), 'CPU time')") + POINTS_SQL)
+def run_log_any_cpu_time(spark, sf):
+    return _points(run_log_points(logs(spark, sf), ["run_id"], end=ANY_CPU_TIME))
+
+
+@query("txt_10_run_log_end_anywhere", lines_sql("contains(s, 'time breakdown')") + POINTS_SQL)
+def run_log_end_anywhere(spark, sf):
+    return _points(run_log_points(logs(spark, sf), ["run_id"], end="time breakdown", end_anywhere=True))
+
+
+FINITE = "CASE WHEN isfinite(power) THEN power END"
+
+
 @query("txt_10_run_log_summary", LINES_SQL + f"""
-SELECT run_id, arg_min(power, line) AS initial_power, arg_max(power, line) AS final_power, max(power) AS peak_power,
+SELECT run_id, arg_min_null({FINITE}, line) AS initial_power, arg_max_null({FINITE}, line) AS final_power, max({FINITE}) AS peak_power,
   count(*) AS points FROM numbers
 WHERE line > header + 2 AND (stop IS NULL OR line < stop) AND power IS NOT NULL GROUP BY run_id""")
 def run_log_summary(spark, sf):
@@ -222,21 +249,59 @@ def to_json(spark, sf):
     return records_to_json(runs(spark, sf).select("case_id", "model", "init_b1", "parsing_success", "b1_time"))
 
 
-@query("jsn_03_calibration_map", f"""WITH {CALIB_SQL}, {REGIMES_SQL}, {FITS_SQL},
+def _record_sql(source: str) -> str:
+    span = lambda c: f"CASE WHEN n_samples >= 2 THEN [{r(f'min_{c}')}, {r(f'max_{c}')}] END"
+    return f"""WITH {source}, {REGIMES_SQL}, {FITS_SQL}, {ALL_REGIMES_SQL},
 t AS (SELECT count(*) AS n_total_samples, {r('min(power_delta)')} AS x_min, {r('max(power_delta)')} AS x_max,
-  min(delta_step) AS y_min, max(delta_step) AS y_max FROM calib)
-SELECT fitted.*, t.* FROM fitted, t""")
-def calibration(spark, sf):
+  min(delta_step) AS y_min, max(delta_step) AS y_max FROM samples),
+spans AS (SELECT regime, min(delta_step) AS min_d, max(delta_step) AS max_d, min(power_delta) AS min_p, max(power_delta) AS max_p
+  FROM samples GROUP BY regime),
+borders(regime, lo, hi) AS (VALUES ('large_dec', -1e0, -3e-1), ('medium_dec', -3e-1, -1e-1), ('small_dec', -1e-1, 0e0),
+  ('small_inc', 0e0, 1e-1), ('medium_inc', 1e-1, 3e-1), ('large_inc', 3e-1, 1e0))
+SELECT a.*, lo, hi, cast({span('d')} AS VARCHAR) AS ds_range, cast({span('p')} AS VARCHAR) AS pd_range, t.*
+FROM all_regimes a JOIN borders USING (regime) LEFT JOIN spans USING (regime), t"""
+
+
+def _record(samples):
     """The record with its map opened again, so that every entry can be compared."""
-    samples = calib(spark, sf)
-    fits = fit_gain_by_regime(assign_regime(samples, "power_delta"), "power_delta", "delta_step")
-    record = calibration_map(fits, samples)
+    assigned = assign_regime(samples, "power_delta")
+    record = calibration_map(fit_gain_by_regime(assigned, "power_delta", "delta_step"), assigned)
     ranges = [c for c in record.columns if c != "regimes"]
-    return rounded(record.select(*ranges, F.explode("regimes").alias("regime", "fit")).select("regime", "fit.*", *ranges))
+    flat = record.select(*ranges, F.explode("regimes").alias("regime", "fit")).select("regime", "fit.*", *ranges)
+    shown = lambda c: F.transform(c, lambda v: F.round(v, 6) + 0.0).cast("string")
+    return rounded(flat.withColumns({c: shown(c) for c in ("ds_range", "pd_range")}))
+
+
+@query("jsn_03_calibration_map", _record_sql(CALIB_SQL))
+def calibration(spark, sf):
+    return _record(calib(spark, sf))
+
+
+@query("jsn_03_calibration_few_regimes", _record_sql(FEW_SQL))
+def calibration_few_regimes(spark, sf):
+    return _record(few_regimes(spark, sf))
 
 
 @query("jsn_03_calibration_samples", f"""WITH {CALIB_SQL}
-SELECT concat('{{"delta_step":', delta_step, ',"power_delta":"', printf('%.4f', power_delta), '"}}') AS json FROM calib""")
+SELECT delta_step, {r('power_delta', 9)} AS power_delta FROM calib""")
 def calibration_samples(spark, sf):
-    samples = calib(spark, sf).select("delta_step", X.fixed(F.col("power_delta"), 4).alias("power_delta"))
-    return records_to_json(samples)
+    """Samples as JSON numbers beside the record, read back."""
+    written = records_to_json(calib(spark, sf).select("delta_step", "power_delta"))
+    back = written.select(F.from_json("json", "delta_step double, power_delta double").alias("s"))
+    return rounded(back.select("s.*"), 9)
+
+
+@query("txt_06_parse_bracket6_spaced", f"""WITH {GEN_TEXT_SQL}
+SELECT case_id, {", ".join(f"v[{i + 1}] AS {c}" for i, c in enumerate(COMMAND))} FROM (
+  SELECT case_id, CASE WHEN len(w) = 6 AND len(list_filter(w, lambda x: x IS NULL)) = 0 THEN w END AS v FROM (
+    SELECT case_id, list_transform(string_split(string_split(string_split(t, '[')[-1], ']')[1], ','),
+      lambda x: {_number('x')}) AS w
+    FROM (SELECT case_id, CASE WHEN case_id % 2 = 0 THEN concat('Output: [', substr(text, strpos(text, ',') + 1)) ELSE text END AS t
+      FROM gen_text)))""")
+def parse_bracket6_spaced(spark, sf):
+    """Line breaks and tabs around the numbers change nothing."""
+    t = F.col("text")
+    shorter = F.concat(F.lit("Output: ["), F.substring(t, F.instr(t, ",") + 1, F.length(t)))
+    text = F.replace(F.when(F.col("case_id") % 2 == 0, shorter).otherwise(t), F.lit(","), F.lit("\n,\t "))
+    out = gen_text(spark, sf).select("case_id", X.as_command(X.parse_bracket6(text)).alias("c"))
+    return out.select("case_id", "c.*")

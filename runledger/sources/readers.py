@@ -42,19 +42,28 @@ def read_results_enveloped(spark: SparkSession, path: str, schema: StructType =
     return clean_nan(raw.select(F.inline(F.coalesce(F.col("results"), single))))
 
 
+def json_records(lines: DataFrame, schema: StructType = schemas.RESULTS) -> DataFrame:
+    """Records of the lines (column `value`) that hold a JSON object; other lines are skipped.
+
+    A field of the wrong type is null and its line stays. Which lines count does not depend on the columns that are read later.
+    """
+    objects = lines.where(F.json_object_keys("value").isNotNull())
+    return clean_nan(objects.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*"))
+
+
 def read_results_jsonl(spark: SparkSession, path: str, schema: StructType = schemas.RESULTS) -> DataFrame:
-    """JSON lines; blank and broken lines are skipped."""
-    return clean_nan(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path))
+    """JSON lines; blank and broken lines are skipped, see `json_records`."""
+    return json_records(spark.read.text(path), schema)
 
 
 def jsonl_health(spark: SparkSession, path: str, schema: StructType = schemas.RESULTS) -> DataFrame:
-    """How many lines of a JSON-lines folder are good, and how many are skipped as broken."""
+    """How many lines of a JSON-lines folder are read, how many of those lack a field of the wrong type, how many are skipped."""
     with_corrupt = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
     lines = spark.read.text(path).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.select(F.from_json("value", with_corrupt, options).alias("r"))
-    broken = F.col(f"r.{CORRUPT}").isNotNull()
-    return parsed.agg(F.count_if(~broken).alias("good"), F.count_if(broken).alias("broken"))
+    parsed = lines.select(F.json_object_keys("value").isNotNull().alias("object"), F.from_json("value", with_corrupt, options).alias("r"))
+    damaged = F.col("object") & F.col(f"r.{CORRUPT}").isNotNull()
+    return parsed.agg(F.count_if("object").alias("good"), F.count_if(damaged).alias("damaged"), F.count_if(~F.col("object")).alias("broken"))
 
 
 def read_predictions_csv(spark: SparkSession, path: str, has_parsed: bool = True) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # ---- fixed values ---------------------------------------------------------------------------
 RESULTS_HEADER = "TRANSIENT RESULTS"
-RESULTS_END = "CPU time"
+# what ends the results: the readers of closed-loop and training runs stop at the first, those of scheduled gains at the second
+RESULTS_END = "CPU time breakdown"
+ANY_CPU_TIME = "CPU time"
 SKIPPED_AFTER_HEADER = 2
-NUMBER = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+NUMBER = r"([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan)))"
 ANY = r"(\S+)"
 FOUR_TOKENS = (r"^\s*\S+\s+", r"\s+\S+\s+", r"(?:\s|$)")
 # ---------------------------------------------------------------------------------------------
@@ -34,7 +36,7 @@ def run_log_points(df: DataFrame, ids: list[str], text: str = "text", end: str =
     A header line opens the section and swallows the two lines after it (so a header among those is
     not seen; a later one swallows two again). The first readable line that starts with `end` - or
     holds it, with `end_anywhere` - closes the log. Data lines have >= 4 tokens, numbers in the 4th and,
-    unless `power_only`, in the 2nd.
+    unless `power_only`, in the 2nd. NaN and infinities are numbers: a run that diverged keeps its last points.
 
     The section borders are computed per log from the few header and end positions, then only the lines of the
     sections are exploded: no window and no shuffle, a run is parsed inside the task that read it.

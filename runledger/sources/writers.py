@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runledger.functions.classify import REGIMES
 from runledger.functions.derive import COMMAND
 
 
@@ -15,12 +16,14 @@ def write_report_csv(df: DataFrame, path: str) -> None:
 
 
 def write_results_json(df: DataFrame, folder: str, order: str = "case_id", stamp: str | None = None) -> tuple[str, str]:
-    """Records in case order as JSON lines: a time-stamped set and the fixed "latest" copy of it."""
+    """Records in case order as JSON lines: a time-stamped set and the fixed "latest" copy of it.
+
+    Both are range-partitioned by `order`, so that their files are in case order one after the other.
+    """
     stamp = stamp or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     dated, latest = f"{folder}/results_{stamp}", f"{folder}/results_latest"
     df.orderBy(order).write.mode("overwrite").json(dated)
-    copied = df.sparkSession.read.schema(df.schema).json(dated)
-    copied.sortWithinPartitions(order).write.mode("overwrite").json(latest)
+    df.sparkSession.read.schema(df.schema).json(dated).orderBy(order).write.mode("overwrite").json(latest)
     return dated, latest
 
 
@@ -46,13 +49,21 @@ def flatten_params(df: DataFrame, params: str = "predicted_params") -> DataFrame
 
 def calibration_map(fits: DataFrame, samples: DataFrame, regime: str = "regime", x: str = "power_delta",
                     y: str = "delta_step") -> DataFrame:
-    """Calibration record: regime -> fit, plus the range of the samples behind it.
+    """Calibration record: regime -> borders, fit and, where a fit was possible, the ranges of the samples behind it.
 
-    The fits are six rows. The samples stay a table; the record holds their number and range.
+    `samples` carry their regime. The fits are restricted to the six regimes; the samples stay a table, and the record holds
+    their number and range.
     """
     fields = [c for c in fits.columns if c != regime]
-    by_regime = fits.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(regime), F.struct(*fields))))).alias("regimes"))
+    known = [label for label, _, _ in REGIMES]
+    border = lambda k: F.element_at(F.create_map(*[F.lit(v) for r in REGIMES for v in (r[0], float(r[k]))]), F.col(regime))
+    spans = samples.groupBy(F.col(regime).alias("_of")).agg(
+        F.array(F.min(y), F.max(y)).alias("ds_range"), F.array(F.min(x), F.max(x)).alias("pd_range"))
+    fitted = fits.where(F.col(regime).isin(known)).join(spans, F.col(regime) == F.col("_of"), "left")
+    enough = F.col("n_samples") >= 2
+    entry = F.struct(border(1).alias("lo"), border(2).alias("hi"), *fields,
+                     *[F.when(enough, F.col(c)).alias(c) for c in ("ds_range", "pd_range")])
+    by_regime = fitted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(regime), entry.alias("entry"))))).alias("regimes"))
     ranges = samples.agg(F.count("*").alias("n_total_samples"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
                          F.min(y).alias("y_min"), F.max(y).alias("y_max"))
     return by_regime.withColumn("_k", F.lit(0)).join(ranges.withColumn("_k", F.lit(0)), "_k").drop("_k")

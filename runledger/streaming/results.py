@@ -12,20 +12,28 @@ from runledger.functions.derive import flag
 from runledger.sources.readers import clean_nan
 from runledger.sources.writers import write_results_json
 
+#: Column of `stream_results` that bounds the state of streaming operators.
+FILE_TIME = "file_time"
+
 
 def stream_results(spark: SparkSession, folder: str, schema: StructType = schemas.RESULTS,
                    files_per_batch: int | None = None) -> DataFrame:
-    """Stream of records as files arrive; blank and broken lines are skipped."""
-    reader = spark.readStream.schema(schema).option("mode", "DROPMALFORMED")
+    """Stream of records as files arrive, by the rules of the batch reader, with the time their file was written (`file_time`)."""
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return clean_nan(reader.json(folder)).where(F.col("case_id").isNotNull())
+    lines = reader.text(folder).select("value", F.col("_metadata.file_modification_time").alias(FILE_TIME))
+    objects = lines.where(F.json_object_keys("value").isNotNull())
+    parsed = objects.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), FILE_TIME)
+    return clean_nan(parsed.select("r.*", FILE_TIME))
+
 
+def stream_dedup(results: DataFrame, key: list[str], event_time: str = FILE_TIME, keep_for: str = "7 days") -> DataFrame:
+    """A case counts once, also across restarts: repeats within `keep_for` of each other are dropped, and older keys leave the state.
 
-def stream_dedup(results: DataFrame, key: list[str], event_time: str | None = None,
-                 keep_for: str = "7 days") -> DataFrame:
-    """A case counts once, also across restarts. With an event time the state is bounded by `keep_for`."""
-    if event_time:
+    Without the event time in `results` every key is kept for ever.
+    """
+    if event_time in results.columns:
         return results.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(key)
     return results.dropDuplicates(key)
 

@@ -159,11 +159,12 @@ def test_gain_fallbacks(spark):
     rows = [("one", 0.5, 10.0), ("zero", 0.00001, 1.0), ("zero", 0.00002, 2.0), ("good", 0.1, 1.0), ("good", 0.2, 2.0),
             ("good", 0.3, 3.0), ("poor", 0.1, 1.0), ("poor", 0.2, -2.0), ("poor", 0.3, 3.0), ("poor", 0.4, -4.0)]
     df = spark.createDataFrame(rows, "regime string, x double, y double")
-    got = {r.regime: (round(r.Kp, 6), r.method) for r in T.fit_gain_by_regime(df, "x", "y").collect()}
+    got = {r.regime: (round(r.Kp, 6), r.method) for r in T.fit_gain_by_regime(df, "x", "y", labels=["one", "zero", "good", "poor", "none"]).collect()}
+    assert got.pop("none") == (35.5, "fallback")
     assert got == {"one": (35.5, "fallback"), "zero": (35.5, "fallback (samples too close to zero)"),
                    "good": (10.0, "linear_regression"), "poor": (10.0, "median_ratio (low R^2)")}
     flat = spark.createDataFrame([("f", 0.1, 2.0), ("f", 0.2, 2.0), ("f", 0.4, 2.0)], "regime string, x double, y double")
-    row = T.fit_gain_by_regime(flat, "x", "y").first()
+    row = T.fit_gain_by_regime(flat, "x", "y", labels=["f"]).first()
     assert (row.Kp, row.r2, row.method) == (10.0, 0.0, "median_ratio (low R^2)")
     assert {r.regime: r.gain for r in T.single_gain(df, "x", "y", ["regime"]).collect()}["one"] == 200.0
 
@@ -201,3 +202,47 @@ def test_first_cases_are_the_fixed_ones(spark):
     rows = G.gen_test_cases(G.id_table(spark, 50)).orderBy("case_id").collect()
     assert [r.target_final for r in rows[:12]] == G.FIXED_TARGETS
     assert all(0.5 <= r.target_final <= 1.5 for r in rows) and {r.kind for r in rows[12:]} == {"random"}
+
+
+def test_case_of_a_regime_without_samples_has_a_command(spark):
+    from runledger.plans.flows import schedule_pending
+
+    samples = spark.createDataFrame([(0.15 + k / 100, 5.0 + k) for k in range(6)], "power_delta double, delta_step double")
+    cases = spark.createDataFrame([(1, 1.0, 0.6), (2, 1.0, 1.2)], "case_id long, target_initial double, target_final double")
+    got = {r.case_id: r for r in schedule_pending(samples, cases, cases.limit(0)).collect()}
+    assert got[1].Kp_used == 35.5 and got[1].b2_pos is not None and got[2].Kp_used == pytest.approx(100.0)
+
+
+def test_diverged_run_is_no_success(spark):
+    from runledger.plans.flows import score_closed_loop
+
+    cases = spark.createDataFrame([(k, 1.0, 1.2) for k in range(4)], "case_id long, target_initial double, target_final double")
+    texts = cases.selectExpr("case_id", "'[1.0, 1.2, 90, 5.0, 1.0, 80, 5.0, 1.0]' AS text")
+    body = {0: "nan\n4 3.0 0 NaN", 1: "1.21", 2: "Infinity", 3: "1.2\n CPU time so far\n4 3.0 0 1.9"}
+    logs = spark.createDataFrame([(k, f"TRANSIENT RESULTS\n-\n-\n1 0.0 0 1.0\n2 1.0 0 1.2\n3 2.0 0 {b}\n CPU time breakdown\n5 9.0 0 1.2")
+                                  for k, b in body.items()], "case_id long, text string")
+    got = {r.case_id: r for r in score_closed_loop(cases, texts, logs).collect()}
+    assert [got[k].validation_success_5 for k in range(4)] == [False, True, False, False]
+    assert got[0].actual_final is None and got[0].stage == "result_parse_failure" and got[3].actual_final == 1.9
+
+
+def test_unlisted_models_stay(spark):
+    df = spark.createDataFrame([("1K", 4.0, 4.0), ("10K", 2.0, 2.0), ("PID", 1.0, 1.0)], "model string, mean double, median double")
+    got = [(r.from_model, r.to_model, r.mean_improvement) for r in T.improvement(df).collect()]
+    assert got == [("1K", "10K", 50.0), ("10K", "PID", 50.0)]
+
+
+def test_exact_bounds():
+    from math import comb
+
+    for n, k in ((1, 1), (10, 3), (50, 49), (400, 4)):
+        p, upto, want = k / n, 0.0, []
+        for j in range(n + 1):
+            upto += comb(n, j) * p**j * (1 - p) ** (n - j)
+            if len(want) < 1 and upto >= 0.025:
+                want.append(j / n)
+            if len(want) == 1 and upto >= 0.975:
+                want.append(j / n)
+        assert T.binomial_bounds(n, k) == want
+    lo, hi = T.binomial_bounds(10**9, 5 * 10**8)
+    assert (hi - lo) / 2 == pytest.approx(1.96 * 0.5 / 10**4.5, rel=1e-2)

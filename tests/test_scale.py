@@ -47,6 +47,10 @@ def joins(request, spark, monkeypatch):
         monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(S, "SMALL", 50)
+    monkeypatch.setattr(S, "LEVEL", 8)
+    monkeypatch.setattr(S, "RANGES", 5)
+    monkeypatch.setattr(S, "STEPS", 7)
     yield request.param
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -87,7 +91,7 @@ def test_rank_percentile(joins, table, frame):
 
 def test_running_success(joins, table, frame):
     df = table.withColumn("hit", F.coalesce(F.col("x") > 0, F.lit(False)))
-    got = {r.id: r for r in W.running_success(df, ["g"], "id", F.col("hit"), bucket_width=64).collect()}
+    got = {r.id: r for r in W.running_success(df, ["g"], "id", F.col("hit")).collect()}
     assert len(got) == len(frame)
     for _, part in groups(frame):
         hits = (part.x > 0).cumsum()
@@ -98,7 +102,7 @@ def test_running_success(joins, table, frame):
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_min_and_max(joins, table, frame, descending):
     scan = {"low": ("min", F.col("x")), "high": ("max", F.col("x"))}
-    got = {r.id: r for r in S.ordered_scan(table.where("x is not null"), ["g"], S.id_bucket(F.col("id"), 100), ["id"], scan,
+    got = {r.id: r for r in S.ordered_scan(table.where("x is not null"), ["g"], F.floor(F.col("id") / 100), ["id"], scan,
                                            descending).collect()}
     for _, part in groups(frame[frame.x.notna()]):
         x = part.x[::-1] if descending else part.x
@@ -143,7 +147,7 @@ def test_positions(joins, table, frame):
     assert sorted(r.position for r in at) == list(range(1, len(frame) + 1))
     order = [r.id for r in P.shuffle(table, ["id"]).collect()]
     assert [r.id for r in sorted(at, key=lambda r: r.position)] == order
-    names = [r.run_id for r in P.rekey(table, "m_", "id", bucket_width=256).orderBy("id").collect()]
+    names = [r.run_id for r in P.rekey(table, "m_", "id").orderBy("id").collect()]
     assert names == [f"m_{i:05d}" for i in range(len(frame))]
 
 
@@ -155,7 +159,7 @@ def test_histogram(joins, table, frame):
         assert mine.n.sum() == len(x)
         counts, edges = np.histogram(x, 10)
         assert np.allclose(mine.left, edges[mine.bin])
-        assert {int(b): int(n) for b, n in zip(mine.bin, mine.n)} == {i: c for i, c in enumerate(counts) if c}
+        assert {int(b): int(n) for b, n in zip(mine.bin, mine.n)} == dict(enumerate(counts))
 
 
 def test_ecdf(joins, table, frame):
@@ -209,18 +213,52 @@ def test_nearest_time(joins, spark):
     assert (got["short"].initial_value, got["short"].final_value) == (3.0, 3.0)
 
 
-@pytest.mark.parametrize("step", [1e-5, 1e-3, 0.5])
-def test_bucket_width_does_not_matter(table, frame, step):
-    got = S.quantiles(table, [], F.col("x"), {"a": 0.1, "b": 0.77}, step).first()
+@pytest.mark.parametrize("small,level", [(1, 2), (10, 1024), (10**6, 8)])
+def test_span_sizes_do_not_matter(table, frame, monkeypatch, small, level):
+    monkeypatch.setattr(S, "SMALL", small)
+    monkeypatch.setattr(S, "LEVEL", level)
+    got = S.quantiles(table, [], F.col("x"), {"a": 0.1, "b": 0.77}).first()
     assert (got.a, got.b) == (pytest.approx(frame.x.quantile(0.1)), pytest.approx(frame.x.quantile(0.77)))
 
 
+def test_near_values_and_far_outliers_are_spread(spark, monkeypatch):
+    """Values within 1.0..1.001, one far away, infinities: no sorted span holds more than SMALL rows."""
+    monkeypatch.setattr(S, "SMALL", 500)
+    rng = np.random.default_rng(4)
+    x = [*rng.uniform(1.0, 1.001, 20_000).tolist(), 1e12, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    sizes, inner = [], S._in_spans
+
+    def seen(values, spans):
+        sizes.append(spans.agg(F.max("_c")).first()[0])
+        return inner(values, spans)
+
+    monkeypatch.setattr(S, "_in_spans", seen)
+    got = S.quantiles(df, [], F.col("x"), {"m": 0.5, "p": 0.9}).first()
+    assert (got.m, got.p) == (pytest.approx(np.median(x), rel=1e-15), pytest.approx(np.sort(x)[int(0.9 * (len(x) - 1))], rel=1e-6))
+    assert sizes[-1] <= 500 and len(sizes) <= 5
+
+
+@pytest.mark.parametrize("stride", [1, 70_001])
+def test_buckets_of_keys_are_few_and_even(spark, stride):
+    ids = spark.range(0, 100_000 * stride, stride).union(spark.range(10**15, 10**15 + 10))
+    per = ids.groupBy(S.range_bucket(ids, F.col("id")).alias("b")).count().collect()
+    assert len(per) <= S.RANGES * S.STEPS + 1 and max(r["count"] for r in per) < 2_000
+
+
+def test_many_equal_p_values(spark):
+    tests = spark.createDataFrame([(i, 0.0 if i % 2 else i / 4000) for i in range(2000)], "i int, p double")
+    got = T.fdr_bh(tests, "p", ["i"]).collect()
+    assert sorted(r.bh_rank for r in got) == list(range(1, 2001)) and all(r.p_adjusted == 0 for r in got if r.i % 2)
+
+
 def test_failed_cases_of_quiet_suites(joins, spark):
     rows = [(i, "loud", False, 0.5) for i in range(300)] + [(300, "quiet", False, 0.2), (301, "quiet", False, None),
                                                             (302, "quiet", True, 0.01), (303, "fine", True, 0.0)]
     df = spark.createDataFrame(rows, "case_id long, suite string, validation_success_5 boolean, final_error double")
     got = W.failed_cases(df, ["suite"], 20).collect()
     assert [(r.case_id, r.suite, r.failures) for r in got] == [(300, "quiet", 2)]
+    assert W.failed_cases(df, ["suite"], None).count() == 301
 
 
 def test_fdr_matches_the_definition(joins, spark):
@@ -270,12 +308,25 @@ def test_chi_square_against_the_table(spark):
 def test_only_short_tables_are_spread(spark):
     cores = spark.sparkContext.defaultParallelism
     assert S.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
-    assert S.spread(spark.range(0, 100, 1, 3 * cores)).rdd.getNumPartitions() == 3 * cores
+    large = spark.range(0, 10**9, 1, 3)
+    assert S.spread(large).rdd.getNumPartitions() == 3
+    assert S.planned_bytes(large) == 8 * 10**9
+
+
+def test_staged_folders_are_deleted(spark):
+    import os
+
+    with S.staging(spark):
+        paths = [S.stage(spark.range(5)).inputFiles()[0] for _ in range(2)]
+        folders = [os.path.dirname(p.removeprefix("file://")) for p in paths]
+        assert all(map(os.path.isdir, folders))
+    assert not any(map(os.path.isdir, folders))
 
 
 def test_buckets_are_monotone(spark):
     values = sorted([0.0, 1e-300, -1e-300, 1e300, -1e300, 1.0, 1.0000001, -1.0, -2.5, 0.1, float("inf"), float("-inf"),
                      *np.random.default_rng(0).normal(0, 100, 500).tolist()])
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    buckets = [r[0] for r in df.coalesce(1).select(S.value_bucket(F.col("v"))).collect()]
-    assert buckets == sorted(buckets)
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    buckets = {r[1]: r[0] for r in df.select(S.range_bucket(df, F.col("v")), "v").collect()}
+    assert buckets.pop(None) == -1
+    assert [buckets[v] for v in values] == sorted(buckets[v] for v in values)

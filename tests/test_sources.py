@@ -127,3 +127,18 @@ def test_stage_reads_back_what_it_wrote(spark):
     df = spark.range(10).withColumn("s", F.struct(F.lit(None).cast("string").alias("a"), F.col("id").alias("b")))
     assert sorted(stage(df).collect()) == sorted(df.collect())
     assert new_path(spark, "x").startswith(work_dir(spark)) and uuid
+
+
+def test_latest_is_in_case_order(spark, tmp_path):
+    df = spark.range(0, 120_000, 1, 12).select(F.col("id").alias("case_id"), F.lit("x" * 20).alias("model"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        _, latest = W.write_results_json(df.repartition(12), str(tmp_path), stamp="s")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    from pathlib import Path
+
+    spans = [(json.loads(lines[0])["case_id"], json.loads(lines[-1])["case_id"])
+             for f in sorted(Path(latest).glob("part-*")) if (lines := f.read_text().splitlines())]
+    assert len(spans) > 3 and all(a <= b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    assert spans[0][0] == 0 and spans[-1][1] == 119_999
