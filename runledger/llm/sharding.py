@@ -40,7 +40,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     place = F.col("before") + F.col("at")
-    placed = dealt.join(offsets, "bucket")
+    placed = dealt.join(F.broadcast(offsets), "bucket")  # a row for each 64 MB of text
     return placed.select("row", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
 
 
