@@ -178,7 +178,7 @@ def ordered_rank(df: DataFrame, by: list[str], bucket: Column, order: list[str],
 
 #: Buckets of a histogram between the bounds of a span, and rows of a span that one task may sort.
 LEVEL = 1_024
-SMALL = 50_000
+SMALL = 500_000
 
 
 def order_stats(df: DataFrame, by: list[str], value: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
