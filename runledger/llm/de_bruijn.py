@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.llm.common import staged
-from runledger.llm.repeats import Unit, candidate_texts, contents, covered, of_pieces, pieces, with_removed
+from runledger.llm.repeats import Unit, covered, named, of_pieces, pieces, with_removed
 
 #: Words of a minimizer.
 GRAM = 5
@@ -32,53 +32,53 @@ def _cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple:
     return len(words), int(gone.sum()), _sha([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Spans (id, text_hash, lo, hi) of words whose windows also start in a document of smaller id, and the texts that have them.
+def repeated_spans(docs: DataFrame, window: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Windows (doc, place, content, first, last) whose words also start in a document of smaller id, as parts of pieces.
 
     The graph's edges are the windows, its nodes what two consecutive windows share. A piece - consecutive windows under one
     minimizer - is a path of edges, found inside a text. One aggregation over minimizers leaves the pieces that can repeat
-    across documents; their source coordinates are checked against the text, and equal paths are compacted to one row with the
-    smallest id it occurs in:
+    across documents, and equal paths are compacted to one row with the smallest id they occur in:
 
     * every occurrence in another document than that is repeated as a whole, without looking inside;
     * a minimizer with one path has no branch, so its first occurrence is the first of all its windows;
-    * a minimizer with several paths branches: the first occurrence of each path is opened into its edges, equal edges are
-      joined, and those that an earlier document has are repeated there too.
+    * a minimizer with several paths branches: the first occurrence of each path is opened into its edges at its source
+      coordinates, equal edges are joined, and those that an earlier document has are repeated there too.
     """
-    unit = Unit(True, window, min(GRAM, window))
-    owned = docs.where(docs[id].isNotNull())
-    every = pieces(owned, unit, id, text)
-    across = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key")
-    texts = candidate_texts(owned, every.join(across, "key"), id, text)
-    rows = contents(texts, unit)
-    paths = staged(rows.groupBy("key", "content").agg(F.min("id").alias("earliest")), "paths")
-    later = rows.join(paths, ["key", "content"]).where("id > earliest").select("id", "text_hash", "place")
-
-    branching = paths.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    opened = paths.join(branching, "key")
-    own = ["key", "content"]
-    first = rows.join(opened.withColumnRenamed("earliest", "id"), [*own, "id"])
-    chosen = first.groupBy(*own).agg(F.min(F.struct("id", "text_hash", "place")).alias("r")).select(*own, "r.*")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("content", T.LongType()),
-                           T.StructField("back", T.LongType()), T.StructField("edge", T.LongType())])
-
-    def edges(units, key, content, at, lo, hi, data):
+    unit = _unit(window)
+    texts = named(docs.where(docs[id].isNotNull()), docs[id], text)
+    every = pieces(texts, unit)
+    across = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("key")
+    rows = staged(every.join(across, "key"), "repeat-pieces")
+    paths = staged(rows.groupBy("content").agg(F.min("doc").alias("earliest"), F.min("key").alias("key")), "paths")
+    branching = paths.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("open"))
+    opened = paths.join(branching, "key", "left").select("content", "earliest", F.coalesce("open", F.lit(False)).alias("open"))
+    marked = rows.select("content", "doc", "place").join(opened, "content").withColumn("later", F.col("doc") > F.col("earliest"))
+    marked = staged(marked.where("later or open").select("doc", "place", "content", "later"), "marked-pieces")
+
+    first = marked.where("not later")
+    chosen = first.groupBy("content").agg(F.min(F.struct("doc", "place")).alias("r")).select("r.doc", "r.place", "content")
+    schema = T.StructType([T.StructField("content", T.LongType()), T.StructField("back", T.LongType()), T.StructField("edge", T.LongType())])
+
+    def edges(units, data, content, at, lo, hi):
         n = hi - lo + 1
         row = np.repeat(np.arange(len(n)), n)
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[row]), pa.array(content[row]), pa.array(at[row] - start),
-             pa.array(units.spans(start, start + unit.span).view(np.int64))], schema.names)
+        edge = units.spans(start, start + unit.span).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(content[row]), pa.array(at[row] - start), pa.array(edge)], schema.names)
 
-    inside = staged(of_pieces(texts, chosen, unit, edges, schema).join(opened, own), "path-edges")
+    own = paths.select("content", "earliest")
+    inside = staged(of_pieces(texts, chosen, unit, edges, schema).join(own, "content"), "path-edges")
     before = inside.groupBy("edge").agg(F.min("earliest").alias("low"))
-    early = inside.join(before, "edge").where("low < earliest").select(*own, "back")
-    place = lambda k: F.shiftright("place", k * unit.bits)
+    early = inside.join(before, "edge").where("low < earliest").select("content", "back")
     low = (1 << unit.bits) - 1
-    at, back, ahead = place(2), place(1).bitwiseAND(low), F.col("place").bitwiseAND(low)
-    whole = later.select("id", "text_hash", (at - back).alias("lo"), (at - ahead + window).alias("hi"))
-    single = first.join(early, own).select("id", "text_hash", (at - F.col("back")).alias("lo"), (at - F.col("back") + window).alias("hi"))
-    return staged(whole.union(single), "repeated-spans"), texts
+    back, ahead = F.shiftright("place", unit.bits).bitwiseAND(low), F.col("place").bitwiseAND(low)
+    whole = marked.where("later").select("doc", "place", "content", back.alias("first"), ahead.alias("last"))
+    single = first.join(early, "content").select("doc", "place", "content", F.col("back").alias("first"), F.col("back").alias("last"))
+    return whole.union(single)
+
+
+def _unit(window: int) -> Unit:
+    return Unit(True, window, min(GRAM, window))
 
 
 def without_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,6 +88,6 @@ def without_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
     judged on the input. Repeats inside one document stay; rows that share an id are one document in that sense, each cut by its
     own text. Rows without an id lose nothing and take nothing from others. A null or blank text has no words.
     """
-    spans, texts = repeated_spans(docs, window, id, text)
-    return with_removed(docs, texts, spans, _plain, _cut, ["n_words", "n_removed", "kept_sha256"],
+    spans = repeated_spans(docs, window, id, text)
+    return with_removed(docs, F.col(id), spans, _unit(window), _plain, _cut, ["n_words", "n_removed", "kept_sha256"],
                         [T.LongType(), T.LongType(), T.StringType()], id, text)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from runledger.llm.common import SpanHash, Words, column_bytes, mix, staged, tex
 
 #: Bytes of text that one vectorised step handles.
 STEP_BYTES = 1_500_000
+#: Names of documents (8 bytes each) that are copied to every executor to pick texts; more are joined by a shuffle.
+FEW_NAMES = 1_000_000
 
 
 class Units:
@@ -108,86 +110,68 @@ def steps(batches, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes
             yield batch.slice(first, len(part)), part
 
 
-def pieces(docs: DataFrame, unit: Unit, id: str, text: str) -> DataFrame:
-    """(key, id, place) of all pieces of all texts."""
-    schema = T.StructType([
-        T.StructField("key", T.LongType()), T.StructField("id", docs.schema[id].dataType), T.StructField("place", T.LongType())])
+def named(docs: DataFrame, doc: Column, text: str) -> DataFrame:
+    """(doc, text): what the functions below take. `doc` names a document; rows of one name are told apart by their text."""
+    return docs.select(doc.alias("doc"), F.col(text).alias("text"))
+
+
+def _content(units: Units, unit: Unit, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of all units of a piece and of its minimizer's place in it."""
+    return mix(units.spans(lo, hi + unit.span) + (at - lo).astype(np.uint64)).view(np.int64)
+
+
+def pieces(texts: DataFrame, unit: Unit) -> DataFrame:
+    """(key, content, doc, place) of all pieces of all texts: hashes of the minimizer and of the whole piece."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("content", T.LongType()), texts.schema["doc"],
+                           T.StructField("place", T.LongType())])
 
     def run(batches):
-        for batch, texts in steps(batches):
-            units = Units(texts, unit.of_words)
+        for batch, data in steps(batches):
+            units = Units(data, unit.of_words)
             owner, at, lo, hi, key = find_pieces(units, unit)
             place = unit.pack(at - units.first[owner], at - lo, at - hi)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(place)], schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(_content(units, unit, at, lo, hi)), batch.column(0).take(pa.array(owner)), pa.array(place)],
+                schema.names)
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
-def candidate_texts(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
-    """Staged rows (id, text_hash, text, pieces) of the documents with rows (key, id, place) in `found`."""
-    places = found.groupBy("id").agg(F.collect_set(F.struct("place", "key")).alias("pieces")).withColumnRenamed("id", "own")
-    texts = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    return staged(texts.join(places, F.col("id").eqNullSafe(F.col("own"))).drop("own"), "repeat-texts")
+def _with_lists(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Texts beside the lists (doc, list) about them. The names are copied to the executors while they are few enough, so that
+    no other text is shuffled."""
+    listed = staged(listed, "lists")
+    if listed.count() <= FEW_NAMES:
+        texts = texts.join(F.broadcast(listed.select("doc")), "doc", "left_semi")
+    return texts.join(listed, "doc")
 
 
 def _own_places(batch: pa.RecordBatch, units: Units, unit: Unit, column: int) -> tuple[np.ndarray, ...]:
-    """Text, place, and units (at, lo, hi) of the listed pieces, without those of another row of the same id."""
+    """Number of the text, entry of the flat list, content, and units (at, lo, hi) of the listed pieces that the text really has."""
     lists = batch.column(column)
     owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
     flat = lists.flatten()
-    place, key = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("place", "key"))
+    place, content = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("place", "content"))
     at, before, after = unit.unpack(place)
-    fits = (at - after + unit.span <= units.count[owner]) & (at >= before)
-    owner, place, key, at, before, after = (x[fits] for x in (owner, place, key, at, before, after))
+    entry = np.flatnonzero((at - after + unit.span <= units.count[owner]) & (at >= before))
+    owner, content, at, before, after = (x[entry] for x in (owner, content, at, before, after))
     at = at + units.first[owner]
-    same = units.spans(at, at + unit.gram).view(np.int64) == key
-    owner, place, key, at, before, after = (x[same] for x in (owner, place, key, at, before, after))
-    return owner, place, key, at, at - before, at - after
-
-
-def contents(texts: DataFrame, unit: Unit) -> DataFrame:
-    """Staged rows (key, content, id, text_hash, place) of the pieces of `candidate_texts`; content is a hash of all of it."""
-    schema = T.StructType([
-        T.StructField("key", T.LongType()), T.StructField("content", T.LongType()), texts.schema["id"],
-        T.StructField("text_hash", T.LongType()), T.StructField("place", T.LongType())])
-
-    def run(batches):
-        for batch, data in steps(batches, 2):
-            units = Units(data, unit.of_words)
-            owner, place, key, at, lo, hi = _own_places(batch, units, unit, 3)
-            content = mix(units.spans(lo, hi + unit.span) + (at - lo).astype(np.uint64)).view(np.int64)
-            rows = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(content), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)], schema.names)
-
-    return staged(texts.select("id", "text_hash", "text", "pieces").mapInArrow(run, schema), "repeat-contents")
+    lo, hi = at - before, at - after
+    same = _content(units, unit, at, lo, hi) == content
+    return tuple(x[same] for x in (owner, entry, content, at, lo, hi))
 
 
 def of_pieces(texts: DataFrame, wanted: DataFrame, unit: Unit, fn, schema: T.StructType) -> DataFrame:
-    """Rows that `fn(units, key, at, lo, hi, content)` gives for the wanted pieces (id, text_hash, place, key, content).
-
-    `fn` returns a list of columns after the columns key and content; each piece gives as many rows as its first result says.
-    """
-    listed = wanted.groupBy("id", "text_hash").agg(F.collect_list(F.struct("place", "key", "content")).alias("wanted"))
-    listed = listed.withColumnsRenamed({"id": "own", "text_hash": "own_hash"})
-    rows = texts.dropDuplicates(["id", "text_hash"]).join(listed, F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash")))
+    """Batches that `fn(units, data, content, at, lo, hi)` gives for the wanted pieces (doc, place, content)."""
+    rows = _with_lists(texts, wanted.groupBy("doc").agg(F.collect_list(F.struct("place", "content")).alias("list")))
 
     def run(batches):
-        for batch, data in steps(batches, 2):
+        for batch, data in steps(batches):
             units = Units(data, unit.of_words)
-            flat = batch.column(3).flatten()
-            by_place = dict(zip(zip(np.repeat(np.arange(len(data)), batch.column(3).value_lengths().to_numpy(zero_copy_only=False)).tolist(),
-                                    flat.field("place").to_pylist(), strict=True), flat.field("content").to_pylist(), strict=True))
-            owner, place, key, at, lo, hi = _own_places(batch, units, unit, 3)
-            content = np.array([by_place[o, p] for o, p in zip(owner.tolist(), place.tolist(), strict=True)], np.int64)
-            yield from fn(units, key, content, at, lo, hi, data)
-
-    return rows.select("id", "text_hash", "text", "wanted").mapInArrow(run, schema)
-
+            _, _, content, at, lo, hi = _own_places(batch, units, unit, 2)
+            yield from fn(units, data, content, at, lo, hi)
 
-def spans_by_text(spans: DataFrame) -> DataFrame:
-    """(id, text_hash, spans) from rows (id, text_hash, lo, hi): first unit and the one behind the last."""
-    return spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return rows.select("doc", "text", "list").mapInArrow(run, schema)
 
 
 def covered(count: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -198,33 +182,44 @@ def covered(count: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def with_removed(docs: DataFrame, texts: DataFrame, spans: DataFrame, plain, cut, names: list[str], types: list[T.DataType], id: str, text: str) -> DataFrame:
+def with_removed(docs: DataFrame, doc: Column, spans: DataFrame, unit: Unit, plain, cut, names: list[str], types: list[T.DataType],
+                 id: str, text: str) -> DataFrame:
     """One row per row of `docs`: id and the columns `names`, from `plain(text)` or, where spans go, from `cut(text, lo, hi)`.
 
-    The texts of documents that lose nothing are not moved.
+    `spans` (doc, place, content, first, last) are windows of pieces, by how far they start before the minimizer. The texts of
+    documents that lose nothing are not moved.
     """
-    listed = spans_by_text(spans).withColumnsRenamed({"id": "own", "text_hash": "own_hash"})
-    losing = texts.select("id", "text_hash", "text").dropDuplicates(["id", "text_hash"]).join(
-        listed, F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).select("id", "text_hash", "text", "spans")
     fields = [T.StructField(n, t) for n, t in zip(names, types, strict=True)]
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("text_hash", T.LongType()), *fields])
+    own = named(docs, doc, text)
+    kinds = [pa.string() if isinstance(t, T.StringType) else pa.int64() for t in types]
 
-    def rows(batch, values):
-        kinds = [pa.string() if isinstance(t, T.StringType) else pa.int64() for t in types]
-        columns = list(zip(*values, strict=True)) or [[] for _ in names]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], schema.names)
+    def made(columns, values):
+        filled = list(zip(*values, strict=True)) or [[] for _ in names]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(c, k) for c, k in zip(filled, kinds, strict=True)]],
+                                          [f"c{i}" for i in range(len(columns) + len(names))])
 
     def whole(batches):
-        for batch, data in steps(batches, 2):
-            yield rows(batch, [plain(t) for t in data])
+        for batch, data in steps(batches, 3):
+            yield made([batch.column(i) for i in range(3)], [plain(t) for t in data])
 
     def rest(batches):
-        for batch, data in steps(batches, 2):
-            ends = [(np.array([s["lo"] for s in x]), np.array([s["hi"] for s in x])) for x in batch.column(3).to_pylist()]
-            yield rows(batch, [cut(t, *e) for t, e in zip(data, ends, strict=True)])
-
-    all_rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).mapInArrow(whole, schema)
-    changed = losing.mapInArrow(rest, schema)
-    changed = changed.withColumnsRenamed({"id": "c_id", "text_hash": "c_hash", **{n: f"c_{n}" for n in names}})
-    both = all_rows.join(changed, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")), "left")
+        for batch, data in steps(batches):
+            units = Units(data, unit.of_words)
+            owner, entry, _, at, _, _ = _own_places(batch, units, unit, 3)
+            flat = batch.column(3).flatten()
+            first, last = (flat.field(n).to_numpy(zero_copy_only=False)[entry] for n in ("first", "last"))
+            start = at - units.first[owner]
+            border = np.searchsorted(owner, np.arange(len(data) + 1))
+            yield made([batch.column(0), batch.column(2)], [
+                cut(t, (start - first)[a:b], (start - last + unit.span)[a:b]) for t, a, b in zip(data, border[:-1], border[1:], strict=True)])
+
+    hashed = F.xxhash64(F.col(text)).alias("text_hash")
+    schema = T.StructType([T.StructField("id", docs.schema[id].dataType), own.schema["doc"], T.StructField("text_hash", T.LongType()), *fields])
+    all_rows = docs.select(F.col(id).alias("id"), doc.alias("doc"), hashed, F.col(text).alias("text")).mapInArrow(whole, schema)
+    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("place", "content", "first", "last")).alias("list"))
+    losing = _with_lists(own.where(own["doc"].isNotNull()), lists).select("doc", "text", F.xxhash64("text").alias("text_hash"), "list")
+    renamed = [T.StructField(f"c_{f.name}", f.dataType) for f in fields]
+    schema = T.StructType([T.StructField("c_doc", own.schema["doc"].dataType), T.StructField("c_hash", T.LongType()), *renamed])
+    changed = losing.mapInArrow(rest, schema).dropDuplicates(["c_doc", "c_hash"])
+    both = all_rows.join(changed, (F.col("doc") == F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")), "left")
     return both.select(F.col("id").alias(id), *[F.coalesce(f"c_{n}", n).alias(n) for n in names])

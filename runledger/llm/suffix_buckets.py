@@ -6,12 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.llm.common import SpanHash, staged
-from runledger.llm.repeats import Unit, candidate_texts, contents, covered, of_pieces, pieces, with_removed
+from runledger.llm.repeats import Unit, covered, named, of_pieces, pieces, with_removed
 
 #: Bytes of the initial buckets' q-grams.
 GRAM = 32
@@ -65,8 +65,8 @@ def refine(data: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return bucket, text, offset
 
 
-def repeated_spans(docs: DataFrame, span: int = 400, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Spans (id, text_hash, lo, hi) of bytes whose strings of `span` bytes start at two places at least, and their texts.
+def repeated_spans(docs: DataFrame, span: int = 400, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Strings (doc, place, content, first, last) of `span` bytes that start at two places at least, as parts of pieces.
 
     The q-gram of lowest hash in each string is the suffixes' initial bucket; buckets with one occurrence are dropped by one
     aggregation. Pieces of a bucket - strings around one q-gram occurrence - with equal content repeat as a whole. Where a
@@ -74,31 +74,30 @@ def repeated_spans(docs: DataFrame, span: int = 400, id: str = "doc_id", text: s
     strings that two contents share are found. A bucket too large for one task is opened into its strings instead, which
     are joined on their hashes.
     """
-    unit = Unit(False, span, min(GRAM, span))
-    every = pieces(docs, unit, id, text)
+    unit = _unit(span)
+    texts = named(docs, _name(id, text), text)
+    every = pieces(texts, unit)
     several = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    texts = candidate_texts(docs, every.join(several, "key"), id, text)
-    rows = contents(texts, unit)
-    own = ["key", "content"]
-    one = F.min(F.struct("id", "text_hash", "place"))
-    kinds = staged(rows.groupBy(*own).agg(F.count("*").alias("copies"), one.alias("r")).select(*own, "copies", "r.*"), "bucket-contents")
+    rows = staged(every.join(several, "key"), "bucket-pieces")
+    one = F.min(F.struct("doc", "place")).alias("r")
+    kinds = staged(rows.groupBy("content").agg(F.count("*").alias("copies"), F.min("key").alias("key"), one).select(
+        "content", "key", "copies", "r.*"), "bucket-contents")
     low = (1 << unit.bits) - 1
-    at, back, ahead = F.shiftright("place", 2 * unit.bits), F.shiftright("place", unit.bits).bitwiseAND(low), F.col("place").bitwiseAND(low)
-    whole = rows.join(kinds.where("copies > 1").select(*own), own).select("id", "text_hash", (at - back).alias("lo"), (at - ahead + span).alias("hi"))
+    back, ahead = F.shiftright("place", unit.bits).bitwiseAND(low), F.col("place").bitwiseAND(low)
+    twice = kinds.where("copies > 1").select("content")
+    whole = rows.select("doc", "place", "content").join(twice, "content").select(
+        "doc", "place", "content", back.alias("first"), ahead.alias("last"))
 
     mixed = kinds.groupBy("key").agg(F.count("*").alias("n"), F.min("copies").alias("least")).where("n > 1 and least = 1").select("key", "n")
     opened = staged(kinds.join(mixed, "key"), "open-contents")
-    schema = T.StructType([
-        T.StructField("key", T.LongType()), T.StructField("content", T.LongType()), T.StructField("back", T.LongType()),
-        T.StructField("bytes", T.BinaryType())])
+    schema = T.StructType([T.StructField("content", T.LongType()), T.StructField("back", T.LongType()), T.StructField("bytes", T.BinaryType())])
 
-    def cut_out(units, key, content, at, lo, hi, data):
+    def cut_out(units, data, content, at, lo, hi):
         flat = b"".join(data)
         cut = [flat[a:b] for a, b in zip(lo.tolist(), (hi + span).tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(at - lo), pa.array(cut, pa.binary())], schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array(content), pa.array(at - lo), pa.array(cut, pa.binary())], schema.names)
 
-    found = T.StructType([T.StructField("key", T.LongType()), T.StructField("content", T.LongType()),
-                          T.StructField("back", T.LongType()), T.StructField("ahead", T.LongType())])
+    found = T.StructType([T.StructField(n, T.LongType()) for n in ("content", "first", "last")])
 
     def refined(table: pa.Table) -> pa.Table:
         data, back = table["bytes"].to_pylist(), table["back"].to_numpy()
@@ -108,32 +107,38 @@ def repeated_spans(docs: DataFrame, span: int = 400, id: str = "doc_id", text: s
         place = np.flatnonzero(hit)
         begin = place[np.concatenate([[True], (np.diff(place) != 1) | (of[place[1:]] != of[place[:-1]])])] if len(place) else place
         end = place[np.concatenate([(np.diff(place) != 1) | (of[place[1:]] != of[place[:-1]]), [True]])] if len(place) else place
-        rows = pa.array(of[begin])
         return pa.table({
-            "key": table["key"].take(rows), "content": table["content"].take(rows),
-            "back": pa.array(back[of[begin]] - offset[begin]), "ahead": pa.array(back[of[begin]] - offset[end])})
+            "content": table["content"].take(pa.array(of[begin])),
+            "first": pa.array(back[of[begin]] - offset[begin]), "last": pa.array(back[of[begin]] - offset[end])})
 
-    in_tasks = of_pieces(texts, opened.where(F.col("n") <= TOGETHER), unit, cut_out, schema).groupBy("key").applyInArrow(refined, found)
-    strings = T.StructType([T.StructField("key", T.LongType()), T.StructField("content", T.LongType()),
-                            T.StructField("back", T.LongType()), T.StructField("string", T.LongType())])
+    keys = opened.select("content", "key")
+    in_tasks = of_pieces(texts, opened.where(F.col("n") <= TOGETHER).select("doc", "place", "content"), unit, cut_out, schema)
+    parts = in_tasks.join(keys, "content").groupBy("key").applyInArrow(refined, found)
+    strings = T.StructType([T.StructField("content", T.LongType()), T.StructField("back", T.LongType()), T.StructField("string", T.LongType())])
 
-    def open_up(units, key, content, at, lo, hi, data):
-        for i in range(len(key)):
+    def open_up(units, data, content, at, lo, hi):
+        for i in range(len(content)):
             start = np.arange(lo[i], hi[i] + 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(start), key[i])), pa.array(np.full(len(start), content[i])), pa.array(at[i] - start),
-                 pa.array(units.spans(start, start + span).view(np.int64))], strings.names)
+            string = units.spans(start, start + span).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), content[i])), pa.array(at[i] - start), pa.array(string)], strings.names)
 
-    parts = in_tasks
-    large = opened.where(F.col("n") > TOGETHER)
+    large = opened.where(F.col("n") > TOGETHER).select("doc", "place", "content")
     if not large.isEmpty():
         each = staged(of_pieces(texts, large, unit, open_up, strings), "bucket-strings")
-        twice = each.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
-        parts = parts.union(each.join(twice, "string").select("key", "content", "back", F.col("back").alias("ahead")))
+        again = each.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
+        parts = parts.union(each.join(again, "string").select("content", F.col("back").alias("first"), F.col("back").alias("last")))
     # contents of several copies are repeated as a whole already; the others occur once
-    single = opened.where("copies = 1").select(*own, "id", "text_hash", "place").join(parts, own).select(
-        "id", "text_hash", (at - F.col("back")).alias("lo"), (at - F.col("ahead") + span).alias("hi"))
-    return staged(whole.union(single), "repeated-spans"), texts
+    single = opened.where("copies = 1").select("content", "doc", "place").join(parts, "content")
+    return whole.union(single.select("doc", "place", "content", "first", "last"))
+
+
+def _unit(span: int) -> Unit:
+    return Unit(False, span, min(GRAM, span))
+
+
+def _name(id: str, text: str) -> Column:
+    """Rows of equal id and text share a name; each of them is an occurrence of its strings."""
+    return F.xxhash64(F.col(id), F.col(text))
 
 
 def without_repeats(docs: DataFrame, span: int = 400, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,6 +148,6 @@ def without_repeats(docs: DataFrame, span: int = 400, id: str = "doc_id", text:
     in a repeated row. Strings do not cross texts and are judged on the input. A null text is the empty one; rows without an id
     are documents like others.
     """
-    spans, texts = repeated_spans(docs, span, id, text)
-    return with_removed(docs, texts, spans, _plain, _cut, ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    spans = repeated_spans(docs, span, id, text)
+    return with_removed(docs, _name(id, text), spans, _unit(span), _plain, _cut, ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
                         [T.LongType(), T.LongType(), T.LongType(), T.StringType()], id, text)
