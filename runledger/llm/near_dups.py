@@ -20,8 +20,8 @@ SYMBOLS = CHUNKS * WIDTH
 MOST_DIFFERENT = 37
 #: Rows that one task of the last step compares with as many others.
 BLOCK = 4_096
-#: Rounds in which each bucket links its rows to one of them, before what is left is compared in blocks.
-STARS = 3
+#: Rounds in which one row of each bucket is compared with all others, before what is left is compared in blocks.
+STARS = 2
 
 _RANDOM = np.random.default_rng(20_240_229)
 _FACTORS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,25 +167,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")]))
 
 
-def _open_buckets(keyed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, key_no, node, component, n) of the buckets that hold several components; n counts the bucket's rows."""
-    rows = keyed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return rows.join(several.select("key", "n"), "key")
+def _open_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows (key, key_no, node, label, n) of the buckets that still hold several labels; n counts the bucket's rows."""
+    if labels is None:
+        marked = rows.select("key", "key_no", "node", F.col("node").alias("label"))
+    else:
+        marked = rows.select("key", "key_no", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    return marked.join(several.select("key", "n"), "key")
 
 
-def _stars(rows: DataFrame, seed: int) -> DataFrame:
-    """Distinct pairs (a, b) of each row of a bucket and one row of it; which one depends on the bucket and the seed."""
-    order = F.col("node") if seed == 0 else F.xxhash64(F.lit(seed), "key", "node")
-    centre = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("c"))
-    joined = rows.join(centre, "key").where("component != c.component")
-    return joined.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest neighbour of each linked node, or itself. Nodes of one label are in one component."""
+    both = links.union(links.select("b", "a").toDF("a", "b"))
+    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
 
 
 def _links_in_blocks(rows: DataFrame, sets: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """All links between different components inside the buckets, each pair compared under its first common key only.
+    """Links that join all labels of a bucket which pairs of its rows join; each pair is compared under its first common key.
 
-    A bucket of more than BLOCK rows is cut into blocks, and every two blocks meet in a group of their own.
+    Labels joined on the way are not compared again, so a group gives fewer links than it has rows. A bucket of more than BLOCK
+    rows is cut into blocks, and every two blocks meet in a group of their own.
     """
     schema = T.StructType([T.StructField(c, rows.schema["node"].dataType) for c in ("a", "b")])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -198,7 +200,7 @@ def _links_in_blocks(rows: DataFrame, sets: DataFrame, signs: DataFrame, percent
         table = table.combine_chunks()
         sign = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         grams = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
-        part, own = table["component"].to_numpy(), table["own"].to_numpy()
+        part, own = np.unique(table["label"].to_numpy(), return_inverse=True)[1], table["own"].to_numpy()
         key_no, lo, hi = table["key_no"][0].as_py(), table["lo"][0].as_py(), table["hi"][0].as_py()
         left, right = [], []
         for i in range(len(sign) - 1):
@@ -210,9 +212,10 @@ def _links_in_blocks(rows: DataFrame, sets: DataFrame, signs: DataFrame, percent
             if lo != hi:
                 first &= own[i + 1:] != own[i]
             for j in np.flatnonzero(first) + i + 1:
-                if similar(grams[i], grams[j], percent):
+                if part[j] != part[i] and similar(grams[i], grams[j], percent):
                     left.append(i)
                     right.append(j)
+                    part[part == part[j]] = part[i]
         node = table["node"].combine_chunks()
         return pa.table({"a": node.take(pa.array(left, pa.int64())), "b": node.take(pa.array(right, pa.int64()))})
 
@@ -227,10 +230,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
     one document, for which the row with the smallest set hash counts; a row without an id is linked with nothing, its component
     is null, and it is kept.
 
-    Equal sets become one node. Candidate pairs share a key of the multi-index. They are confirmed on whole sets in rounds: every
-    bucket links its rows to one of them, components are formed, and only buckets that still hold several components go on. What
-    is left is compared pair by pair inside the buckets, so that no link between components is lost and no group gives all its
-    pairs as rows.
+    Equal sets become one node. Candidate pairs share a key of the multi-index. They are confirmed on whole sets in rounds: the
+    smallest row of every bucket is compared with the others of the bucket and then leaves it, and only buckets that still hold
+    several labels (parts of components) go on. What is left after STARS rounds is compared pair by pair inside the buckets, so
+    that no link between components is lost and no group gives all its pairs as rows.
     """
     rows = staged(_prints(docs, k, id, text), "prints")
     known = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n", "signature")).alias("p")).select("id", "p.*")
@@ -239,26 +242,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
 
     keyed = _keyed(nodes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = staged(keyed.join(shared, "key"), "buckets")
-    labels = keyed.select("node").distinct().withColumn("component", F.col("node"))
-    wanted = nodes.join(labels, "node", "left_semi").select("node", "set_a", "set_b")
+    buckets = staged(keyed.join(shared, "key"), "buckets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "set_a", "set_b")
     sets = staged(_sets(docs, wanted, k, id, text), "sets")
-    signs = nodes.select("node", "signature")
 
-    links = None
-    for seed in range(STARS + 1):
-        opened = staged(_open_buckets(keyed, labels), "open-buckets")
-        if opened.isEmpty():
+    links, labels = None, None
+    for turn in range(STARS + 1):
+        buckets = staged(_open_buckets(buckets, labels), "open-buckets")
+        if buckets.isEmpty():
             break
-        if seed < STARS:
-            found = _confirmed(_stars(opened, seed), sets, percent)
+        if turn < STARS:
+            centres = buckets.groupBy("key").agg(F.min(F.struct("node", "label")).alias("c"))
+            buckets = buckets.join(centres, "key").where("node != c.node")
+            pairs = buckets.where("label != c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+            found = _confirmed(pairs, sets, percent)
         else:
-            found = _links_in_blocks(opened, sets, signs, percent)
+            found = _links_in_blocks(buckets, sets, nodes.select("node", "signature"), percent)
         found = staged(found, "near-links")
         links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            labels = staged(components(links), "near-components")
-    grouped = known.join(nodes.select("set_a", "set_b", "n", "node"), ["set_a", "set_b", "n"], "left").join(labels, "node", "left")
+        labels = _labels(links)
+    if links is None:
+        linked = nodes.select("node", F.col("node").alias("component")).limit(0)
+    else:
+        linked = staged(components(links), "near-components")
+    grouped = known.join(nodes.select("set_a", "set_b", "n", "node"), ["set_a", "set_b", "n"], "left").join(linked, "node", "left")
     classes = grouped.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
     return rows.select("id", "n").join(classes.withColumnRenamed("id", "own"), F.col("id") == F.col("own"), "left").select(
         F.col("id").alias(id), F.coalesce("n_shingles", "n").alias("n_shingles"), "component_id",
