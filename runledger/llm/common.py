@@ -14,7 +14,7 @@ SEPARATORS = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -18,7 +18,7 @@ from runledger.llm.common import SpanHash, texts_in_steps
 _EDGE = 0x110000
 _SPACE, _LETTER, _DIGIT, _SIGN = 1, 2, 3, 4
 #: Pre-tokens remembered by a worker; beyond, it starts afresh (results stay the same).
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 
 @lru_cache(1)
