@@ -114,9 +114,14 @@ def results_jsonl(spark, sf):
 
 
 def _write_typed_lines(df: DataFrame, path: str) -> None:
-    """As `_write_lines`; every 7th record has text in a number's place and every 11th is followed by a line that is no object."""
-    good = F.to_json(F.struct(*df.columns))
+    """As `_write_lines`; every 7th record has text in a number's place and every 11th is followed by a line that is no object.
+
+    Every 13th ends with a field that is a bare NaN, Infinity or -Infinity, as diverged runs are written.
+    """
     key = F.col("case_id")
+    token = F.element_at(F.array(F.lit("NaN"), F.lit("Infinity"), F.lit("-Infinity")), (key % 3 + 1).cast("int"))
+    good = F.to_json(F.struct(*df.columns))
+    good = F.when(key % 13 == 0, F.concat(F.regexp_replace(good, "[}]$", ', "peak_rate": '), token, F.lit("}"))).otherwise(good)
     wrong = F.regexp_replace(good, '"target_final":[^,}]+', '"target_final":"high"')
     lines = F.array(F.when(key % 7 == 0, wrong).otherwise(good), F.when(key % 11 == 0, F.lit("[1, 2]")), F.when(
         key % 50 == 0, F.concat(F.lit('{"case_id": '), key.cast("string"), F.lit(', "mod'))))

@@ -42,12 +42,17 @@ def read_results_enveloped(spark: SparkSession, path: str, schema: StructType =
     return clean_nan(raw.select(F.inline(F.coalesce(F.col("results"), single))))
 
 
+def is_record(value: Column) -> Column:
+    """Whether a line is a whole JSON object, by the parser that reads the records: bare NaN, Infinity and -Infinity are numbers."""
+    return F.from_json(value, "map<string,string>").isNotNull()
+
+
 def json_records(lines: DataFrame, schema: StructType = schemas.RESULTS) -> DataFrame:
     """Records of the lines (column `value`) that hold a JSON object; other lines are skipped.
 
     A field of the wrong type is null and its line stays. Which lines count does not depend on the columns that are read later.
     """
-    objects = lines.where(F.json_object_keys("value").isNotNull())
+    objects = lines.where(is_record(F.col("value")))
     return clean_nan(objects.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*"))
 
 
@@ -61,7 +66,7 @@ def jsonl_health(spark: SparkSession, path: str, schema: StructType = schemas.RE
     with_corrupt = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
     lines = spark.read.text(path).where(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.select(F.json_object_keys("value").isNotNull().alias("object"), F.from_json("value", with_corrupt, options).alias("r"))
+    parsed = lines.select(is_record(F.col("value")).alias("object"), F.from_json("value", with_corrupt, options).alias("r"))
     damaged = F.col("object") & F.col(f"r.{CORRUPT}").isNotNull()
     return parsed.agg(F.count_if("object").alias("good"), F.count_if(damaged).alias("damaged"), F.count_if(~F.col("object")).alias("broken"))
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from runledger import schemas
 from runledger.functions.derive import flag
-from runledger.sources.readers import clean_nan
+from runledger.sources.readers import clean_nan, is_record
 from runledger.sources.writers import write_results_json
 
 #: Column of `stream_results` that bounds the state of streaming operators.
@@ -23,7 +23,7 @@ def stream_results(spark: SparkSession, folder: str, schema: StructType = schema
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.text(folder).select("value", F.col("_metadata.file_modification_time").alias(FILE_TIME))
-    objects = lines.where(F.json_object_keys("value").isNotNull())
+    objects = lines.where(is_record(F.col("value")))
     parsed = objects.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), FILE_TIME)
     return clean_nan(parsed.select("r.*", FILE_TIME))
 

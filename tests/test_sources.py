@@ -142,3 +142,22 @@ def test_latest_is_in_case_order(spark, tmp_path):
              for f in sorted(Path(latest).glob("part-*")) if (lines := f.read_text().splitlines())]
     assert len(spans) > 3 and all(a <= b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
     assert spans[0][0] == 0 and spans[-1][1] == 119_999
+
+
+NOT_FINITE = [json.dumps(rec(i, final_error=x)) for i, x in enumerate((0.5, float("nan"), float("inf"), float("-inf")))]
+
+
+def test_records_of_diverged_runs_are_kept(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", "\n".join([*NOT_FINITE, '{"case_id": 9, "final_error": NaN, "mod']))
+    df = R.read_results_jsonl(spark, str(tmp_path / "in"))
+    assert {r.case_id: r.final_error for r in df.collect()} == {0: 0.5, 1: None, 2: float("inf"), 3: float("-inf")}
+    health = R.jsonl_health(spark, str(tmp_path / "in")).first()
+    assert (health.good, health.damaged, health.broken) == (4, 0, 1)
+
+
+def test_stream_keeps_diverged_runs(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", "\n".join([*NOT_FINITE, "[NaN]"]))
+    sink = str(tmp_path / "sink")
+    Q.append_stream(Q.stream_results(spark, str(tmp_path / "in")), sink, str(tmp_path / "mark")).awaitTermination()
+    rows = spark.read.schema(schemas.RESULTS).parquet(sink).collect()
+    assert {r.case_id: r.final_error for r in rows} == {0: 0.5, 1: None, 2: float("inf"), 3: float("-inf")}
