@@ -309,9 +309,9 @@ def stream_results(spark, sf):
 
 @query("str_02_stream_dedup", with_scored(RECORDS_SQL))
 def stream_dedup(spark, sf):
-    source = Q.stream_results(spark, f"{_drop_zone(spark, sf)}/*")
-    source = Q.stream_dedup(source, ["model", "case_id"])
-    return _shown(_ingest(spark, source, new_path(spark, "ckpt"), new_path(spark, "sink")))
+    source, table = Q.stream_results(spark, f"{_drop_zone(spark, sf)}/*"), new_path(spark, "sink")
+    Q.append_new(source, ["model", "case_id"], table, new_path(spark, "ckpt")).awaitTermination()
+    return _shown(spark.read.schema(source.schema).parquet(table))
 
 
 @query("str_03_stream_running_success", with_scored(f"""
@@ -339,7 +339,7 @@ def stream_resume(spark, sf):
 @query("str_05_stream_to_latest", with_scored(RECORDS_SQL))
 def stream_to_latest(spark, sf):
     table = new_path(spark, "sink")
-    source = Q.stream_dedup(Q.stream_results(spark, f"{_drop_zone(spark, sf)}/*"), ["model", "case_id"])
-    _ingest(spark, source, new_path(spark, "ckpt"), table)
+    source = Q.stream_results(spark, f"{_drop_zone(spark, sf)}/*")
+    Q.append_new(source, ["model", "case_id"], table, new_path(spark, "ckpt")).awaitTermination()
     _, latest = Q.stream_to_latest(spark, table, schemas.RESULTS, new_path(spark, "results"), stamp="20250101_000000")
     return _shown(R.read_results_jsonl(spark, latest))

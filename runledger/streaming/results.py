@@ -12,14 +12,19 @@ from runledger.functions.derive import flag
 from runledger.sources.readers import clean_nan, is_record
 from runledger.sources.writers import write_results_json
 
-#: Column of `stream_results` that bounds the state of streaming operators.
+#: Column of `stream_results` that can bound the state of streaming operators.
 FILE_TIME = "file_time"
+#: Spark's file source leaves out files that are older than its newest by more than this, seven days unless it is set.
+FILE_AGE = "36500d"
 
 
 def stream_results(spark: SparkSession, folder: str, schema: StructType = schemas.RESULTS,
                    files_per_batch: int | None = None) -> DataFrame:
-    """Stream of records as files arrive, by the rules of the batch reader, with the time their file was written (`file_time`)."""
-    reader = spark.readStream
+    """Stream of records as files arrive, by the rules of the batch reader, with the time their file was written (`file_time`).
+
+    Files count however old they are, so the driver remembers the names of all it has read.
+    """
+    reader = spark.readStream.option("maxFileAge", FILE_AGE)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.text(folder).select("value", F.col("_metadata.file_modification_time").alias(FILE_TIME))
@@ -28,12 +33,14 @@ def stream_results(spark: SparkSession, folder: str, schema: StructType = schema
     return clean_nan(parsed.select("r.*", FILE_TIME))
 
 
-def stream_dedup(results: DataFrame, key: list[str], event_time: str = FILE_TIME, keep_for: str = "7 days") -> DataFrame:
-    """A case counts once, also across restarts: repeats within `keep_for` of each other are dropped, and older keys leave the state.
+def stream_dedup(results: DataFrame, key: list[str], event_time: str | None = None, keep_for: str = "7 days") -> DataFrame:
+    """A case counts once, also across restarts and however long the folder grows. Every key stays in the state;
+    `append_new` does the same without one.
 
-    Without the event time in `results` every key is kept for ever.
+    With `event_time` the state is bounded and the result is not exact: only repeats within `keep_for` of each other are
+    dropped, and so are rows that come later than that.
     """
-    if event_time in results.columns:
+    if event_time:
         return results.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(key)
     return results.dropDuplicates(key)
 
@@ -54,6 +61,29 @@ def append_stream(results: DataFrame, table: str, checkpoint: str) -> StreamingQ
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_new(results: DataFrame, key: list[str], table: str, checkpoint: str) -> StreamingQuery:
+    """As `append_stream`, but a case (its `key`, nulls being equal) is stored once, however far apart its repeats are.
+
+    Each batch is deduplicated and joined against the keys in `table`, so there is no state, and a batch that is done again
+    after a failure adds what is missing. Only one query may write to `table`, which must not be one of `append_stream`:
+    readers of those see no files but its own.
+    """
+    spark = results.sparkSession
+    log = spark._jvm.org.apache.hadoop.fs.Path(table, "_spark_metadata")
+    if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        raise ValueError(f"{table} is written by append_stream")
+    schema = results.schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(table)
+
+    def add(batch: DataFrame, _: int) -> None:
+        stored = batch.sparkSession.read.schema(schema).parquet(table).select(*[F.col(k).alias(f"_{k}") for k in key])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        batch.dropDuplicates(key).join(stored, same, "left_anti").write.mode("append").parquet(table)
+
+    writer = results.writeStream.foreachBatch(add)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def snapshot_stream(aggregated: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Keep a folder equal to the newest complete result of a streaming aggregate."""
     def replace(batch: DataFrame, _: int) -> None:

@@ -1,6 +1,8 @@
 """Readers, writers and streams on small files."""
 
 import json
+import os
+import time
 import uuid
 
 import pytest
@@ -161,3 +163,35 @@ def test_stream_keeps_diverged_runs(spark, tmp_path):
     Q.append_stream(Q.stream_results(spark, str(tmp_path / "in")), sink, str(tmp_path / "mark")).awaitTermination()
     rows = spark.read.schema(schemas.RESULTS).parquet(sink).collect()
     assert {r.case_id: r.final_error for r in rows} == {0: 0.5, 1: None, 2: float("inf"), 3: float("-inf")}
+
+
+@pytest.mark.parametrize("how", ["state", "table"])
+def test_cases_count_once_however_late(spark, tmp_path, how):
+    """Files of a month ago, of today, and a late one of a month ago; repeats in the same file, across files, without a key."""
+    sink, mark, days = str(tmp_path / "sink"), str(tmp_path / "mark"), 86_400
+    cases = [(30, [1, 2, 2, None]), (0, [3, None]), (0, [1, 2, 3]), (30, [4, 1])]
+    for n, (age, ids) in enumerate(cases):
+        put(tmp_path / "in", f"{n}.jsonl", "\n".join(json.dumps({"case_id": i}) for i in ids))
+        os.utime(tmp_path / "in" / f"{n}.jsonl", (time.time() - age * days,) * 2)
+        source = Q.stream_results(spark, str(tmp_path / "in"))
+        if how == "state":
+            Q.append_stream(Q.stream_dedup(source, ["case_id"]), sink, mark).awaitTermination()
+        else:
+            Q.append_new(source, ["case_id"], sink, mark).awaitTermination()
+    found = [r.case_id for r in spark.read.schema(schemas.RESULTS).parquet(sink).collect()]
+    assert sorted(i or 0 for i in found) == [0, 1, 2, 3, 4]
+
+
+def test_a_batch_that_is_done_again_adds_nothing(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", "\n".join(json.dumps(rec(i)) for i in (1, 2)))
+    for mark in ("m1", "m2"):
+        Q.append_new(Q.stream_results(spark, str(tmp_path / "in")), ["case_id"], str(tmp_path / "s"), str(tmp_path / mark)).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+
+
+def test_new_cases_do_not_go_where_readers_miss_them(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", json.dumps(rec(1)))
+    source = Q.stream_results(spark, str(tmp_path / "in"))
+    Q.append_stream(source, str(tmp_path / "s"), str(tmp_path / "m")).awaitTermination()
+    with pytest.raises(ValueError, match="append_stream"):
+        Q.append_new(source, ["case_id"], str(tmp_path / "s"), str(tmp_path / "m2"))
