@@ -273,8 +273,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of `docs` that their near-duplicate component keeps; of rows that repeat an id one, of rows without an id all."""
-    kept = near_duplicates(docs, id=id, text=text, **how).where("kept").select(F.col(id).alias("_kept")).distinct()
-    kept = staged(kept.where("_kept is not null"), "kept")
-    with_id = docs.where(docs[id].isNotNull()).dropDuplicates([id]).join(kept, docs[id] == kept["_kept"], "left_semi")
+    """The rows of `docs` that their near-duplicate component keeps; of rows that repeat id and text one, of rows without an id all.
+
+    Texts that share an id are judged each by itself. Where ids repeat so, rows are numbered in the order of (id, text hash) and
+    the numbers take the place of the ids.
+    """
+    known = docs.where(docs[id].isNotNull()).withColumn("_hash", F.xxhash64(F.col(text)))
+    names = staged(known.select(id, "_hash").distinct(), "names")
+    row = id
+    if not names.groupBy(id).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        row = "_row"
+        numbered = staged(names.orderBy(id, "_hash").withColumn(row, F.monotonically_increasing_id()), "numbered")
+        known = staged(known.join(numbered, [id, "_hash"]), "named-rows")
+    kept = near_duplicates(known, id=row, text=text, **how).where("kept").select(F.col(row).alias("_kept")).distinct()
+    kept = staged(kept, "kept")
+    with_id = known.dropDuplicates([row]).join(kept, known[row] == kept["_kept"], "left_semi").select(*docs.columns)
     return with_id.unionByName(docs.where(docs[id].isNull()))

@@ -97,6 +97,21 @@ def test_one_of_each(spark):
     assert kept.where("doc_id is null").count() == docs.where("doc_id is null").count()
 
 
+def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(f"{t}w{j}" for j in range(60)) for t in range(12)]
+    near = [t + " more" for t in texts]
+    pairs = [(rnd.randrange(4), t) for t in texts + near] + [(9, texts[0]), (9, texts[0]), (7, None), (7, "alone")]
+    docs = spark.createDataFrame([*pairs, (None, texts[1])], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in near_dups.one_of_each(docs, k=5).collect())
+    assert got.pop((None, texts[1])) == 1 and got.pop((7, None)) == 1 and got.pop((7, "alone")) == 1
+    for one, other in zip(texts, near, strict=True):
+        group = {(i, t) for i, t in pairs if t in (one, other)}
+        (i, _), = [x for x in got.elements() if x in group]
+        assert i == min(i for i, _ in group)
+    assert got.total() == len(texts)
+
+
 def test_keys_meet_whenever_signatures_are_close():
     rnd = np.random.default_rng(1)
     for errors in range(2 * near_dups.CHUNKS):
