@@ -18,15 +18,18 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.llm.tokens import encoder, string_steps
 
-#: The dictionary is trained on at most so many documents (those of lowest hash) and so many characters of each.
+#: The dictionary is trained on at most so many distinct texts (those of lowest hash under a seed of their own) and so many
+#: characters of each, taken from so many places.
 SAMPLE_DOCUMENTS = 2_000
 SAMPLE_CHARACTERS = 8_000
+SAMPLE_PLACES = 8
+SAMPLE_SEED = 20_240_301
 DICTIONARY_BYTES = 112_640
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
@@ -38,17 +41,28 @@ def _with_end(ids: np.ndarray, end_id: int, width: int) -> bytes:
     return np.append(ids, end_id).astype(f"<u{width}").tobytes()
 
 
+def _spread_out(text: Column) -> Column:
+    """SAMPLE_CHARACTERS of a longer text, in pieces that lie evenly from its first character to its last."""
+    size = SAMPLE_CHARACTERS // SAMPLE_PLACES
+    room = F.length(text) - size
+    starts = [(F.floor(room * i / (SAMPLE_PLACES - 1)) + 1).cast("int") for i in range(SAMPLE_PLACES)]
+    pieces = F.concat(*[F.substring(text, start, F.lit(size)) for start in starts])
+    return F.when(F.length(text) > SAMPLE_CHARACTERS, pieces).otherwise(text)
+
+
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int, text: str = "text") -> DataFrame:
     """One row with the dictionary. Too few samples to train on: their ids are the dictionary as they are."""
-    sample = (
-        docs.select(F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_CHARACTERS).alias("text"), F.xxhash64(F.col(text)).alias("h"))
-        .orderBy("h", "text").limit(SAMPLE_DOCUMENTS).select("text")
-    )
+    hashed = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select("text", F.xxhash64(F.lit(SAMPLE_SEED), "text").alias("h"))
+    lowest = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
+    drawn = hashed.join(F.broadcast(lowest), "h", "left_semi").select("h", _spread_out(F.col("text")).alias("text"))
+    distinct = drawn.groupBy("h").agg(F.min("text").alias("text"))
+    # one row, also of no documents
+    sample = distinct.agg(F.sort_array(F.collect_list(F.struct("h", "text"))).alias("s")).select(F.col("s.text").alias("texts"))
 
     def train(batches):
         samples = []
         for batch in batches:
-            for _, part in string_steps(batch.column(0).to_pylist()):
+            for _, part in string_steps(batch.column(0).flatten().to_pylist()):
                 samples += [_with_end(x, end_id, width) for x in encoder(vocabulary).encode(part)]
         try:
             made, kind = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), "trained"
@@ -58,7 +72,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int,
             "sha256": hashlib.sha256(made).hexdigest(), "kind": kind, "bytes": made, "id_bytes": width, "end_id": end_id}],
             pa.schema([("sha256", pa.string()), ("kind", pa.string()), ("bytes", pa.binary()), ("id_bytes", pa.int32()), ("end_id", pa.int64())]))
 
-    return sample.coalesce(1).mapInArrow(train, DICTIONARY)
+    return sample.mapInArrow(train, DICTIONARY)
 
 
 @lru_cache(4)

@@ -69,6 +69,19 @@ def test_token_files_round_trip(spark, library, monkeypatch):
     assert digest == {(r.doc_id, r.start): (len(r.ids) // 4, zlib.crc32(r.ids)) for r in rows}
 
 
+def test_dictionary_is_of_distinct_texts_and_all_their_places(spark, library, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE_DOCUMENTS", 30)
+    one = [(i, f"text {i} " + " ".join(f"{i * j % 97}x" for j in range(40))) for i in range(30)]
+    schema = "doc_id long, text string"
+    made = [token_files.train_dictionary(spark.createDataFrame(x, schema), PATH, 0, 4).first() for x in (one, one * 40)]
+    assert made[0] == made[1]
+    monkeypatch.setattr(token_files, "SAMPLE_CHARACTERS", 800)
+    long = spark.createDataFrame([(1, "begin " * 400 + "middle " * 400 + "last " * 400)], schema)
+    row = token_files.train_dictionary(long, PATH, 0, 4).first()
+    said = library.decode(np.frombuffer(row.bytes, "<u4").tolist())
+    assert row.kind == "raw" and "begin" in said and "middle" in said and said.count("last") > 20
+
+
 def test_token_files_of_nothing(spark):
     path = new_folder(spark, "test")
     token_files.write_tokens(empty(spark), path, PATH)
