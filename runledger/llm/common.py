@@ -43,6 +43,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits(table: DataFrame, most_bytes: int, most_rows: int) -> bool:
+    """Whether a staged table is small enough to copy to every executor: in bytes of its files, then in rows."""
+    planned = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return planned <= most_bytes and table.count() <= most_rows
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

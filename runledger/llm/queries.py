@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runledger.llm import (
     de_bruijn,
     decontamination,
+    filter_audit,
     mixing,
     near_dups,
     phrases,
@@ -119,3 +120,43 @@ def de_bruijn_repeats(spark, sf_dir):
 @query("op9_suffix_bucket_repeats")
 def suffix_bucket_repeats(spark, sf_dir):
     return suffix_buckets.without_repeats(documents(spark, sf_dir))
+
+
+@query("op13_filter_audit", """
+    WITH words AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1),
+    masks AS (
+      SELECT doc_id, part,
+             CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+      FROM words JOIN firsts USING (t)),
+    says AS (
+      SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels GROUP BY doc_id),
+    counts AS (
+      SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM masks LEFT JOIN says USING (doc_id) GROUP BY part, mask),
+    f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v (l, b)),
+    orders AS (
+      SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+      FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+    steps AS (
+      SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+      FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+    SELECT part, filter_order, step,
+           CAST(sum(CASE WHEN mask & own = 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+           CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+           CAST(sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+           CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+           CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+           CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+           CAST(sum(CASE WHEN mask & own <> 0 THEN n * 120 // bit_count(mask) ELSE 0 END) AS BIGINT) AS shapley
+    FROM counts, steps GROUP BY part, filter_order, step
+""")
+def audit_of_filters(spark, sf_dir):
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
