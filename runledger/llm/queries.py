@@ -14,12 +14,14 @@ from runledger.llm import (
     filter_audit,
     mixing,
     near_dups,
+    neighbours,
     phrases,
     quality,
     sharding,
     suffix_buckets,
     token_counts,
     token_files,
+    whitening,
 )
 from runledger.llm.common import new_folder
 
@@ -160,3 +162,13 @@ def suffix_bucket_repeats(spark, sf_dir):
 """)
 def audit_of_filters(spark, sf_dir):
     return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op11_spectrum_whitening")
+def spectrum_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_nn_descent")
+def nn_descent(spark, sf_dir):
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
