@@ -16,7 +16,7 @@ from runledger.llm.vectors import lists, matrix, usable
 #: Neighbours in the list of a node.
 DEGREE = 32
 #: Of its new, and of its old, neighbours a node and each node that lists it bring so many into a round of the descent.
-BROUGHT = 16
+BROUGHT = 18
 #: Candidates that a member gets from each node where it meets others.
 TOLD = 4
 #: The descent ends when a round changes less than this share of all list entries, or after ROUNDS.
@@ -26,7 +26,7 @@ TABLES, CELL = 4, 1_024
 #: Nodes whose lists are worked on in one group.
 BLOCK = 512
 #: Nodes that a query keeps on its walk; it ends when all of them have been visited.
-BEAM = 96
+BEAM = 160
 #: Vectors on which the cuts of the first lists are fitted.
 SAMPLE = 10_000
 SEED = 11
