@@ -83,29 +83,33 @@ def isolate(a: np.ndarray, k: int, counts: dict[float, int], small: float) -> Sl
     return at
 
 
-def refine(a: np.ndarray, at: Slice, known: np.ndarray, small: float) -> tuple[float, np.ndarray]:
+def refine(a: np.ndarray, k: int, at: Slice, known: np.ndarray, small: float) -> tuple[float, np.ndarray]:
     """Rayleigh quotient iteration inside a slice, orthogonal to the eigenvectors known so far.
 
-    The first steps keep the middle of the slice as shift; then the quotient takes over, which converges cubically. A quotient
-    that leaves the slice is answered by the middle again.
+    An eigenvalue lies within the residual of every quotient. Once that whole neighbourhood is inside the slice it is the one
+    looked for, and the quotient is the next shift, which converges cubically. Until then the shift is the middle of the slice,
+    which no other eigenvalue is nearer to, and every few steps one more count halves the slice.
     """
-    rnd = np.random.default_rng(len(known))
-    vector = rnd.standard_normal(len(a))
-    middle = (at.low + at.high) / 2
+    vector = np.random.default_rng(len(known)).standard_normal(len(a))
+    low, high = at.low, at.high
     best = (np.inf, 0.0, vector)
-    for step in range(60):
+    for step in range(200):
         vector = vector - known.T @ (known @ vector)
         vector = vector - known.T @ (known @ vector)
         vector /= np.linalg.norm(vector)
         value = float(vector @ a @ vector)
         residual = float(np.linalg.norm(a @ vector - value * vector))
-        inside = at.low - small <= value <= at.high + small
+        narrow = high - low <= small
+        sure = low - small <= value - residual and value + residual <= high + small
         settled = best[0] <= small and residual > 0.5 * best[0]
-        if inside and residual < best[0]:
+        if (sure or (narrow and low - small <= value <= high + small)) and residual < best[0]:
             best = (residual, value, vector)
         if settled:
             break
-        shift = value if inside and step > 2 else middle
+        if not sure and not narrow and step % 3 == 2:
+            middle = (low + high) / 2
+            low, high = (middle, high) if inertia(a, middle) >= k else (low, middle)
+        shift = value if sure else (low + high) / 2
         try:
             vector = np.linalg.solve(a - shift * np.eye(len(a)), vector)
         except np.linalg.LinAlgError:  # the shift is an eigenvalue to the last bit
@@ -130,7 +134,7 @@ def leading(a: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
         at = isolate(a, k, counts, small)
         if at.high <= FLOOR * small:
             break
-        value, vector = refine(a, at, vectors, small)
+        value, vector = refine(a, k, at, vectors, small)
         if value <= FLOOR * small:
             break
         if not (inertia(a, value + 4 * small) < k <= inertia(a, value - 4 * small)):
