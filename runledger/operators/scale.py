@@ -105,34 +105,51 @@ def group_values(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     return values.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
 
-#: Ranges that the quantiles of a sort key cut a table into, and equal steps inside each.
-RANGES, STEPS = 64, 64
+#: Rows that a task should scan in order, and keys that are sampled for each bound between two such tasks.
+SCAN_ROWS, SAMPLED = 500_000, 64
 
 
-def range_bucket(df: DataFrame, key: Column, ranges: int | None = None, steps: int | None = None) -> Column:
-    """Monotone bucket of a numeric sort key: at most ranges x steps of them, each with about as many rows, whatever the keys.
+def with_order_bucket(df: DataFrame, order: list[str], name: str = "_b") -> DataFrame:
+    """Adds the bucket of each row, monotone in `order`: about one for every SCAN_ROWS rows, none with more than twice as many.
 
-    The ranges' bounds are approximate quantiles of the whole table (one scan; `ranges` numbers reach the driver); only copies
-    of one key value share a bucket by necessity. Null keys are in bucket -1.
+    Bounds are sampled from the whole sort key, so keys that lie close together, or one value in many rows that a later column of
+    `order` tells apart, are cut like any others; only rows equal in all of `order` share a bucket by necessity. Buckets are
+    counted, and one that came out too large is sampled again by itself. The bounds, one for each bucket, stand in a sorted array
+    that every row searches by halving. A table of up to SCAN_ROWS rows has one bucket and costs a count.
     """
-    ranges, steps = ranges or RANGES, steps or STEPS
-    number = F.greatest(F.least(key.cast("double"), F.lit(1e300)), F.lit(-1e300))
-    found = df.agg(F.percentile_approx(number, [i / ranges for i in range(ranges + 1)], 50 * ranges)).first()[0]
-    bounds = sorted(set(found or [0.0]))
-
-    def leaf(lo: int, hi: int) -> Column:
-        """Index of the last bound that the key reaches, by bisection."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(number >= bounds[mid], leaf(mid, hi)).otherwise(leaf(lo, mid - 1))
-
-    at = leaf(0, len(bounds) - 1)
-    start = F.element_at(F.array(*[F.lit(b) for b in bounds]), at + 1)
-    width = F.element_at(F.array(*[F.lit(b - a) for a, b in zip(bounds, bounds[1:] + [bounds[-1] + 1.0])]), at + 1)
-    share = F.coalesce(F.try_divide(number - start, width), F.lit(0.0))  # bounds may lie closer together than doubles tell apart
-    inside = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0 - 1e-9), share)) * steps)
-    return F.when(key.isNull(), F.lit(-1)).otherwise(at * steps + inside).cast("long")
+    rows = df.count()
+    if rows <= SCAN_ROWS:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    key = F.struct(*[F.col(c) for c in order])
+    bounds = stage(_every_nth(df.select(key.alias("k")), SAMPLED, SAMPLED * rows / SCAN_ROWS / rows), "bounds")
+    while True:
+        found = _search(df, key, bounds, name)
+        sizes = found.groupBy(name).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+        heavy = stage(sizes.where((F.col("n") > 2 * SCAN_ROWS) & (F.col("low") < F.col("high"))).select(name), "heavy-buckets")
+        if heavy.isEmpty():
+            return found
+        inside = found.join(F.broadcast(heavy), name).select(key.alias("k"))  # fewer than rows / SCAN_ROWS names
+        more = _every_nth(inside, SAMPLED, min(1.0, 4 * SAMPLED / SCAN_ROWS))
+        # the largest key too, so that a bucket of two values is cut as well
+        ends = inside.agg(F.max("k").alias("k")).where("k is not null")
+        bounds = stage(bounds.union(more).union(ends).distinct(), "bounds")
+
+
+def _every_nth(keys: DataFrame, n: int, share: float) -> DataFrame:
+    """Every n-th of a sample of the keys `k`, in their order; a distributed sort, no task holds the sample."""
+    sample = keys.sample(min(1.0, share), 17).orderBy("k").withColumn("_i", F.monotonically_increasing_id())
+    inside = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))  # the position within its partition
+    return sample.where(inside % n == n - 1).select("k").distinct()
+
+
+def _search(df: DataFrame, key: Column, bounds: DataFrame, name: str) -> DataFrame:
+    """Adds the number of bounds that each row's key reaches, by binary search in the sorted array of all bounds."""
+    number = bounds.count()
+    listed = bounds.agg(F.array_sort(F.collect_list("k")).alias("k")).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, number.bit_length())))])
+    halving = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col("_key") >= F.get("_bounds", at + step - 1), at + step).otherwise(at))
+    searched = df.withColumns({"_key": key, "_bounds": listed}).withColumn(name, halving.cast("long"))
+    return searched.drop("_key", "_bounds")
 
 
 _SCANS: dict[str, tuple[Callable, Callable]] = {
@@ -142,16 +159,18 @@ _SCANS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
-def ordered_scan(df: DataFrame, by: list[str], bucket: Column, order: list[str],
+def ordered_scan(df: DataFrame, by: list[str], bucket: Column | None, order: list[str],
                  running: dict[str, tuple[str, Column]], descending: bool = False) -> DataFrame:
     """Add inclusive running aggregates `running[name] = (sum|min|max, column)` within `by`, along `order`.
 
-    `bucket` must be non-null and monotone in the order. Equal to one window over `by`, but a task holds
-    the rows of one (group, bucket) only. Rows are shuffled once: the join with the bucket offsets uses the
-    same partitioning as the in-bucket window.
+    Equal to one window over `by`, but a task holds the rows of one (group, bucket) only: bucket totals are scanned first, then
+    the rows of each bucket. `bucket` must be non-null and monotone in the order; without one, buckets are those of
+    `with_order_bucket`, whose number grows with the table. Rows are shuffled once: the join with the bucket offsets uses the same
+    partitioning as the in-bucket window.
     """
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    keyed = df.withColumns({"_g": group_key(by), "_b": bucket})
+    bucketed = with_order_bucket(df, order) if bucket is None else df.withColumn("_b", bucket)
+    keyed = bucketed.withColumn("_g", group_key(by))
     totals = keyed.groupBy("_g", "_b").agg(*[_SCANS[k][0](c).alias(f"_{n}") for n, (k, c) in running.items()])
     earlier = Window.partitionBy("_g").orderBy(turn("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -169,7 +188,7 @@ def ordered_scan(df: DataFrame, by: list[str], bucket: Column, order: list[str],
     )
 
 
-def ordered_rank(df: DataFrame, by: list[str], bucket: Column, order: list[str], name: str = "rank",
+def ordered_rank(df: DataFrame, by: list[str], bucket: Column | None, order: list[str], name: str = "rank",
                  descending: bool = False) -> DataFrame:
     """1-based position within `by` along `order` (which must end in a unique key)."""
     one = F.lit(1).cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.text import run_name
 from runledger.functions.hashing import order_hash
-from runledger.operators.scale import label_by_hash_rank, ordered_rank, range_bucket
+from runledger.operators.scale import label_by_hash_rank, ordered_rank
 
 # ---- fixed values ---------------------------------------------------------------------------
 PATTERN_QUOTA = {"single_b1": 0.30, "single_b2": 0.30, "simultaneous": 0.30, "sequential": 0.10}
@@ -86,7 +86,7 @@ def shuffle_position(df: DataFrame, ids: list[str], seed: int = 42, digits: int
 
 def rekey(df: DataFrame, prefix: str, order: str, name: str = "run_id", width: int = 5):
     """New ids prefix00000, prefix00001, ... in the order of a unique integer column."""
-    ranked = ordered_rank(df, [], range_bucket(df, F.col(order)), [order], "_rank")
+    ranked = ordered_rank(df, [], None, [order], "_rank")
     return ranked.withColumn(name, run_name(prefix, F.col("_rank") - 1, width)).drop("_rank")
 
 

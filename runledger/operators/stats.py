@@ -16,7 +16,8 @@ from runledger.functions.hashing import HEX_DIGITS, HEX_RANGE, order_hash
 from runledger.operators.joins import FALLBACK_GAIN, bin_grid, literal_map, model_pairs
 from runledger.operators.report import _join_groups, band_counts, rate
 from runledger.operators.scale import (
-    group_key, group_values, merged_with_stats, ordered_scan, quantiles, range_bucket, salted_join, spread, stage,
+    group_key, group_values, merged_with_stats, ordered_scan, quantiles, salted_join, spread, stage,
+    with_order_bucket,
 )
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -179,12 +180,12 @@ def fdr_bh(tests: DataFrame, p: str, ids: list[str], alpha: float = 0.05) -> Dat
     """
     known = stage(tests.where(F.col(p).isNotNull()), "tests")
     m = known.agg(F.count("*")).scalar()
-    bucket = range_bucket(known, F.col(p))
-    ranked = ordered_scan(known, [], bucket, [p, *ids], {"bh_rank": ("sum", F.lit(1).cast("long"))})
+    placed = with_order_bucket(known, [p, *ids], "_bucket")
+    ranked = ordered_scan(placed, [], F.col("_bucket"), [p, *ids], {"bh_rank": ("sum", F.lit(1).cast("long"))})
     scaled = ranked.withColumn("_scaled", F.col(p) * m / F.col("bh_rank"))
-    best = ordered_scan(scaled, [], bucket, [p, *ids], {"_best": ("min", F.col("_scaled"))}, descending=True)
+    best = ordered_scan(scaled, [], F.col("_bucket"), [p, *ids], {"_best": ("min", F.col("_scaled"))}, descending=True)
     adjusted = best.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("_best")))
-    return adjusted.withColumn("significant", F.col("p_adjusted") <= alpha).drop("_scaled", "_best")
+    return adjusted.withColumn("significant", F.col("p_adjusted") <= alpha).drop("_scaled", "_best", "_bucket")
 
 
 # ---- class distributions --------------------------------------------------------------------
@@ -367,7 +368,7 @@ def ecdf(df: DataFrame, by: list[str], col: str, mode: str = "rank") -> DataFram
     counted = values.groupBy("_g", F.col("_v").alias("value")).agg(F.count("*").alias("copies"))
     counted = counted.select(*[F.col(f"_g.{c}").alias(c) for c in by], "value", "copies")
     counted = stage(counted, "distinct")
-    placed = ordered_scan(counted, by, range_bucket(counted, F.col("value")), ["value"], {"last_rank": ("sum", F.col("copies"))})
+    placed = ordered_scan(counted, by, None, ["value"], {"last_rank": ("sum", F.col("copies"))})
     totals = stage(values.groupBy("_g").agg(F.count("*").alias("n")), "sizes")
     joined = salted_join(placed.withColumn("_g", group_key(by)), totals, ["_g"], ["value"])
     first = F.col("last_rank") - F.col("copies") + 1

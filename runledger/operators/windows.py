@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.derive import flag
-from runledger.operators.scale import ordered_scan, range_bucket, salted_join, stage
+from runledger.operators.scale import ordered_scan, salted_join, stage
 
 
 def running_success(df: DataFrame, by: list[str], order: str = "case_id", success: Column | None = None) -> DataFrame:
     """Cases, successes and success rate so far after every case, in the order of an integer case id."""
     hit = flag(success if success is not None else F.col("validation_success_5")).cast("long")
     scanned = ordered_scan(
-        df, by, range_bucket(df, F.col(order)), [order],
+        df, by, None, [order],
         {"n_so_far": ("sum", F.lit(1).cast("long")), "successes_so_far": ("sum", hit)},
     )
     return scanned.withColumn("running_rate", F.col("successes_so_far") / F.col("n_so_far"))
@@ -25,7 +25,7 @@ def snapshots(df: DataFrame, by: list[str], every: int = 50, order: str = "case_
     scanned = ordered_scan(
         df.select(*by, order, "parsing_success", "simulation_success", "validation_success_1",
                   "validation_success_2", "validation_success_5"),
-        by, range_bucket(df, F.col(order)), [order],
+        by, None, [order],
         {"n": ("sum", F.lit(1).cast("long")), "parsed": count("parsing_success"),
          "simulated": count("simulation_success"), "ok_1": count("validation_success_1"),
          "ok_2": count("validation_success_2"), "ok_5": count("validation_success_5")},

@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from runledger import schemas
 from runledger.functions.derive import nan_to_null
 from runledger.functions.text import to_float
+from runledger.sources.json_arrays import json_objects
 
 CORRUPT = "_corrupt_record"
 # ---- fixed values: texts that stand for a missing value in a prediction table ----------------
@@ -30,16 +31,13 @@ def read_runs_csv(spark: SparkSession, path: str, schema: StructType = schemas.R
 
 
 def read_results_json(spark: SparkSession, path: str, schema: StructType = schemas.RESULTS) -> DataFrame:
-    """Files that hold one JSON array of records each."""
-    return clean_nan(spark.read.schema(schema).option("multiLine", True).json(path))
+    """Files that hold one JSON array of records each, however large: many tasks read a file (`json_objects`)."""
+    return clean_nan(json_objects(spark, path).select(F.from_json("value", schema).alias("r")).select("r.*"))
 
 
 def read_results_enveloped(spark: SparkSession, path: str, schema: StructType = schemas.RESULTS) -> DataFrame:
-    """Files that hold a list, an object with `results`, or a single record."""
-    either = StructType([*schema.fields, StructField("results", ArrayType(schema), True)])
-    raw = spark.read.schema(either).option("multiLine", True).json(path)
-    single = F.array(F.struct(*[F.col(f.name) for f in schema.fields]))
-    return clean_nan(raw.select(F.inline(F.coalesce(F.col("results"), single))))
+    """Files that hold a list, an object with a list `results`, or a single record, however large."""
+    return clean_nan(json_objects(spark, path, "results").select(F.from_json("value", schema).alias("r")).select("r.*"))
 
 
 def is_record(value: Column) -> Column:

@@ -49,8 +49,7 @@ def joins(request, spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     monkeypatch.setattr(S, "SMALL", 50)
     monkeypatch.setattr(S, "LEVEL", 8)
-    monkeypatch.setattr(S, "RANGES", 5)
-    monkeypatch.setattr(S, "STEPS", 7)
+    monkeypatch.setattr(S, "SCAN_ROWS", 100)
     yield request.param
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
@@ -239,11 +238,65 @@ def test_near_values_and_far_outliers_are_spread(spark, monkeypatch):
     assert sizes[-1] <= 500 and len(sizes) <= 5
 
 
-@pytest.mark.parametrize("stride", [1, 70_001])
-def test_buckets_of_keys_are_few_and_even(spark, stride):
-    ids = spark.range(0, 100_000 * stride, stride).union(spark.range(10**15, 10**15 + 10))
-    per = ids.groupBy(S.range_bucket(ids, F.col("id")).alias("b")).count().collect()
-    assert len(per) <= S.RANGES * S.STEPS + 1 and max(r["count"] for r in per) < 2_000
+def buckets(df, order):
+    return df.select(*order, "_b").collect() if "_b" in df.columns else S.with_order_bucket(df, order).select(*order, "_b").collect()
+
+
+@pytest.mark.parametrize("clustered", ["even", "sparse", "one value", "close", "text"])
+def test_no_bucket_is_large_wherever_the_keys_lie(spark, monkeypatch, clustered):
+    """About one bucket for every SCAN_ROWS rows, none with more than twice as many, in the order of the whole key."""
+    monkeypatch.setattr(S, "SCAN_ROWS", 2_000)
+    rows = spark.range(0, 60_000, 1, 7)
+    value = {"even": F.col("id"), "sparse": F.pow(F.lit(1.0003), F.col("id")), "one value": F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id")),
+             "close": F.lit(1.0) + F.col("id") * 1e-14, "text": F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), F.col("id")))}[clustered]
+    got = buckets(rows.select(value.alias("v"), "id"), ["v", "id"])
+    sizes = {}
+    for r in got:
+        sizes[r._b] = sizes.get(r._b, 0) + 1
+    assert max(sizes.values()) <= 4_000 and 20 <= len(sizes) <= 45
+    ranked = sorted(got, key=lambda r: (r.v is not None, r.v, r.id) if r.v is not None else (False, 0, r.id))
+    assert [r._b for r in ranked] == sorted(r._b for r in ranked)
+
+
+def test_bucket_numbers_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCAN_ROWS", 500)
+    few, many = (len({r._b for r in buckets(spark.range(n), ["id"])}) for n in (5_000, 50_000))
+    assert len({r._b for r in buckets(spark.range(500), ["id"])}) == 1 and 7 * few < many < 14 * few
+
+
+def test_a_large_bucket_is_cut_again(spark, monkeypatch):
+    """A first sample that misses nearly all keys."""
+    monkeypatch.setattr(S, "SCAN_ROWS", 1_000)
+    true, calls = S._every_nth, []
+
+    def poor(keys, n, share):
+        calls.append(share)
+        return true(keys, n, share) if len(calls) > 1 else keys.where("k.id < 10")
+
+    monkeypatch.setattr(S, "_every_nth", poor)
+    got = buckets(spark.range(30_000), ["id"])
+    sizes = np.bincount([r._b for r in got])
+    assert len(calls) == 2 and sizes.max() <= 2_000
+
+
+def test_equal_keys_share_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCAN_ROWS", 100)
+    got = buckets(spark.range(3_000).selectExpr("if(id < 1000, 1, id) as v"), ["v"])
+    assert len({r._b for r in got if r.v == 1}) == 1
+
+
+def test_ordered_queries_compile(spark, monkeypatch, table):
+    """Whole-stage code of the scans is not given up, whatever the number of bounds."""
+    monkeypatch.setattr(S, "SCAN_ROWS", 50)
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        assert W.running_success(table, ["g"], "id", F.col("x") > 0).count() == table.count()
+        assert T.ecdf(table, ["g"], "x").agg(F.max("last_rank")).first()[0] > 900
+        assert P.rekey(table, "m_", "id").select("run_id").distinct().count() == table.count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+        spark.conf.unset("spark.sql.codegen.factoryMode")
 
 
 def test_many_equal_p_values(spark):
@@ -323,10 +376,10 @@ def test_staged_folders_are_deleted(spark):
     assert not any(map(os.path.isdir, folders))
 
 
-def test_buckets_are_monotone(spark):
+def test_buckets_are_monotone(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCAN_ROWS", 20)
     values = sorted([0.0, 1e-300, -1e-300, 1e300, -1e300, 1.0, 1.0000001, -1.0, -2.5, 0.1, float("inf"), float("-inf"),
                      *np.random.default_rng(0).normal(0, 100, 500).tolist()])
-    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
-    buckets = {r[1]: r[0] for r in df.select(S.range_bucket(df, F.col("v")), "v").collect()}
-    assert buckets.pop(None) == -1
-    assert [buckets[v] for v in values] == sorted(buckets[v] for v in values)
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    found = {repr(r.v): r._b for r in buckets(df, ["v"])}
+    assert [found[repr(v)] for v in [None, *values, float("nan")]] == sorted(found.values())
