@@ -254,16 +254,18 @@ def report_csv(spark, sf):
 @query("src_10_write_results_json", with_scored(RECORDS_SQL))
 def write_results(spark, sf):
     df = records(spark, sf)
-    _, latest = W.write_results_json(df, new_path(spark, "results"), stamp="20250101_000000")
-    return _shown(R.read_results_jsonl(spark, latest))
+    folder = new_path(spark, "results")
+    W.write_results_json(df, folder, stamp="20250101_000000")
+    return _shown(R.read_results_jsonl(spark, W.latest_results(spark, folder)))
 
 
 @query("src_11_append_results", with_runs(RUN_TABLE_SQL))
 def append_results(spark, sf):
     df, path = run_table(spark, sf), new_path(spark, "appended")
     first = F.col("final_power") < 1.0
-    W.append_results(df.where(first), path)
-    W.append_results(df.where(~first), path)
+    for _ in range(2):  # the retry of a job whose append had been done
+        W.append_results(df.where(first), path, batch="1")
+    W.append_results(df.where(~first), path, batch="2")
     return R.read_runs_csv(spark, path)
 
 
@@ -319,10 +321,11 @@ SELECT model, init_b1, count(*) AS n, count(*) FILTER (validation_success_5) AS
   {r('count(*) FILTER (validation_success_5) / count(*)')} AS success_rate FROM {TWICE} GROUP BY ALL"""))
 def stream_running_success(spark, sf):
     source = Q.stream_results(spark, f"{_drop_zone(spark, sf)}/*")
-    live = Q.stream_running_success(source, ["model", "init_b1"])
+    by = ["model", "init_b1"]
+    live = Q.stream_running_success(source, by)
     table = new_path(spark, "live")
-    Q.snapshot_stream(live, table, new_path(spark, "ckpt")).awaitTermination()
-    return rounded(spark.read.schema(live.schema).parquet(table))
+    Q.snapshot_stream(live, by, table, new_path(spark, "ckpt")).awaitTermination()
+    return rounded(Q.read_snapshot(spark, table, by, live.schema))
 
 
 @query("str_04_stream_resume", with_scored(RECORDS_SQL))
@@ -341,5 +344,6 @@ def stream_to_latest(spark, sf):
     table = new_path(spark, "sink")
     source = Q.stream_results(spark, f"{_drop_zone(spark, sf)}/*")
     Q.append_new(source, ["model", "case_id"], table, new_path(spark, "ckpt")).awaitTermination()
-    _, latest = Q.stream_to_latest(spark, table, schemas.RESULTS, new_path(spark, "results"), stamp="20250101_000000")
-    return _shown(R.read_results_jsonl(spark, latest))
+    folder = new_path(spark, "results")
+    Q.stream_to_latest(spark, table, schemas.RESULTS, folder, stamp="20250101_000000")
+    return _shown(R.read_results_jsonl(spark, W.latest_results(spark, folder)))

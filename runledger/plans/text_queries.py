@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from runledger.functions import text as X
 from runledger.operators.joins import assign_regime
-from runledger.operators.scale import spread
+from runledger.operators.scale import new_path, spread
 from runledger.operators.stats import fit_gain_by_regime
 from runledger.plans.fixtures import (
     ALL_REGIMES_SQL, CALIB_SQL, COMMAND, FEW_SQL, FITS_SQL, GEN_TEXT_SQL, LOGS_SQL, PAIR_TEXT_SQL, REGIMES_SQL, calib, few_regimes, gen_text, logs, pair_text, params, query, r,
     rounded, runs, table, with_runs,
 )
-from runledger.sources.runlog import ANY_CPU_TIME, run_log_points, run_log_points_unskipped
+from runledger.sources.runlog import ANY_CPU_TIME, read_log_points, run_log_points, run_log_points_unskipped
 from runledger.sources.writers import calibration_map, flatten_params, records_to_json
 
 COMMAND_TEXT = "concat(b1_pos, ', ', b1_time, ', ', b1_speed, ', ', b2_pos, ', ', b2_time, ', ', b2_speed, ']')"
@@ -213,6 +213,24 @@ def run_log_end_anywhere(spark, sf):
     return _points(run_log_points(logs(spark, sf), ["run_id"], end="time breakdown", end_anywhere=True))
 
 
+@query("txt_10_run_log_files", """
+SELECT concat('run=', run) AS run_id, line, k % 1000 + 5e-1 AS t, cast(concat('1.', k % 997) AS DOUBLE) AS power
+FROM (SELECT o_orderkey AS k, o_orderkey % 4 AS run, 2 + row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS line
+  FROM orders) WHERE k % 10 <> 3""")
+def run_log_files(spark, sf):
+    """Four long logs in one file each, a line for every order, read in blocks by many tasks."""
+    key = F.col("o_orderkey")
+    text = F.when(key % 10 == 3, "no data here").otherwise(F.format_string("  %d   %d.5   0.001   1.%d   ok", key, key % 1000, key % 997))
+    data = table(spark, sf, "orders").select((key % 4).alias("run"), key.cast("long").alias("seq"), text.alias("value"))
+    around = F.array(*[F.struct(F.lit(n).cast("long").alias("seq"), F.lit(t).alias("value")) for n, t in (
+        (-3, " TRANSIENT RESULTS"), (-2, "0 0.0 0 0.0"), (-1, ""), (1 << 60, " CPU time breakdown"), ((1 << 60) + 1, "9 9.0 9 9.0"))])
+    every = data.union(spark.range(4).select("id", F.explode(around).alias("l")).select("id", "l.*"))
+    path = new_path(spark, "logs")
+    # the fixture itself: a log is one file, as a solver writes it
+    every.repartition(4, "run").sortWithinPartitions("run", "seq").select("run", "value").write.partitionBy("run").text(path)
+    return read_log_points(spark, f"{path}/*", by_folder=True)
+
+
 FINITE = "CASE WHEN isfinite(power) THEN power END"
 
 

@@ -45,13 +45,26 @@ def is_record(value: Column) -> Column:
     return F.from_json(value, "map<string,string>").isNotNull()
 
 
-def json_records(lines: DataFrame, schema: StructType = schemas.RESULTS) -> DataFrame:
-    """Records of the lines (column `value`) that hold a JSON object; other lines are skipped.
+def _parsed(lines: DataFrame, schema: StructType, keep: list[str] = []) -> DataFrame:
+    """(r, object, keep...) of lines: the record with the text of a damaged one in CORRUPT, and whether the line is a record.
+
+    A line is parsed once. Only where that reports damage does a second look tell a field of the wrong type from a broken line.
+    """
+    with_corrupt = StructType([*[f for f in schema.fields if f.name != CORRUPT], StructField(CORRUPT, StringType(), True)])
+    record = F.from_json("value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # a lambda's argument is computed once, a column that a filter and a projection both name is not
+    judged = F.transform(F.array(F.struct(record.alias("r"), F.col("value").alias("v"))), lambda x: F.struct(
+        x["r"].alias("r"), F.when(x["r"][CORRUPT].isNull(), F.startswith(F.ltrim(x["v"]), F.lit("{"))).otherwise(is_record(x["v"])).alias("object")))
+    return lines.select(*keep, F.inline(judged))
+
+
+def json_records(lines: DataFrame, schema: StructType = schemas.RESULTS, keep: list[str] = []) -> DataFrame:
+    """Records of the lines (column `value`) that hold a JSON object, with the columns `keep`; other lines are skipped.
 
     A field of the wrong type is null and its line stays. Which lines count does not depend on the columns that are read later.
     """
-    objects = lines.where(is_record(F.col("value")))
-    return clean_nan(objects.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*"))
+    records = _parsed(lines, schema, keep).where("object")
+    return clean_nan(records.select(*[F.col(f"r.{f.name}") for f in schema.fields], *keep))
 
 
 def read_results_jsonl(spark: SparkSession, path: str, schema: StructType = schemas.RESULTS) -> DataFrame:
@@ -61,12 +74,9 @@ def read_results_jsonl(spark: SparkSession, path: str, schema: StructType = sche
 
 def jsonl_health(spark: SparkSession, path: str, schema: StructType = schemas.RESULTS) -> DataFrame:
     """How many lines of a JSON-lines folder are read, how many of those lack a field of the wrong type, how many are skipped."""
-    with_corrupt = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.select(is_record(F.col("value")).alias("object"), F.from_json("value", with_corrupt, options).alias("r"))
+    lines = _parsed(spark.read.text(path).where(F.trim("value") != ""), schema)
     damaged = F.col("object") & F.col(f"r.{CORRUPT}").isNotNull()
-    return parsed.agg(F.count_if("object").alias("good"), F.count_if(damaged).alias("damaged"), F.count_if(~F.col("object")).alias("broken"))
+    return lines.agg(F.count_if("object").alias("good"), F.count_if(damaged).alias("damaged"), F.count_if(~F.col("object")).alias("broken"))
 
 
 def read_predictions_csv(spark: SparkSession, path: str, has_parsed: bool = True) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Run logs: whole text of one run -> long table of (time, power) points."""
+"""Run logs -> long table of (time, power) points: of texts that a row holds, or of files that many tasks read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runledger.operators.scale import stage
+
 # ---- fixed values ---------------------------------------------------------------------------
 RESULTS_HEADER = "TRANSIENT RESULTS"
 # what ends the results: the readers of closed-loop and training runs stop at the first, those of scheduled gains at the second
@@ -41,17 +43,27 @@ def run_log_points(df: DataFrame, ids: list[str], text: str = "text", end: str =
     The section borders are computed per log from the few header and end positions, then only the lines of the
     sections are exploded: no window and no shuffle, a run is parsed inside the task that read it.
     """
-    skip = SKIPPED_AFTER_HEADER
-    is_end = (lambda s: F.contains(s, F.lit(end))) if end_anywhere else (
-        lambda s: F.startswith(F.ltrim(s), F.lit(end)))
+    is_end = _end_test(end, end_anywhere)
     marked = _split(df, ids, text).select(
-        *ids, "_lines",
+        *ids, "_lines", F.size("_lines").alias("_size"),
         _positions("_lines", lambda s: F.contains(s, F.lit(RESULTS_HEADER))).alias("_seen"),
         _positions("_lines", is_end).alias("_ends"),
     )
+    bordered = _sections(marked, "int").select(*ids, "_lines", F.explode("_sections").alias("_s"))
+    return _points(bordered.select(*ids, "_lines", F.col("_s.start").alias("_start"), F.col("_s.end").alias("_end")), ids, power_only)
+
+
+def _end_test(end: str, anywhere: bool):
+    return (lambda s: F.contains(s, F.lit(end))) if anywhere else (lambda s: F.startswith(F.ltrim(s), F.lit(end)))
+
+
+def _sections(marked: DataFrame, kind: str) -> DataFrame:
+    """Adds `_sections`, the borders (start, end) of each section, from the sorted line numbers `_seen` of headers and `_ends` of
+    end markers and the number `_size` of lines."""
+    skip = SKIPPED_AFTER_HEADER
     headers = F.aggregate(
         "_seen",
-        F.array().cast("array<int>"),
+        F.array().cast(f"array<{kind}>"),
         lambda kept, i: F.when(
             (F.size(kept) == 0) | (i > F.get(kept, F.size(kept) - 1) + skip), F.concat(kept, F.array(i))
         ).otherwise(kept),
@@ -59,12 +71,47 @@ def run_log_points(df: DataFrame, ids: list[str], text: str = "text", end: str =
     marked = marked.withColumn("_headers", headers)
     opened = lambda i: F.array_max(F.filter("_headers", lambda h: h <= i)) + skip
     stop = F.array_min(F.filter("_ends", lambda i: F.coalesce(i > opened(i), F.lit(False))))
-    sections = F.transform("_headers", lambda h, k: F.struct(
-        (h + 1 + skip).alias("start"), F.coalesce(F.get("_headers", k + 1), F.size("_lines")).alias("end")))
-    bordered = marked.select(*ids, "_lines", stop.alias("_stop"), F.explode(sections).alias("_s"))
-    bordered = bordered.select(
-        *ids, "_lines", F.col("_s.start").alias("_start"), F.least("_s.end", "_stop").alias("_end"))
-    return _points(bordered, ids, power_only)
+    marked = marked.withColumn("_stop", stop)
+    return marked.withColumn("_sections", F.transform("_headers", lambda h, k: F.struct(
+        (h + 1 + skip).alias("start"), F.least(F.coalesce(F.get("_headers", k + 1), F.col("_size")), F.col("_stop")).alias("end"))))
+
+
+def read_log_points(spark: SparkSession, path: str, end: str = RESULTS_END, end_anywhere: bool = False,
+                    power_only: bool = False, by_folder: bool = False) -> DataFrame:
+    """(run_id, line, t, power) of all log files of a folder, as `run_log_points` of whole texts, however large a log is.
+
+    Logs are read line by line in blocks, which Spark cuts at any byte. The first pass counts the lines of every block and notes
+    where in it headers and end markers stand; the counts of earlier blocks then give their line numbers, and those the sections'
+    borders, a few for each log. The second pass reads the points of every block and keeps those inside a section. Only the
+    marks and the data points move. A run is named after its file, or with `by_folder` after the folder that holds it alone.
+    """
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = read.withColumn("at", F.monotonically_increasing_id())  # consecutive inside a block
+    line = F.col("value")
+    is_header, is_end = F.contains(line, F.lit(RESULTS_HEADER)), _end_test(end, end_anywhere)(line)
+    mark = F.when(is_header | is_end, F.struct("at", is_header.alias("header"), is_end.alias("end")))
+    blocks = lines.groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list(mark).alias("marks"))
+    blocks = stage(blocks, "log-blocks")
+    if not blocks.where("last - first != n - 1").isEmpty():
+        raise ValueError("the lines of a block are not in one task")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first"))
+    number = lambda kind: F.transform(F.filter("marks", lambda m: m[kind]), lambda m: m["at"] + F.col("before"))
+    of_files = placed.groupBy("file").agg(
+        F.sum("n").alias("_size"), F.array_sort(F.flatten(F.collect_list(number("header")))).alias("_seen"),
+        F.array_sort(F.flatten(F.collect_list(number("end")))).alias("_ends"))
+    sections = _sections(of_files, "bigint").select("file", "_sections").where(F.size("_sections") > 0)
+    from_line, to_line = F.col("before") + F.col("first"), F.col("before") + F.col("last")
+    inside = placed.join(sections, "file").withColumn(
+        "_own", F.filter("_sections", lambda s: (s["start"] <= to_line) & (s["end"] > from_line)))
+    inside = stage(inside.where(F.size("_own") > 0).select("file", "block", "before", "_own"), "log-sections")
+    points = lines.select("file", "block", "at", _point(line, power_only).alias("_p")).where("_p.power is not null")
+    kept = points.join(inside, ["file", "block"]).withColumn("line", F.col("at") + F.col("before"))
+    kept = kept.where(F.exists("_own", lambda s: (s["start"] <= F.col("line")) & (F.col("line") < s["end"])))
+    name = F.element_at(F.split("file", "/"), -2 if by_folder else -1)
+    return kept.select(name.alias("run_id"), "line", F.col("_p.t").alias("t"), F.col("_p.power").alias("power"))
 
 
 def run_log_points_unskipped(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
@@ -91,17 +138,19 @@ def _points(bordered: DataFrame, ids: list[str], power_only: bool, keep=None) ->
 
     The numbers are read before the lines are exploded, so that the filter on them does not read them again.
     """
-    pattern = f"{FOUR_TOKENS[0]}{NUMBER if not power_only else ANY}{FOUR_TOKENS[1]}{NUMBER}{FOUR_TOKENS[2]}"
-
-    def point(line: Column) -> Column:
-        text = lambda k: F.regexp_extract(line, pattern, k)
-        number = lambda k: F.nullif(text(k), F.lit("")).try_cast("double")
-        value = F.struct((F.lit(None) if power_only else number(1)).cast("double").alias("t"), number(2).alias("power"))
-        return value if keep is None else F.when(keep(line), value)
-
+    point = lambda line: _point(line, power_only, keep)
     body = F.slice("_lines", F.col("_start") + 1, F.col("_end") - F.col("_start"))
     points = bordered.where(F.col("_end") > F.col("_start")).select(
         *ids, "_start", F.posexplode(F.transform(body, point)).alias("_k", "_p"))
     return points.select(
         *ids, (F.col("_start") + F.col("_k")).alias("line"), F.col("_p.t").alias("t"), F.col("_p.power").alias("power")
     ).where(F.col("power").isNotNull())
+
+
+def _point(line: Column, power_only: bool, keep=None) -> Column:
+    """(t, power) of a line, null where it is no data line."""
+    pattern = f"{FOUR_TOKENS[0]}{NUMBER if not power_only else ANY}{FOUR_TOKENS[1]}{NUMBER}{FOUR_TOKENS[2]}"
+    text = lambda k: F.regexp_extract(line, pattern, k)
+    number = lambda k: F.nullif(text(k), F.lit("")).try_cast("double")
+    value = F.struct((F.lit(None) if power_only else number(1)).cast("double").alias("t"), number(2).alias("power"))
+    return value if keep is None else F.when(keep(line), value)

@@ -2,34 +2,79 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.classify import REGIMES
 from runledger.functions.derive import COMMAND
+from runledger.sources import manifest
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_results_json(df: DataFrame, folder: str, order: str = "case_id", stamp: str | None = None) -> tuple[str, str]:
-    """Records in case order as JSON lines: a time-stamped set and the fixed "latest" copy of it.
+def write_results_json(df: DataFrame, folder: str, order: str = "case_id", stamp: str | None = None) -> str:
+    """Records in case order as JSON lines: a time-stamped set, which then becomes the latest one (`latest_results`).
 
-    Both are range-partitioned by `order`, so that their files are in case order one after the other.
+    The set is range-partitioned by `order`, so that its files are in case order one after the other. It is complete before a
+    manifest names it as the latest, so "latest" is never missing or half there; a set that was published under the same stamp
+    before stays as it is, beside the new one.
     """
+    spark = df.sparkSession
     stamp = stamp or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-    dated, latest = f"{folder}/results_{stamp}", f"{folder}/results_latest"
-    df.orderBy(order).write.mode("overwrite").json(dated)
-    df.sparkSession.read.schema(df.schema).json(dated).orderBy(order).write.mode("overwrite").json(latest)
-    return dated, latest
-
-
-def append_results(df: DataFrame, path: str) -> None:
-    """Add rows to a run table; a failed task leaves nothing behind, a finished one is committed."""
-    df.write.mode("append").option("header", True).csv(path)
+    known = manifest.current(spark, folder) or {"sets": []}
+    name, again = f"results_{stamp}", 1
+    while name in known["sets"]:
+        again += 1
+        name = f"results_{stamp}_{again}"
+    # what a failed attempt left under a name that no manifest holds is overwritten
+    df.orderBy(order).write.mode("overwrite").json(f"{folder}/{name}")
+    manifest.commit(spark, folder, {"latest": name, "sets": [*known["sets"], name]})
+    return f"{folder}/{name}"
+
+
+def latest_results(spark: SparkSession, folder: str) -> str:
+    """The folder of the latest set that `write_results_json` published."""
+    found = manifest.current(spark, folder)
+    if found is None:
+        raise FileNotFoundError(f"no results in {folder}")
+    return f"{folder}/{found['latest']}"
+
+
+def append_results(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add rows to a run table; a failed task leaves nothing behind, a finished one is committed.
+
+    With the name of a `batch`, appending it again adds nothing: its files carry the name, and a mark is set once all are in place.
+    An attempt that failed before that mark is undone by the next one. Without a name, a retry adds the rows again.
+    """
+    writer = df.write.mode("append").option("header", True)
+    if batch is None:
+        writer.csv(path)
+        return
+    spark = df.sparkSession
+    if not re.fullmatch(r"[A-Za-z0-9.]+", batch):
+        raise ValueError("a batch is named by letters, digits and dots")
+    marks = f"{path}/_batches"
+    if batch in manifest.names(spark, marks):
+        return
+    staged = f"{path}/_staged-{batch}"
+    manifest.delete(spark, staged)
+    for name in manifest.names(spark, path):
+        if name.startswith(f"{batch}-"):
+            manifest.delete(spark, f"{path}/{name}")
+    writer.csv(staged)
+    fs, here = manifest.file_system(spark, staged)
+    for name in manifest.names(spark, staged):
+        if name.startswith("part-"):
+            path_of = spark._jvm.org.apache.hadoop.fs.Path
+            if not fs.rename(path_of(here, name), path_of(path, f"{batch}-{name}")):
+                raise OSError(f"{name} of batch {batch} cannot be moved to {path}")
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(marks, batch))
+    manifest.delete(spark, staged)
 
 
 def write_documents(df: DataFrame, key: str, text: str, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,8 @@ from pyspark.sql.types import StructType
 
 from runledger import schemas
 from runledger.functions.derive import flag
-from runledger.sources.readers import clean_nan, is_record
+from runledger.sources import manifest
+from runledger.sources.readers import json_records
 from runledger.sources.writers import write_results_json
 
 #: Column of `stream_results` that can bound the state of streaming operators.
@@ -28,9 +31,7 @@ def stream_results(spark: SparkSession, folder: str, schema: StructType = schema
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.text(folder).select("value", F.col("_metadata.file_modification_time").alias(FILE_TIME))
-    objects = lines.where(is_record(F.col("value")))
-    parsed = objects.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), FILE_TIME)
-    return clean_nan(parsed.select("r.*", FILE_TIME))
+    return json_records(lines, schema, [FILE_TIME])
 
 
 def stream_dedup(results: DataFrame, key: list[str], event_time: str | None = None, keep_for: str = "7 days") -> DataFrame:
@@ -84,17 +85,53 @@ def append_new(results: DataFrame, key: list[str], table: str, checkpoint: str)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot_stream(aggregated: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep a folder equal to the newest complete result of a streaming aggregate."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+#: Changes that a reader folds at most; more are folded into one by the writer.
+DELTAS = 16
+
 
-    writer = aggregated.writeStream.outputMode("complete").foreachBatch(replace)
+def snapshot_stream(aggregated: DataFrame, by: list[str], table: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest result of a streaming aggregate with one row for each group `by`, for `read_snapshot`.
+
+    A batch writes the groups that it changed, not the table, to a folder of its own, and then publishes it in a manifest. A
+    reader gets the state before a batch or after it. A batch that is done again replaces its own folder, which nobody has seen.
+    After DELTAS of them the changes are folded into one.
+    """
+    def change(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = (manifest.current(spark, table) or {"deltas": []})["deltas"]
+        if any(d["batch"] >= number for d in known):
+            return
+        name = f"delta-{number}"
+        batch.write.mode("overwrite").parquet(f"{table}/{name}")
+        deltas = [*known, {"batch": number, "name": name}]
+        if len(deltas) > DELTAS:
+            name = f"folded-{number}"
+            _fold(spark, table, deltas, by, batch.schema).write.mode("overwrite").parquet(f"{table}/{name}")
+            deltas = [{"batch": number, "name": name}]
+        manifest.commit(spark, table, {"deltas": deltas})
+        manifest.forget_old(spark, table, lambda m: [d["name"] for d in m.get("deltas", [])])
+
+    writer = aggregated.writeStream.outputMode("update").foreachBatch(change)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_snapshot(spark: SparkSession, table: str, by: list[str], schema: StructType) -> DataFrame:
+    """The newest row of every group that `snapshot_stream` published; no rows before its first batch."""
+    deltas = (manifest.current(spark, table) or {"deltas": []})["deltas"]
+    return _fold(spark, table, deltas, by, schema)
+
+
+def _fold(spark: SparkSession, table: str, deltas: list[dict], by: list[str], schema: StructType) -> DataFrame:
+    if not deltas:
+        return spark.createDataFrame([], schema)
+    parts = [spark.read.schema(schema).parquet(f"{table}/{d['name']}").withColumn("_batch", F.lit(d["batch"])) for d in deltas]
+    rest = [c for c in schema.names if c not in by]
+    newest = reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.max_by(F.struct(*rest), "_batch").alias("_newest"))
+    return newest.select(*by, "_newest.*").select(*schema.names)
+
+
 def stream_to_latest(spark: SparkSession, table: str, schema: StructType, folder: str, order: str = "case_id",
-                     stamp: str | None = None) -> tuple[str, str]:
-    """Consolidate the ingested table into the sorted, dated record set and its "latest" copy."""
+                     stamp: str | None = None) -> str:
+    """Consolidate the ingested table into a sorted, dated record set, which becomes the latest one."""
     ingested = spark.read.schema(schema).parquet(table)
     return write_results_json(ingested, folder, order, stamp)

@@ -9,7 +9,7 @@ from runledger.functions import text as X
 from runledger.operators import generate as G
 from runledger.operators import stats as T
 from runledger.operators.joins import assign_regime
-from runledger.sources.runlog import run_log_points, run_log_points_unskipped
+from runledger.sources.runlog import read_log_points, run_log_points, run_log_points_unskipped
 
 
 def one(spark, *cols):
@@ -155,6 +155,26 @@ def test_log_states(spark):
     assert [r.power for r in loose] == [5.0, 1.25, 8.0, 1.5, 1.75, 9.0]
 
 
+@pytest.mark.parametrize("size", [13, 40, 1 << 20])
+def test_logs_cut_anywhere(spark, tmp_path, size):
+    """Blocks of a few bytes: the section's state is carried from one to the next."""
+    late = "x\n" * 30 + LOG + " TRANSIENT RESULTS\n7 7.0 7 7.0\n"
+    logs = {"a.out": LOG, "b.out": "no results here\n", "c.out": LOG.replace("\n", "\r\n"), "d.out": late, "e.out": "", "f.out": LOG * 3,
+            "g.out": " TRANSIENT RESULTS\n"}
+    for name, text in logs.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for how in ({}, {"power_only": True}, {"end": "time breakdown", "end_anywhere": True}, {"end": "CPU time"}):
+            whole = run_log_points(spark.createDataFrame(list(logs.items()), "run_id string, text string"), ["run_id"], **how)
+            got = sorted(map(repr, read_log_points(spark, str(tmp_path), **how).collect()))
+            assert got == sorted(map(repr, whole.withColumn("line", F.col("line").cast("long")).collect())) and got
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_gain_fallbacks(spark):
     rows = [("one", 0.5, 10.0), ("zero", 0.00001, 1.0), ("zero", 0.00002, 2.0), ("good", 0.1, 1.0), ("good", 0.2, 2.0),
             ("good", 0.3, 3.0), ("poor", 0.1, 1.0), ("poor", 0.2, -2.0), ("poor", 0.3, 3.0), ("poor", 0.4, -4.0)]

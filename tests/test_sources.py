@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runledger import schemas
 from runledger.operators.scale import new_path, stage, work_dir
+from runledger.sources import manifest
 from runledger.sources import readers as R
 from runledger.sources import writers as W
 from runledger.streaming import results as Q
@@ -68,9 +69,78 @@ def test_completeness_bounds(spark):
 
 def test_latest_copy_is_replaced(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "case_id long, v string")
-    dated, latest = W.write_results_json(df, str(tmp_path / "r"), stamp="1")
-    W.write_results_json(df.where("case_id = 1"), str(tmp_path / "r"), stamp="2")
-    assert spark.read.json(dated).count() == 2 and spark.read.json(latest).count() == 1
+    folder = str(tmp_path / "r")
+    with pytest.raises(FileNotFoundError):
+        W.latest_results(spark, folder)
+    dated = W.write_results_json(df, folder, stamp="1")
+    W.write_results_json(df.where("case_id = 1"), folder, stamp="2")
+    assert spark.read.json(dated).count() == 2 and spark.read.json(W.latest_results(spark, folder)).count() == 1
+
+
+def test_latest_stays_while_the_next_set_is_written(spark, tmp_path, monkeypatch):
+    """A writer that is lost before its manifest, one that is lost inside it, and a retry under the same stamp."""
+    df, folder = spark.createDataFrame([(2, "b"), (1, "a")], "case_id long, v string"), str(tmp_path / "r")
+    first = W.write_results_json(df, folder, stamp="1")
+    with monkeypatch.context() as m:
+        m.setattr(manifest, "commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            W.write_results_json(df.where("case_id = 1"), folder, stamp="2")
+    assert W.latest_results(spark, folder) == first and spark.read.json(first).count() == 2
+    (tmp_path / "r" / "_manifests" / "000000000002.json").write_text('{"latest": "resul')
+    assert W.latest_results(spark, folder) == first
+    reader = spark.read.json(W.latest_results(spark, folder))
+    second = W.write_results_json(df.where("case_id = 1"), folder, stamp="1")
+    assert second != first and W.latest_results(spark, folder) == second
+    assert reader.count() == 2 and spark.read.json(second).count() == 1
+
+
+def test_a_batch_is_appended_once(spark, tmp_path, monkeypatch):
+    path, df = str(tmp_path / "t"), spark.range(5)
+    count = lambda: spark.read.option("header", True).csv(path).count()
+    W.append_results(df, path, batch="a")
+    W.append_results(df, path, batch="a")
+    assert count() == 5
+    true = manifest.delete
+    calls = []
+
+    def lost(spark, path):
+        """The driver goes away after the files are in place, before the mark."""
+        calls.append(path)
+        true(spark, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(manifest, "delete", lost)
+        W.append_results(df.repartition(3), path, batch="b")
+    true(spark, f"{path}/_batches/b")
+    assert count() == 10 and calls
+    W.append_results(df.repartition(2), path, batch="b")
+    assert count() == 10
+    W.append_results(df, path)
+    assert count() == 15
+    with pytest.raises(ValueError):
+        W.append_results(df, path, batch="a/b")
+
+
+def test_snapshots_change_in_one_step(spark, tmp_path, monkeypatch):
+    """Readers see the state before a batch or after it; batches that are done again and folded ones change nothing."""
+    monkeypatch.setattr(Q, "DELTAS", 2)
+    table, mark, by = str(tmp_path / "live"), str(tmp_path / "mark"), ["model"]
+    states = []
+    for n in range(5):
+        put(tmp_path / "in", f"{n}.jsonl", "\n".join(json.dumps({"model": f"m{n % 2}", "validation_success_5": n > 2}) for _ in range(n + 1)))
+        live = Q.stream_running_success(Q.stream_results(spark, str(tmp_path / "in")), by)
+        before = Q.read_snapshot(spark, table, by, live.schema)
+        if n == 3:
+            with monkeypatch.context() as m:
+                m.setattr(manifest, "commit", lambda *a: 1 / 0)
+                with pytest.raises(Exception):  # noqa: B017
+                    Q.snapshot_stream(live, by, table, mark).awaitTermination()
+            assert sorted(map(tuple, Q.read_snapshot(spark, table, by, live.schema).collect())) == states[-1]
+        Q.snapshot_stream(live, by, table, mark).awaitTermination()
+        assert sorted(map(tuple, before.collect())) == (states[-1] if states else [])
+        states.append(sorted(map(tuple, Q.read_snapshot(spark, table, by, live.schema).collect())))
+    assert states[-1] == [("m0", 9, 5, 5 / 9), ("m1", 6, 4, 4 / 6)] and states[0] == [("m0", 1, 0, 0.0)]
+    assert len([p for p in (tmp_path / "live").iterdir() if not p.name.startswith("_")]) <= 6
 
 
 def test_appending_keeps_earlier_rows(spark, tmp_path):
@@ -135,7 +205,7 @@ def test_latest_is_in_case_order(spark, tmp_path):
     df = spark.range(0, 120_000, 1, 12).select(F.col("id").alias("case_id"), F.lit("x" * 20).alias("model"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        _, latest = W.write_results_json(df.repartition(12), str(tmp_path), stamp="s")
+        latest = W.write_results_json(df.repartition(12), str(tmp_path), stamp="s")
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     from pathlib import Path
