@@ -47,18 +47,39 @@ def scheduled_command(cases: DataFrame, gains: dict[str, float] | DataFrame = SC
     return with_gain.withColumns(gain_command(F.col(init), F.col(target), F.col("Kp_used")))
 
 
+#: Cells are numbered within this bound; what lies beyond shares the outermost cell.
+CELLS = 1 << 60
+
+
+def _cell(value: Column, width: float) -> Column:
+    return F.greatest(F.least(F.floor(value / width), F.lit(CELLS)), F.lit(-CELLS))
+
+
+def listed_ranges(ranges: DataFrame, width: float) -> DataFrame:
+    """The ranges with (_level, _cell): the level's cells, of width * 2^level, are as wide as the range at least, so that it
+    touches one or two of them, whatever its length."""
+    first, last = _cell(F.col("lo"), width), _cell(F.col("hi"), width)
+    level = F.when(last > first, F.length(F.bin(last - first))).otherwise(0)
+    spans = ranges.where("lo < hi").withColumns({"_level": level.cast("int"), "_first": first, "_last": last})
+    up = lambda c: F.call_function("shiftright", F.col(c), F.col("_level"))
+    return spans.withColumn("_cell", F.explode(F.sequence(up("_first"), up("_last")))).drop("_first", "_last")
+
+
 def assign_range(samples: DataFrame, value: str, ranges: DataFrame, width: float, ids: list[str]) -> DataFrame:
     """Range join lo <= value < hi without comparing every pair.
 
-    Both sides are cut into cells of `width`: a range is listed once per cell it touches, a value has one cell,
-    and the cells are joined by equality. Exact for any width; choose it near the typical range size. The listed
+    Cells come in levels, each twice as wide as the one below, from `width` on. A range is listed in the level of its own length,
+    twice at most; a value looks up its cell in each level that some range is in, and cells are joined by equality. So one range
+    over everything costs a level, not a row for each cell. Exact for any width; choose it near the smallest ranges. The listed
     ranges are broadcast when they are few; otherwise a cell that many samples share is salted by `ids`.
     """
-    cells = F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))
-    listed = stage(ranges.select("*", F.explode(cells).alias("_cell")), "ranges")
-    placed = samples.withColumn("_cell", F.floor(F.col(value) / width))
+    listed = stage(listed_ranges(ranges, width), "ranges")
+    levels = sorted(r[0] for r in listed.select("_level").distinct().collect())  # 62 at most
+    own = F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))
+    placed = samples.select("*", own.alias("_level"))
+    placed = placed.withColumn("_cell", F.call_function("shiftright", _cell(F.col(value), width), F.col("_level")))
     inside = (F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))
-    return salted_join(placed, listed, ["_cell"], ids).where(inside).drop("_cell")
+    return salted_join(placed, listed, ["_level", "_cell"], ids).where(inside).drop("_level", "_cell")
 
 
 def assign_regime(samples: DataFrame, value: str, regimes: list[tuple[str, float, float]] = REGIMES,

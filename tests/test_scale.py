@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger.functions.hashing import order_hash
+from runledger.operators import joins as J
 from runledger.operators import report as R
 from runledger.operators import scale as S
 from runledger.operators import split as P
@@ -203,6 +204,19 @@ def test_range_join(joins, spark, table, frame):
     assert {(r.id, r.r) for r in got.select("id", "r").collect()} == want
 
 
+def test_one_range_over_everything_among_short_ones(joins, spark):
+    """Each range is listed twice at most, also one of a million cells, infinite ones and empty ones."""
+    short = [(i, i / 10, i / 10 + 0.05) for i in range(-200, 200)]
+    wide = [(1000, -1e5, 1e5), (1001, float("-inf"), 0.0), (1002, 3.0, float("inf")), (1003, 2.0, 2.0), (1004, 5.0, 4.0), (1005, None, 4.0),
+            (1006, -1e300, 1e300), (1007, 0.0, 1e-9)]
+    ranges = spark.createDataFrame(short + wide, "r int, lo double, hi double")
+    values = [(i, v) for i, v in enumerate([*np.random.default_rng(3).uniform(-25, 25, 400).tolist(), 0.0, 3.0, 1e5, -1e5, 1e299, -2e300, None])]
+    got = assign_range(spark.createDataFrame(values, "id int, x double"), "x", ranges, 0.1, ["id"])
+    want = {(i, r) for i, x in values for r, lo, hi in short + wide if x is not None and lo is not None and lo <= x < hi}
+    assert {(r.id, r.r) for r in got.select("id", "r").collect()} == want and got.count() == len(want)
+    assert J.listed_ranges(ranges, 0.1).groupBy("r").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_nearest_time(joins, spark):
     rows = [("hot", s, float(s), float((s * 7) % 101)) for s in range(500)] + [("short", s, float(s), 5.0 - s) for s in range(3)]
     trace = spark.createDataFrame(rows, "run_id string, step long, t double, power double")
