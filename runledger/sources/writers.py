@@ -67,13 +67,18 @@ def append_results(df: DataFrame, path: str, batch: str | None = None) -> None:
         if name.startswith(f"{batch}-"):
             manifest.delete(spark, f"{path}/{name}")
     writer.csv(staged)
-    fs, here = manifest.file_system(spark, staged)
-    for name in manifest.names(spark, staged):
-        if name.startswith("part-"):
-            path_of = spark._jvm.org.apache.hadoop.fs.Path
-            if not fs.rename(path_of(here, name), path_of(path, f"{batch}-{name}")):
-                raise OSError(f"{name} of batch {batch} cannot be moved to {path}")
+    move_files(spark, staged, path, batch)
+    fs, _ = manifest.file_system(spark, marks)
     fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(marks, batch))
+
+
+def move_files(spark: SparkSession, staged: str, folder: str, name: str) -> None:
+    """Move the data files of a staged folder into another, under `name`, and delete the rest of it."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs, here = manifest.file_system(spark, staged)
+    for file in manifest.names(spark, staged):
+        if file.startswith("part-") and not fs.rename(path_of(here, file), path_of(folder, f"{name}-{file}")):
+            raise OSError(f"{file} of {name} cannot be moved to {folder}")
     manifest.delete(spark, staged)
 
 

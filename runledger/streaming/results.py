@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from pyspark.sql.types import StructType
 
 from runledger import schemas
 from runledger.functions.derive import flag
+from runledger.operators.scale import stage
 from runledger.sources import manifest
 from runledger.sources.readers import json_records
-from runledger.sources.writers import write_results_json
+from runledger.sources.writers import move_files, write_results_json
+from runledger.streaming import keyindex
 
 #: Column of `stream_results` that can bound the state of streaming operators.
 FILE_TIME = "file_time"
@@ -65,21 +68,39 @@ def append_stream(results: DataFrame, table: str, checkpoint: str) -> StreamingQ
 def append_new(results: DataFrame, key: list[str], table: str, checkpoint: str) -> StreamingQuery:
     """As `append_stream`, but a case (its `key`, nulls being equal) is stored once, however far apart its repeats are.
 
-    Each batch is deduplicated and joined against the keys in `table`, so there is no state, and a batch that is done again
-    after a failure adds what is missing. Only one query may write to `table`, which must not be one of `append_stream`:
-    readers of those see no files but its own.
+    There is no state: a batch is deduplicated, and its keys are looked up in the table's key index (`keyindex`), of which it reads
+    the folders only that may hold one of them. Its files carry its name and count once a manifest says so: a batch that is done
+    again after a failure first removes what the failed attempt left. Rows that were in `table` before are indexed at the first
+    start. Only one query may write to `table`, which must not be one of `append_stream`: readers of those see no files but its own.
     """
     spark = results.sparkSession
     log = spark._jvm.org.apache.hadoop.fs.Path(table, "_spark_metadata")
     if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
         raise ValueError(f"{table} is written by append_stream")
     schema = results.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(table)
-
-    def add(batch: DataFrame, _: int) -> None:
-        stored = batch.sparkSession.read.schema(schema).parquet(table).select(*[F.col(k).alias(f"_{k}") for k in key])
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-        batch.dropDuplicates(key).join(stored, same, "left_anti").write.mode("append").parquet(table)
+    if manifest.current(spark, table) is None:
+        spark.createDataFrame([], schema).write.mode("append").parquet(table)
+        before = spark.read.schema(schema).parquet(table).dropDuplicates(key)
+        first = keyindex.write_run(before, key, table, "run-before")
+        manifest.commit(spark, table, {"done": {}, "runs": [first] if first else []})
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = manifest.current(spark, table)
+        if known["done"].get(query, -1) >= number:
+            return
+        name, staged = f"{query}.{number}", f"{table}/_staged-{query}.{number}"
+        for left in manifest.names(spark, table):
+            if left.startswith(f"{name}-"):
+                manifest.delete(spark, f"{table}/{left}")
+        asked = stage(batch.dropDuplicates(key), "batch")  # read for the look-up and for the rows
+        keyindex.without_known(asked, key, table, known["runs"]).write.mode("overwrite").parquet(staged)
+        run = keyindex.write_run(spark.read.schema(schema).parquet(staged), key, table, f"run-{name}")
+        move_files(spark, staged, table, name)
+        runs = keyindex.merged(spark, key, table, [*known["runs"], *([run] if run else [])], batch, f"merged-{name}")
+        manifest.commit(spark, table, {"done": {**known["done"], query: number}, "runs": runs})
+        manifest.forget_old(spark, table, lambda m: [f"{keyindex.FOLDER}/{r['name']}" for r in m.get("runs", [])])
 
     writer = results.writeStream.foreachBatch(add)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,6 +13,7 @@ from runledger.operators.scale import new_path, stage, work_dir
 from runledger.sources import manifest
 from runledger.sources import readers as R
 from runledger.sources import writers as W
+from runledger.streaming import keyindex
 from runledger.streaming import results as Q
 
 
@@ -100,19 +101,10 @@ def test_a_batch_is_appended_once(spark, tmp_path, monkeypatch):
     W.append_results(df, path, batch="a")
     W.append_results(df, path, batch="a")
     assert count() == 5
-    true = manifest.delete
-    calls = []
-
-    def lost(spark, path):
-        """The driver goes away after the files are in place, before the mark."""
-        calls.append(path)
-        true(spark, path)
-
-    with monkeypatch.context() as m:
-        m.setattr(manifest, "delete", lost)
-        W.append_results(df.repartition(3), path, batch="b")
-    true(spark, f"{path}/_batches/b")
-    assert count() == 10 and calls
+    W.append_results(df.repartition(3), path, batch="b")
+    # the driver went away after the files were in place, before the mark
+    manifest.delete(spark, f"{path}/_batches/b")
+    assert count() == 10
     W.append_results(df.repartition(2), path, batch="b")
     assert count() == 10
     W.append_results(df, path)
@@ -259,6 +251,56 @@ def test_a_batch_that_is_done_again_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
 
 
+def cases(spark, *ids):
+    return spark.createDataFrame([(i, f"m{i}" if i is None or i % 2 else None) for i in ids], "case_id long, model string")
+
+
+def test_a_batch_reads_the_key_folders_that_may_hold_its_keys(spark, tmp_path, monkeypatch):
+    table, key = str(tmp_path / "t"), ["model", "case_id"]
+    runs = [keyindex.write_run(cases(spark, *range(n * 1000, n * 1000 + 1000)), key, table, f"run-{n}") for n in range(3)]
+    runs.append(keyindex.write_run(cases(spark, None), key, table, "run-null"))
+    assert keyindex.write_run(cases(spark), key, table, "run-none") is None
+    assert len(keyindex.folders_with(cases(spark, 5, 1005), key, table, runs)) in (2, 3)
+    one = keyindex.folders_with(cases(spark, 1234), key, table, runs)
+    assert len(one) == 1 and "run-1" in one[0]
+    new = cases(spark, *range(10_000, 10_040))
+    assert len(keyindex.folders_with(new, key, table, runs)) <= 4
+    left = keyindex.without_known(cases(spark, None, 7, 2999, 3000, 3001), key, table, runs)
+    assert sorted(r.case_id for r in left.collect()) == [3000, 3001]
+    monkeypatch.setattr(keyindex, "MOST_RUNS", 2)
+    monkeypatch.setattr(keyindex, "BUCKET_ROWS", 100)
+    whole = keyindex.merged(spark, key, table, runs, new, "merged")
+    assert len(whole) == 1 and (whole[0]["rows"], whole[0]["buckets"]) == (3001, 31)
+    left = keyindex.without_known(cases(spark, None, 7, 2999, 3000, 3001), key, table, whole)
+    assert sorted(r.case_id for r in left.collect()) == [3000, 3001]
+
+
+def test_cases_count_once_when_batches_fail_between_steps(spark, tmp_path, monkeypatch):
+    """Failures after the files are in place, a table with rows from before, runs that are merged, and a second checkpoint."""
+    monkeypatch.setattr(keyindex, "MOST_RUNS", 1)
+    table, mark = str(tmp_path / "t"), str(tmp_path / "mark")
+    schema = Q.stream_results(spark, str(put(tmp_path / "in", "0.jsonl", json.dumps(rec(1))) or tmp_path / "in")).schema
+    spark.createDataFrame([(0, "old")], "case_id long, model string").write.parquet(table)
+    found = lambda: sorted(r.case_id for r in spark.read.schema(schema).parquet(table).collect())
+
+    def pump(mark):
+        Q.append_new(Q.stream_results(spark, str(tmp_path / "in")), ["case_id"], table, mark).awaitTermination()
+
+    want = {0, 1}
+    for n in range(1, 5):
+        put(tmp_path / "in", f"{n}.jsonl", "\n".join(json.dumps(rec(i)) for i in (0, n, n + 1, n + 1)))
+        want |= {n, n + 1}
+        if n == 2:
+            with monkeypatch.context() as m:
+                m.setattr(keyindex, "merged", lambda *a: 1 / 0)
+                with pytest.raises(Exception):  # noqa: B017
+                    pump(mark)
+        pump(mark)
+        assert found() == sorted(want)
+    pump(str(tmp_path / "other"))
+    assert found() == sorted(want)
+
+
 def test_new_cases_do_not_go_where_readers_miss_them(spark, tmp_path):
     put(tmp_path / "in", "a.jsonl", json.dumps(rec(1)))
     source = Q.stream_results(spark, str(tmp_path / "in"))
