@@ -149,3 +149,54 @@ def test_features_do_not_depend_on_the_batch():
     whole = quality.text_features(texts)
     assert np.isfinite(whole).all()
     assert np.allclose(whole, np.concatenate([quality.text_features([t]) for t in texts]))
+
+
+def test_quality_against_a_plain_minimiser(spark):
+    """Gradient descent on the same risk over all rows in one matrix, and the prior from every threshold in turn.
+
+    Like the Newton steps, it takes no step that puts the risk on negatives below zero, so both stop at that border.
+    """
+    sf = "/root/testdata/sf0.01"
+    rows = quality.featured(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    x, positive = (np.array(c) for c in zip(*[(r.x, r.positive) for r in rows.collect()], strict=True))
+    model = quality.train(rows)
+    assert np.allclose(model.mean, x.mean(0), rtol=1e-6, atol=1e-6)
+    z = np.clip((x - model.mean) / model.deviation, -5, 5)
+    a = np.hstack([np.ones((len(z), 1)), z, z ** 2 / 5])
+    ridge = np.r_[0.0, np.full(a.shape[1] - 1, quality.RIDGE)]
+    loss = lambda g: np.log1p(np.exp(-np.abs(g))) + np.maximum(-g, 0)
+    slope = lambda g: -1 / (1 + np.exp(g))
+
+    def risk(w, prior):
+        g = a @ w
+        negative = loss(-g).mean() - prior * loss(-g[positive]).mean()
+        return prior * loss(g[positive]).mean() + max(0.0, negative) + (ridge * w * w).sum() / 2, negative
+
+    def descend(prior):
+        w, step = np.zeros(a.shape[1]), 1.0
+        for _ in range(6000):
+            g = a @ w
+            own = prior * (slope(g[positive]) + slope(-g[positive]))
+            grad = a[positive].T @ own / positive.sum() - a.T @ slope(-g) / len(a) + ridge * w
+            here = risk(w, prior)[0]
+            while (tried := risk(w - step * grad, prior))[0] > here - step * (grad @ grad) / 2 or tried[1] < 0:
+                step /= 2
+                if step < 1e-12:
+                    return w
+            w, step = w - step * grad, step * 1.5
+        return w
+
+    first = descend(0.5)
+    score = 1 / (1 + np.exp(-(a @ first)))
+    best = 1.0
+    for t in np.arange(quality.BINS) / quality.BINS:
+        u, p = (score >= t).mean(), (score[positive] >= t).mean()
+        if (score[positive] >= t).sum() >= min(quality.LEAST_POSITIVES, positive.sum()):
+            best = min(best, (u + (u * (1 - u) / len(a)) ** 0.5 + (p * (1 - p) / positive.sum()) ** 0.5) / p)
+    assert model.prior == pytest.approx(best, abs=0.03)
+    reference = descend(model.prior)
+    found, least = risk(model.weights, model.prior), risk(reference, model.prior)
+    # the Newton steps stop earlier on the way to that border, and judge the rows alike
+    assert found[1] >= 0 and least[1] >= 0 and least[0] - 1e-6 <= found[0] < risk(np.zeros(a.shape[1]), model.prior)[0] - 0.05
+    threshold = np.log(0.3 / 0.7)
+    assert np.mean((a @ model.weights >= threshold) == (a @ reference >= threshold)) > 0.95

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -163,3 +164,29 @@ def test_mix_of_one_short_source_and_of_nothing(spark):
     rows = {r.row.doc_id: r.mix for r in mixing.mix(docs, ["doc_id"]).collect()}
     assert {i: m.target for i, m in rows.items()} == pytest.approx({1: 4 / 3, 2: 8 / 3, 3: 0.0}) and rows[3].copies == 0
     assert mixing.mix(empty(spark), ["doc_id"]).count() == 0
+
+
+def test_rates_against_bisection(spark):
+    """The rate of every document from a multiplier found by bisection, one source at a time, without the dual's derivatives."""
+    docs = table(spark, n=400, words=300)
+    own = defaultdict(list)
+    for r in mixing.mix(docs, ["doc_id"]).collect():
+        own[r.mix.source_size, r.mix.target].append(r.mix)
+
+    def rate(size, tilt):
+        base = max(0.25, min(1.0, size / 200))
+        odds = base / (3 - base) * math.exp(tilt)  # odds of a rate against the cap
+        return 3 * odds / (1 + odds)
+
+    solved = 0
+    for (source_size, target), mixes in own.items():
+        sizes = [m.size for m in mixes]
+        if not 0 < target < 3 * source_size * (1 - 1e-9):
+            continue
+        low, high = -30.0, 30.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(s * rate(s, middle) for s in sizes) < target else (low, middle)
+        assert [m.rate for m in mixes] == pytest.approx([rate(s, low) for s in sizes], rel=1e-5)
+        solved += 1
+    assert solved >= 3
