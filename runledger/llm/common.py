@@ -113,6 +113,71 @@ class SpanHash:
         return mix(raw + (np.asarray(end) - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_P = (1 << 61) - 1
+_PRIME = np.uint64(_P)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_1, _30, _31, _61 = (np.uint64(k) for k in (1, 30, 31, 61))
+#: Units that one vectorised step handles, which then stays in the cache.
+_STEP = 1 << 14
+_PRIME_BASE = 0x13198A2E03707344 % _P
+_prime_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2^61 - 1."""
+    x = (x & _PRIME) + (x >> _61)
+    return np.minimum(x, x - _PRIME)  # below the prime the difference wraps to a large number
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for a and b below it."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a0 * b1 + a1 * b0
+    return _reduced(((a1 * b1) << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+
+
+def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2^61 - 1."""
+    if len(_prime_powers[0]) < n:
+        size = 1 << int(n - 1).bit_length()
+        for k, b in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, _P))):
+            made = np.ones(1, np.uint64)
+            while len(made) < size:  # the powers up to twice as far are those known times one more
+                made = np.concatenate([made, _times(made, np.full(len(made), pow(b, len(made), _P), np.uint64))])
+            _prime_powers[k] = made
+    return _prime_powers[0][:n], _prime_powers[1][:n]
+
+
+class PrimeSpans:
+    """As `SpanHash`, by a polynomial modulo the prime 2^61 - 1.
+
+    Modulo 2^64 every two complementary Thue-Morse strings of 1,024 symbols collide; modulo a prime a polynomial of degree n has
+    at most n roots, so no structure of two texts makes them equal for more than n in 2^61 bases.
+    """
+
+    def __init__(self, values: np.ndarray):
+        powers, self._back = _prime_tables(len(values) + 1)
+        self._sums = np.zeros(len(values) + 1, np.uint64)
+        last = np.uint64(0)
+        for at in range(0, len(values), _STEP):
+            own = _reduced(_reduced(values[at:at + _STEP].astype(np.uint64)) + _1)
+            terms = _times(own, powers[at:at + len(own)])
+            # the sums of the lower and upper halves of a step stay below 2^50
+            low, high = np.cumsum(terms & _LOW31), np.cumsum(terms >> _31)
+            sums = _reduced(((high & _LOW30) << _31) + (high >> _30) + low + last)
+            self._sums[at + 1:at + 1 + len(own)] = sums
+            last = sums[-1]
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        start, end = np.asarray(start), np.asarray(end)
+        out = np.empty(len(start), np.uint64)
+        for at in range(0, len(start), _STEP):
+            a, b = start[at:at + _STEP], end[at:at + _STEP]
+            raw = _times(_reduced(self._sums[b] + (_PRIME - self._sums[a])), self._back[a])
+            out[at:at + _STEP] = mix(raw + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return out
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -120,7 +185,8 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 class Words:
     """Words of several UTF-8 texts: start and end in `data`, number of the text, hash; `first[i]` is text i's first word."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], spans=SpanHash):
+        self.spans = spans
         self.data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
         self.offsets = np.cumsum([1, *[len(t) + 1 for t in texts]])
         space = _IS_SPACE[self.data]
@@ -128,7 +194,7 @@ class Words:
         self.end = np.flatnonzero(~space[:-1] & space[1:]) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.hash = SpanHash(self.data)(self.start, self.end)
+        self.hash = spans(self.data)(self.start, self.end)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of all runs of k words of one text."""
@@ -136,4 +202,4 @@ class Words:
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[:n] == self.text[k - 1:])
-        return at, SpanHash(self.hash)(at, at + k)
+        return at, self.spans(self.hash)(at, at + k)

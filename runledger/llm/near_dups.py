@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import Words, column_bytes, mix, staged, texts_in_steps
+from runledger.llm.common import PrimeSpans, Words, column_bytes, mix, staged, texts_in_steps
 from runledger.llm.components import components
 
 #: A signature has CHUNKS chunks of WIDTH symbols of 16 bits. Two signatures with at most 2 * CHUNKS - 1 symbols that differ
@@ -33,7 +33,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 
     Letters A to Z are lower-cased. A text with fewer than k words has its whole sequence as one shingle, without words none.
     """
-    words = Words([t.lower() for t in texts])
+    words = Words([t.lower() for t in texts], PrimeSpans)
     at, grams = words.grams(k)
     owner = words.text[at]
     count = np.diff(words.first)
@@ -276,16 +276,17 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **how)
     """The rows of `docs` that their near-duplicate component keeps; of rows that repeat id and text one, of rows without an id all.
 
     Texts that share an id are judged each by itself. Where ids repeat so, rows are numbered in the order of (id, text hash) and
-    the numbers take the place of the ids.
+    the numbers take the place of the ids. The other columns stay in a struct beside the operator's own, so that no name clashes.
     """
-    known = docs.where(docs[id].isNotNull()).withColumn("_hash", F.xxhash64(F.col(text)))
-    names = staged(known.select(id, "_hash").distinct(), "names")
-    row = id
-    if not names.groupBy(id).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        row = "_row"
-        numbered = staged(names.orderBy(id, "_hash").withColumn(row, F.monotonically_increasing_id()), "numbered")
-        known = staged(known.join(numbered, [id, "_hash"]), "named-rows")
-    kept = near_duplicates(known, id=row, text=text, **how).where("kept").select(F.col(row).alias("_kept")).distinct()
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    known = docs.where(docs[id].isNotNull()).select(columns.alias("row"), F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    names = staged(known.select("id", "hash").distinct(), "names")
+    key = "id"
+    if not names.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        key = "number"
+        numbered = staged(names.orderBy("id", "hash").withColumn(key, F.monotonically_increasing_id()), "numbered")
+        known = staged(known.join(numbered, ["id", "hash"]), "named-rows")
+    kept = near_duplicates(known, id=key, text="text", **how).where("kept").select(F.col(key).alias("kept")).distinct()
     kept = staged(kept, "kept")
-    with_id = known.dropDuplicates([row]).join(kept, known[row] == kept["_kept"], "left_semi").select(*docs.columns)
-    return with_id.unionByName(docs.where(docs[id].isNull()))
+    once = known.select("row", key).dropDuplicates([key])
+    return once.join(kept, once[key] == kept["kept"], "left_semi").select("row.*").unionByName(docs.where(docs[id].isNull()))

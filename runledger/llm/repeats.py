@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import SpanHash, Words, column_bytes, mix, staged, texts_in_steps
+from runledger.llm.common import PrimeSpans, Words, column_bytes, mix, staged, texts_in_steps
 
 #: Bytes of text that one vectorised step handles.
 STEP_BYTES = 1_500_000
@@ -30,12 +30,12 @@ class Units:
 
     def __init__(self, texts: list[bytes], of_words: bool):
         if of_words:
-            words = Words(texts)
-            self.spans, self.first, self.words = SpanHash(words.hash), words.first[:-1], words
+            words = Words(texts, PrimeSpans)
+            self.spans, self.first, self.words = PrimeSpans(words.hash), words.first[:-1], words
             self.count = np.diff(words.first)
         else:
             data = np.frombuffer(b"".join(texts), np.uint8)
-            self.spans, self.count = SpanHash(data), np.array([len(t) for t in texts], np.int64)
+            self.spans, self.count = PrimeSpans(data), np.array([len(t) for t in texts], np.int64)
             self.first = np.cumsum(self.count) - self.count
 
 

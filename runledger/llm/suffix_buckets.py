@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import SpanHash, staged
+from runledger.llm.common import PrimeSpans, staged
 from runledger.llm.repeats import Unit, covered, named, of_pieces, pieces, with_removed
 
 #: Bytes of the initial buckets' q-grams.
@@ -54,7 +54,7 @@ def refine(data: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.nda
         return at[several]
 
     live = np.flatnonzero(left >= depth)
-    live = regroup(live, SpanHash(flat)(live, live + depth))
+    live = regroup(live, PrimeSpans(flat)(live, live + depth))
     while depth < span and len(live):
         step = min(depth, span - depth)
         live = live[left[live] >= depth + step]

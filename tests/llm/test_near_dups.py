@@ -97,6 +97,16 @@ def test_one_of_each(spark):
     assert kept.where("doc_id is null").count() == docs.where("doc_id is null").count()
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+def test_columns_named_like_the_operators_own(spark, repeat):
+    names = ["_hash", "hash", "_row", "number", "kept", "label", "key", "node", "n", "set_a"]
+    rows = [(i, f"text of its own {i} " * 3, *[f"{c}{i}" for c in names]) for i in range(8)]
+    rows += [(3, "another text under this id", *names)] if repeat else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = near_dups.one_of_each(docs, k=5)
+    assert got.schema == docs.schema and sorted(map(tuple, got.collect())) == sorted(rows)
+
+
 def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
     rnd = random.Random(5)
     texts = [" ".join(f"{t}w{j}" for j in range(60)) for t in range(12)]
