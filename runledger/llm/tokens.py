@@ -1,14 +1,17 @@
 """Byte-level BPE over batches of texts: pre-tokens by vectorised rules, token counts by rank-synchronous merging.
 
 A pre-token is what the published pattern of the vocabulary matches (contractions, an optional blank with letters, digits or
-other signs, white space). Merges never cross pre-tokens, so equal pre-tokens are merged once per worker and remembered.
+other signs, white space). Merges never cross pre-tokens, so equal pre-tokens are merged once per worker and remembered. Two are
+equal if their signs are; hashes only say which to compare.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -19,6 +22,8 @@ _EDGE = 0x110000
 _SPACE, _LETTER, _DIGIT, _SIGN = 1, 2, 3, 4
 #: Pre-tokens remembered by a worker; beyond, it starts afresh (results stay the same).
 REMEMBERED = 500_000
+#: Texts that the library encodes in one call; its results take some hundred bytes each until they are read.
+AT_ONCE = 8_192
 
 
 @lru_cache(1)
@@ -28,12 +33,15 @@ def _classes() -> np.ndarray:
     from tokenizers.pre_tokenizers import Split
 
     points = np.array([i for i in range(_EDGE) if not 0xD800 <= i < 0xE000])
-    every = points.astype(np.uint32).tobytes().decode("utf-32-le")
+    # in parts: the library counts signs from the start of the text for every piece that it gives
+    parts = [(at, points[at:at + 512].astype(np.uint32).tobytes().decode("utf-32-le")) for at in range(0, len(points), 512)]
     table = np.full(_EDGE + 1, _SIGN, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
         matched = np.ones(len(points), bool)
-        for _, (start, end) in Split(Regex(pattern), "removed").pre_tokenize_str(every):
-            matched[start:end] = False
+        split = Split(Regex(pattern), "removed")
+        for at, part in parts:
+            for _, (start, end) in split.pre_tokenize_str(part):
+                matched[at + start:at + end] = False
         table[points[matched]] = kind
     table[_EDGE] = 0
     return table
@@ -71,27 +79,92 @@ class Pretokens:
         self.text = np.searchsorted(ends, self.start, side="right")
         self.hash = SpanHash(p)(self.start, self.end)
 
-    def string(self, i: int) -> str:
-        return self.points[self.start[i]:self.end[i]].tobytes().decode("utf-32-le")
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """First occurrence of each distinct pre-token, and the number of its kind for every occurrence.
+
+        Kinds are found by hash and compared as strings: an occurrence that differs from the first of its hash gets a kind of its
+        own, behind the others.
+        """
+        _, first, kind = np.unique(self.hash, return_index=True, return_inverse=True)
+        size, lead = self.end - self.start, first[kind]
+        other = np.flatnonzero(~same_strings(self.points, self.start, size, self.points, self.start[lead], size[lead]))
+        if len(other):
+            found: dict[bytes, int] = {}
+            for i in other.tolist():
+                kind[i] = found.setdefault(self.points[self.start[i]:self.end[i]].tobytes(), len(first) + len(found))
+            own = np.zeros(len(found), np.int64)
+            own[kind[other[::-1]] - len(first)] = other[::-1]
+            first = np.concatenate([first, own])
+        return first, kind
+
+    def cut(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signs of some pre-tokens one after the other, and their sizes."""
+        size = (self.end - self.start)[which]
+        ends = np.cumsum(size)
+        return self.points[np.arange(int(size.sum())) + np.repeat(self.start[which] - (ends - size), size)], size
+
+    def strings(self, which: np.ndarray) -> list[str]:
+        signs, size = self.cut(which)
+        text, ends = signs.tobytes().decode("utf-32-le"), np.cumsum(size)
+        return [text[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+
+
+#: Signs of two strings that are compared for all strings at once; what is longer is compared one by one.
+COMPARED = 32
+
+
+def same_strings(p: np.ndarray, at: np.ndarray, size: np.ndarray, q: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether p[at:at + size] and q[other:other + other_size] hold the same signs."""
+    same = size == other_size
+    live = np.flatnonzero(same & ((at != other) | (p is not q)))
+    for j in range(COMPARED):
+        live = live[size[live] > j]
+        if not len(live):
+            return same
+        equal = p[at[live] + j] == q[other[live] + j]
+        if not equal.all():
+            same[live[~equal]] = False
+            live = live[equal]
+    for i in live[size[live] > COMPARED].tolist():
+        same[i] = np.array_equal(p[at[i]:at[i] + size[i]], q[other[i]:other[i] + size[i]])
+    return same
 
 
 class Memory:
-    """Sorted hashes of known pre-tokens, each with a number."""
+    """Known pre-tokens, each with a number. They are looked up by hash and compared as strings."""
 
     def __init__(self):
-        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.numbers, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.points, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of the keys, -1 where unknown."""
+    def find(self, pre: Pretokens, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each pre-token, -1 where unknown, and whether its hash is not in use."""
+        keys = pre.hash[which]
         if not len(self.keys):
-            return np.full(len(keys), -1)
+            return np.full(len(keys), -1), np.ones(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.numbers[at], -1)
-
-    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
-        keys, numbers = np.concatenate([self.keys, keys]), np.concatenate([self.numbers, numbers])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.numbers = keys[order], numbers[order]
+        hit = np.flatnonzero(self.keys[at] == keys)
+        place = self.places[at[hit]]
+        own = which[hit]
+        same = same_strings(pre.points, pre.start[own], (pre.end - pre.start)[own], self.points, self.starts[place], self.sizes[place])
+        numbers, free = np.full(len(keys), -1), np.ones(len(keys), bool)
+        numbers[hit[same]] = self.numbers[at[hit[same]]]
+        free[hit] = False
+        return numbers, free
+
+    def add(self, pre: Pretokens, which: np.ndarray, numbers: np.ndarray) -> None:
+        """Remember pre-tokens; of those with one hash only the first."""
+        keys, first = np.unique(pre.hash[which], return_index=True)
+        signs, size = pre.cut(which[first])
+        places = len(self.sizes) + np.arange(len(first))
+        self.starts = np.concatenate([self.starts, len(self.points) + np.cumsum(size) - size])
+        self.points, self.sizes = np.concatenate([self.points, signs]), np.concatenate([self.sizes, size])
+        # both halves are sorted: a stable sort merges them
+        merged = np.concatenate([self.keys, keys])
+        order = np.argsort(merged, kind="stable")
+        self.keys = merged[order]
+        self.numbers = np.concatenate([self.numbers, numbers[first]])[order]
+        self.places = np.concatenate([self.places, places])[order]
 
 
 class Merges:
@@ -155,15 +228,16 @@ class Merges:
             parts += pieces
             owner += [i] * len(pieces)
         pre = Pretokens(parts)
-        keys, first, inverse = np.unique(pre.hash, return_index=True, return_inverse=True)
-        n = self.known.find(keys)
+        first, kind = pre.kinds()
+        n, free = self.known.find(pre, first)
         new = np.flatnonzero(n < 0)
         if len(new):
-            n[new] = self.count([pre.string(i).encode() for i in first[new]])
+            n[new] = self.count([t.encode() for t in pre.strings(first[new])])
             if len(self.known.keys) + len(new) > REMEMBERED:
-                self.known = Memory()
-            self.known.add(keys[new], n[new])
-        sums = np.bincount(np.array(owner)[pre.text], weights=n[inverse], minlength=len(texts)) if len(pre.text) else 0
+                self.known, free[:] = Memory(), True
+            fresh = new[free[new]]
+            self.known.add(pre, first[fresh], n[fresh])
+        sums = np.bincount(np.array(owner)[pre.text], weights=n[kind], minlength=len(texts)) if len(pre.text) else 0
         return extra + np.asarray(sums, np.int64)
 
 
@@ -181,6 +255,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core; threads of the library would cost memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -191,8 +267,14 @@ class Encoder:
     def _forget(self) -> None:
         self.known, self.ids, self.offsets = Memory(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and how many each has."""
+        made, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), AT_ONCE):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + AT_ONCE], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            made.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(made), np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]
@@ -200,26 +282,31 @@ class Encoder:
         for i in whole:
             plain[i] = ""
         pre = Pretokens(plain)
-        keys, first, inverse = np.unique(pre.hash, return_index=True, return_inverse=True)
-        if len(self.known.keys) + len(keys) > REMEMBERED:
-            self._forget()
-        number = self.known.find(keys)
+        first, kind = pre.kinds()
+        number, free = self.known.find(pre, first)
         new = np.flatnonzero(number < 0)
+        if len(self.known.keys) + len(new) > REMEMBERED and len(self.known.keys):
+            self._forget()
+            number[:], free[:] = -1, True
+            new = np.arange(len(first))
         if len(new):
-            made = self.library([pre.string(i) for i in first[new]])
+            made, sizes = self.library(pre.strings(first[new]))
             number[new] = len(self.offsets) - 1 + np.arange(len(new))
-            self.ids = np.concatenate([self.ids, *made])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(m) for m in made])])
-            self.known.add(keys[new], number[new])
-        number = number[inverse]
+            self.ids = np.concatenate([self.ids, made])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+            fresh = new[free[new]]
+            self.known.add(pre, first[fresh], number[fresh])
+        number = number[kind]
         size = self.offsets[number + 1] - self.offsets[number]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.arange(total) + np.repeat(self.offsets[number] - (ends - size), size)]
         per_text = np.bincount(pre.text, weights=size, minlength=len(texts)).astype(np.int64) if total else np.zeros(len(texts), np.int64)
         out = np.split(flat, np.cumsum(per_text)[:-1])
-        for i, ids in zip(whole, self.library([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = ids
+        if whole:
+            made, sizes = self.library([texts[i] for i in whole])
+            for i, ids in zip(whole, np.split(made, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = ids
         return out
 
 
