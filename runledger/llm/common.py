@@ -36,11 +36,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: its rows are fixed and its lineage is cut."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of whole texts that go to a Python worker at once, and of narrow rows what Spark's default says.
+TEXTS_AT_ONCE = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, label: str, of_texts: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: its rows are fixed and its lineage is cut.
+
+    With `of_texts`, Arrow batches on the way are TEXTS_AT_ONCE rows, which are held in the executor and in its worker.
+    """
+    spark = df.sparkSession
+    path, before = new_folder(spark, label), spark.conf.get(_BATCH)
+    if of_texts:
+        spark.conf.set(_BATCH, str(TEXTS_AT_ONCE))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits(table: DataFrame, most_bytes: int, most_rows: int) -> bool:
@@ -141,9 +155,12 @@ def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_prime_powers[0]) < n:
         size = 1 << int(n - 1).bit_length()
         for k, b in enumerate((_PRIME_BASE, pow(_PRIME_BASE, -1, _P))):
-            made = np.ones(1, np.uint64)
-            while len(made) < size:  # the powers up to twice as far are those known times one more
-                made = np.concatenate([made, _times(made, np.full(len(made), pow(b, len(made), _P), np.uint64))])
+            made, known = np.ones(size, np.uint64), 1
+            while known < size:  # the powers up to twice as far are those known times one more
+                for at in range(0, known, _STEP):
+                    own = made[at:min(at + _STEP, known)]
+                    made[known + at:known + at + len(own)] = _times(own, np.full(len(own), pow(b, known, _P), np.uint64))
+                known *= 2
             _prime_powers[k] = made
     return _prime_powers[0][:n], _prime_powers[1][:n]
 

@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
     several labels (parts of components) go on. What is left after STARS rounds is compared pair by pair inside the buckets, so
     that no link between components is lost and no group gives all its pairs as rows.
     """
-    rows = staged(_prints(docs, k, id, text), "prints")
+    rows = staged(_prints(docs, k, id, text), "prints", of_texts=True)
     known = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n", "signature")).alias("p")).select("id", "p.*")
     sets_of = known.where("n > 0")
     nodes = staged(sets_of.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("node"), F.min("signature").alias("signature")), "nodes")
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = staged(keyed.join(shared, "key"), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "set_a", "set_b")
-    sets = staged(_sets(docs, wanted, k, id, text), "sets")
+    sets = staged(_sets(docs, wanted, k, id, text), "sets", of_texts=True)
 
     links, labels = None, None
     for turn in range(STARS + 1):
