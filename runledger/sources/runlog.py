@@ -49,17 +49,19 @@ def run_log_points(df: DataFrame, ids: list[str], text: str = "text", end: str =
         _positions("_lines", lambda s: F.contains(s, F.lit(RESULTS_HEADER))).alias("_seen"),
         _positions("_lines", is_end).alias("_ends"),
     )
-    bordered = _sections(marked, "int").select(*ids, "_lines", F.explode("_sections").alias("_s"))
-    return _points(bordered.select(*ids, "_lines", F.col("_s.start").alias("_start"), F.col("_s.end").alias("_end")), ids, power_only)
+    marked, stop, sections = _sections(marked, "int")
+    bordered = marked.select(*ids, "_lines", stop.alias("_stop"), F.explode(sections).alias("_s"))
+    bordered = bordered.select(*ids, "_lines", F.col("_s.start").alias("_start"), F.least("_s.end", "_stop").alias("_end"))
+    return _points(bordered, ids, power_only)
 
 
 def _end_test(end: str, anywhere: bool):
     return (lambda s: F.contains(s, F.lit(end))) if anywhere else (lambda s: F.startswith(F.ltrim(s), F.lit(end)))
 
 
-def _sections(marked: DataFrame, kind: str) -> DataFrame:
-    """Adds `_sections`, the borders (start, end) of each section, from the sorted line numbers `_seen` of headers and `_ends` of
-    end markers and the number `_size` of lines."""
+def _sections(marked: DataFrame, kind: str) -> tuple[DataFrame, Column, Column]:
+    """The table with the accepted headers, the line that ends the log, and the borders (start, end) of each section, from the
+    sorted line numbers `_seen` of headers and `_ends` of end markers and the number `_size` of lines."""
     skip = SKIPPED_AFTER_HEADER
     headers = F.aggregate(
         "_seen",
@@ -71,9 +73,9 @@ def _sections(marked: DataFrame, kind: str) -> DataFrame:
     marked = marked.withColumn("_headers", headers)
     opened = lambda i: F.array_max(F.filter("_headers", lambda h: h <= i)) + skip
     stop = F.array_min(F.filter("_ends", lambda i: F.coalesce(i > opened(i), F.lit(False))))
-    marked = marked.withColumn("_stop", stop)
-    return marked.withColumn("_sections", F.transform("_headers", lambda h, k: F.struct(
-        (h + 1 + skip).alias("start"), F.least(F.coalesce(F.get("_headers", k + 1), F.col("_size")), F.col("_stop")).alias("end"))))
+    sections = F.transform("_headers", lambda h, k: F.struct(
+        (h + 1 + skip).alias("start"), F.coalesce(F.get("_headers", k + 1), F.col("_size")).alias("end")))
+    return marked, stop, sections
 
 
 def read_log_points(spark: SparkSession, path: str, end: str = RESULTS_END, end_anywhere: bool = False,
@@ -102,14 +104,16 @@ def read_log_points(spark: SparkSession, path: str, end: str = RESULTS_END, end_
     of_files = placed.groupBy("file").agg(
         F.sum("n").alias("_size"), F.array_sort(F.flatten(F.collect_list(number("header")))).alias("_seen"),
         F.array_sort(F.flatten(F.collect_list(number("end")))).alias("_ends"))
-    sections = _sections(of_files, "bigint").select("file", "_sections").where(F.size("_sections") > 0)
+    of_files, stop, sections = _sections(of_files, "bigint")
+    sections = of_files.select("file", stop.alias("_stop"), sections.alias("_sections")).where(F.size("_sections") > 0)
     from_line, to_line = F.col("before") + F.col("first"), F.col("before") + F.col("last")
     inside = placed.join(sections, "file").withColumn(
         "_own", F.filter("_sections", lambda s: (s["start"] <= to_line) & (s["end"] > from_line)))
-    inside = stage(inside.where(F.size("_own") > 0).select("file", "block", "before", "_own"), "log-sections")
+    inside = inside.withColumn("_stop", F.coalesce("_stop", F.lit(1 << 62)))
+    inside = stage(inside.where(F.size("_own") > 0).select("file", "block", "before", "_stop", "_own"), "log-sections")
     points = lines.select("file", "block", "at", _point(line, power_only).alias("_p")).where("_p.power is not null")
     kept = points.join(inside, ["file", "block"]).withColumn("line", F.col("at") + F.col("before"))
-    kept = kept.where(F.exists("_own", lambda s: (s["start"] <= F.col("line")) & (F.col("line") < s["end"])))
+    kept = kept.where(F.col("line") < F.col("_stop")).where(F.exists("_own", lambda s: (s["start"] <= F.col("line")) & (F.col("line") < s["end"])))
     name = F.element_at(F.split("file", "/"), -2 if by_folder else -1)
     return kept.select(name.alias("run_id"), "line", F.col("_p.t").alias("t"), F.col("_p.power").alias("power"))
 
