@@ -312,13 +312,14 @@ def salted_join(big: DataFrame, staged: DataFrame, on: list[str], salt_from: lis
     """Inner join with a staged table of one row per key.
 
     Broadcast when the staged table is small. Otherwise it is repeated `salts` times and the rows of a hot key
-    spread over as many tasks by the hash of `salt_from`, which should differ between the rows of a key.
+    spread over as many tasks by the hash of `salt_from`, which should differ between the rows of a key. That join is a
+    shuffle join by hint: the optimizer's size of the repeated table leaves the repeats out, so it would broadcast it.
     """
     if fits_broadcast(staged):
         return big.join(F.broadcast(staged), on)
     repeated = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int")
-    return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"]).drop("_salt")
+    return big.withColumn("_salt", salt).join(repeated.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
 def merged_with_stats(values: DataFrame, staged: DataFrame) -> DataFrame:

@@ -397,3 +397,13 @@ def test_buckets_are_monotone(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
     found = {repr(r.v): r._b for r in buckets(df, ["v"])}
     assert [found[repr(v)] for v in [None, *values, float("nan")]] == sorted(found.values())
+
+
+def test_a_repeated_table_is_not_broadcast(spark, monkeypatch):
+    """Its planned size leaves out that every row is there once for each salt."""
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 2)
+    few = S.stage(spark.range(50).select("id", (F.col("id") % 7).alias("n")), "few")
+    joined = S.salted_join(spark.range(1000).select((F.col("id") % 60).alias("id"), F.col("id").alias("row")), few, ["id"], ["row"])
+    got = joined.toPandas()
+    assert "Broadcast" not in joined._jdf.queryExecution().toString()
+    assert sorted(got["row"]) == [r for r in range(1000) if r % 60 < 50] and (got["n"] == got["id"] % 7).all()
