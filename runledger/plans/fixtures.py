@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.operators.report import score_runs
-from runledger.operators.scale import ordered_rank, spread
+from runledger.operators.scale import ordered_rank, spread, stage
 from runledger.schemas import COMMAND_STRUCT
 
 COMMAND = [f.name for f in COMMAND_STRUCT.fields]
@@ -166,11 +166,16 @@ fitted AS (SELECT regime, n_samples, {r("CASE WHEN n_used < 2 THEN 355e-1 WHEN r
     ELSE 'median_ratio (low R^2)' END AS method, 'ok' AS status FROM fits)"""
 
 def few_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All samples, moved into one regime but for one sample of another; four regimes are empty."""
+    """All samples, moved into one regime but for one sample of another; four regimes are empty.
+
+    Calibration samples are a stored table; here they are derived, so they are written before they are read several times. The
+    optimizer would otherwise put the comparison of the id and the sine into every condition on `power_delta`. The id, of which
+    no reader asks, is not written.
+    """
     first = F.col("sample_id") == table(spark, sf_dir, "lineitem").agg(F.min(F.concat_ws("-", *[
         F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))).scalar()
     moved = F.when(first, -0.5).otherwise(0.2 + 0.0999 * F.sin("power_delta"))
-    return calib(spark, sf_dir).withColumn("power_delta", moved)
+    return stage(calib(spark, sf_dir).withColumn("power_delta", moved).drop("sample_id"), "few-regimes")
 
 
 FEW_SQL = CALIB_SQL.replace("calib AS", "wide AS") + """,
