@@ -98,12 +98,12 @@ def results_enveloped(spark, sf):
     return _shown(R.read_results_enveloped(spark, f"{path}/*"))
 
 
-def _write_lines(df: DataFrame, path: str) -> None:
+def _write_lines(df: DataFrame, path: str, compression: str = "none") -> None:
     """JSON lines; every 50th record is followed by a blank and a cut-off line."""
     good = F.to_json(F.struct(*df.columns))
     damaged = F.when(F.col("case_id") % 50 == 0, F.array(good, F.lit(""), F.concat(
         F.lit('{"case_id": '), F.col("case_id").cast("string"), F.lit(', "mod')))).otherwise(F.array(good))
-    df.select(F.explode(damaged).alias("value")).write.text(path)
+    df.select(F.explode(damaged).alias("value")).write.text(path, compression=compression)
 
 
 @query("src_04_results_jsonl", with_scored(RECORDS_SQL))
@@ -286,11 +286,11 @@ def failed_sims(spark, sf):
 
 
 def _drop_zone(spark, sf) -> str:
-    """A folder of JSON lines as two runs of the same suite leave it: the second one repeats some cases."""
+    """A folder of JSON lines as two runs of the same suite leave it, zipped: the second one repeats some cases."""
     folder = new_path(spark, "drop")
     df = records(spark, sf)
-    _write_lines(df.where("case_id % 3 <> 0"), f"{folder}/first")
-    _write_lines(df.where("case_id % 3 = 0 OR case_id % 5 = 0"), f"{folder}/second")
+    _write_lines(df.where("case_id % 3 <> 0"), f"{folder}/first", "gzip")
+    _write_lines(df.where("case_id % 3 = 0 OR case_id % 5 = 0"), f"{folder}/second", "gzip")
     return folder
 
 

@@ -70,7 +70,7 @@ def folders_with(keys: DataFrame, key: list[str], table: str, runs: list[dict])
 
 
 def without_known(rows: DataFrame, key: list[str], table: str, runs: list[dict]) -> DataFrame:
-    """The rows whose key no run holds; nulls in a key are equal to each other."""
+    """The rows whose key no run holds, `rows` itself where no folder has to be read; nulls in a key are equal to each other."""
     folders = folders_with(rows, key, table, runs)
     if not folders:
         return rows

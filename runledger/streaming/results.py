@@ -12,7 +12,6 @@ from pyspark.sql.types import StructType
 
 from runledger import schemas
 from runledger.functions.derive import flag
-from runledger.operators.scale import stage
 from runledger.sources import manifest
 from runledger.sources.readers import json_records
 from runledger.sources.writers import move_files, write_results_json
@@ -94,8 +93,13 @@ def append_new(results: DataFrame, key: list[str], table: str, checkpoint: str)
         for left in manifest.names(spark, table):
             if left.startswith(f"{name}-"):
                 manifest.delete(spark, f"{table}/{left}")
-        asked = stage(batch.dropDuplicates(key), "batch")  # read for the look-up and for the rows
-        keyindex.without_known(asked, key, table, known["runs"]).write.mode("overwrite").parquet(staged)
+        batch.dropDuplicates(key).write.mode("overwrite").parquet(staged)
+        asked = spark.read.schema(schema).parquet(staged)
+        new = keyindex.without_known(asked, key, table, known["runs"])
+        if new is not asked:  # else no key can be known, and the rows stay as they are written
+            new.write.mode("overwrite").parquet(f"{staged}-new")
+            manifest.delete(spark, staged)
+            staged = f"{staged}-new"
         run = keyindex.write_run(spark.read.schema(schema).parquet(staged), key, table, f"run-{name}")
         move_files(spark, staged, table, name)
         runs = keyindex.merged(spark, key, table, [*known["runs"], *([run] if run else [])], batch, f"merged-{name}")

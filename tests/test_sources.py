@@ -4,6 +4,7 @@ import json
 import os
 import time
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +308,16 @@ def test_new_cases_do_not_go_where_readers_miss_them(spark, tmp_path):
     Q.append_stream(source, str(tmp_path / "s"), str(tmp_path / "m")).awaitTermination()
     with pytest.raises(ValueError, match="append_stream"):
         Q.append_new(source, ["case_id"], str(tmp_path / "s"), str(tmp_path / "m2"))
+
+
+def test_a_batch_of_new_cases_is_written_once(spark, tmp_path):
+    """Its rows are staged in the table only; one that may hold known cases is staged there again without them."""
+    table, mark = str(tmp_path / "t"), str(tmp_path / "mark")
+    shared = Path(work_dir(spark)) / "runledger"
+    before = set(shared.glob("batch-*"))
+    for n, ids in enumerate([(1, 2, 2, None), (2, 3, None)]):
+        put(tmp_path / "in", f"{n}.jsonl", "\n".join(json.dumps({"case_id": i}) for i in ids))
+        Q.append_new(Q.stream_results(spark, str(tmp_path / "in")), ["case_id"], table, mark).awaitTermination()
+    found = [r.case_id for r in spark.read.schema(schemas.RESULTS).parquet(table).collect()]
+    assert sorted(i or 0 for i in found) == [0, 1, 2, 3]
+    assert set(shared.glob("batch-*")) == before and not [n for n in os.listdir(table) if n.startswith("_staged")]
