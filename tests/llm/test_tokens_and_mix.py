@@ -190,3 +190,18 @@ def test_rates_against_bisection(spark):
         assert [m.rate for m in mixes] == pytest.approx([rate(s, low) for s in sizes], rel=1e-5)
         solved += 1
     assert solved >= 3
+
+
+def test_pieces_are_encoded_together(monkeypatch):
+    """Fewer texts reach the library than there are pre-tokens; ids and sizes are those of each by itself."""
+    from runledger.llm import tokens
+    from runledger.llm.queries import vocabulary
+
+    made = tokens.Encoder(vocabulary())
+    words = ["a", " the", "<|endoftext", "<|endoftext|", "|>", "<", " <|", "é", "​", "漢字", "'s", "  ", "\n\n", "0" * 500, "\x00", "ﬀ"] * 20
+    ids, sizes = made.library(words)
+    asked, library = [], tokens.Encoder.library
+    monkeypatch.setattr(tokens.Encoder, "library", lambda self, texts: asked.append(len(texts)) or library(self, texts))
+    got, got_sizes = made.pieces(words)
+    assert (got == ids).all() and (got_sizes == sizes).all() and asked == [-(-len(words) // tokens.TOGETHER)]
+    assert [len(x) for x in made.pieces([])] == [0, 0]
