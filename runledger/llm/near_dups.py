@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import PrimeSpans, Words, column_bytes, mix, staged, texts_in_steps
+from runledger.llm.common import FEW_BYTES, PrimeSpans, Words, column_bytes, mix, staged, texts_in_steps
 from runledger.llm.components import components
 
 #: A signature has CHUNKS chunks of WIDTH symbols of 16 bits. Two signatures with at most 2 * CHUNKS - 1 symbols that differ
@@ -95,7 +95,7 @@ def _prints(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, part in texts_in_steps(column_bytes(batch.column(1))):
+            for first, part in texts_in_steps(column_bytes(batch.column(1)), FEW_BYTES):
                 grams, offsets = shingle_sets(part, k)
                 signs = [None] * len(part)
                 for i, s in zip(np.flatnonzero(np.diff(offsets)), signatures(grams, offsets), strict=True):
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, id: str, text: str) -> Dat
 
     def run(batches):
         for batch in batches:
-            for first, part in texts_in_steps(column_bytes(batch.column(1))):
+            for first, part in texts_in_steps(column_bytes(batch.column(1)), FEW_BYTES):
                 grams, offsets = shingle_sets(part, k)
                 own = [grams[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 # of rows that share an id only those with the set that counts
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
             found = _confirmed(pairs, sets, percent)
         else:
             found = _links_in_blocks(buckets, sets, nodes.select("node", "signature"), percent)
-        found = staged(found, "near-links")
+        found = staged(found, "near-links", of_texts=True)  # a pair comes with both sets
         links = found if links is None else links.union(found)
         labels = _labels(links)
     if links is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.common import Words, column_bytes, staged, texts_in_steps
+from runledger.llm.common import FEW_BYTES, Words, column_bytes, staged, texts_in_steps
 
 FEATURES = [
     "bytes", "words", "word_bytes", "word_spread", "upper", "digits", "signs", "beyond_ascii", "lines", "distinct_words", "top_word",
@@ -79,7 +79,7 @@ def text_features(texts: list[bytes]) -> np.ndarray:
 
 
 def _whole_features(column) -> np.ndarray:
-    parts = [text_features(p) for _, p in texts_in_steps(column_bytes(column))]
+    parts = [text_features(p) for _, p in texts_in_steps(column_bytes(column), FEW_BYTES)]
     return np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, len(FEATURES)), np.float32)
 
 
@@ -230,7 +230,7 @@ def featured(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(features, schema)
     trusted = labels.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(F.coalesce(F.col(quality), F.lit(0))).alias("least"))
     trusted = trusted.where((F.col("least") == 1) & ~held_out(F.col("id"))).select("id", F.lit(True).alias("trusted"))
-    return staged(rows.join(trusted, "id", "left").select("id", F.coalesce("trusted", F.lit(False)).alias("positive"), "x"), "quality")
+    return staged(rows.join(trusted, "id", "left").select("id", F.coalesce("trusted", F.lit(False)).alias("positive"), "x"), "quality", of_texts=True)
 
 
 def train(rows: DataFrame) -> Model:
@@ -267,7 +267,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` with a score of `threshold` or more, found in one pass over the texts without a shuffle."""
+    """The rows of `docs` with a score of `threshold` or more, found in one pass over the texts without a shuffle.
+
+    They are staged, as whole texts go to the workers in small batches only while a table is written here.
+    """
     model = train(featured(docs, labels, id, text))
     at = docs.columns.index(text)
 
@@ -276,4 +279,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
             if batch.num_rows:
                 yield batch.filter(pa.array(_rounded(model.score(_whole_features(batch.column(at)).astype(np.float64))) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return staged(docs.mapInArrow(keep, docs.schema), "accepted", of_texts=True)

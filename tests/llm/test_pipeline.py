@@ -96,3 +96,24 @@ def test_odd_and_empty_tables_go_through(spark):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
             assert name == "tokens" or docs.columns == ragged(spark, n=1).columns
+
+
+def test_whole_texts_and_sets_go_to_workers_in_small_batches(spark, monkeypatch):
+    """What is written while workers hold texts, or two sets of shingles a row, is written in batches of TEXTS_AT_ONCE."""
+    from runledger.llm import common, near_dups, quality
+
+    batches = {}
+
+    def recorded(df, label, of_texts=False):
+        batches[label] = of_texts
+        return common.staged(df, label, of_texts)
+
+    monkeypatch.setattr(near_dups, "staged", recorded)
+    monkeypatch.setattr(quality, "staged", recorded)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(6)] + [(6, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert near_dups.near_duplicates(docs, k=2).where("component_id = 0").count() == 6
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 7
+    assert all(batches[label] for label in ("prints", "sets", "near-links", "quality", "accepted"))
